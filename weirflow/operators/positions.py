@@ -72,7 +72,7 @@ def nth_positions(df: DataFrame, ks: Sequence[int], pos: str = "pos", width: int
 
 def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], bucket: Column | None = None,
                 descending: bool = False) -> DataFrame:
-    """Inclusive running sums {new column: summed column} along `order` (unique per row).
+    """Inclusive running sums {new column: summed column} along `order` (unique per row), and `{new}_total`.
 
     Without `bucket` one window sorts the frame in one task: only for frames of bounded size (curves, log-binned
     histograms). With `bucket`, an expression that never decreases along `order` and takes a bounded number of
@@ -81,12 +81,18 @@ def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], bucket: Column
     direction = F.desc if descending else F.asc
     if bucket is None:
         w = Window.orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()])
+        whole = Window.partitionBy()
+        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()],
+                         *[F.sum(c).over(whole).alias(f"{n}_total") for n, c in sums.items()])
     b = df.withColumn("_bucket", bucket)
     w_in = Window.partitionBy("_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     w_out = Window.orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{n}").over(w_out), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    whole = Window.partitionBy()
+    per_bucket = b.groupBy("_bucket").agg(*[F.sum(c).alias(f"_b_{n}") for n, c in sums.items()])
+    offsets = per_bucket.select(
+        "_bucket",
+        *[F.coalesce(F.sum(f"_b_{n}").over(w_out), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_b_{n}").over(whole).alias(f"{n}_total") for n in sums])
     inner = b.select("*", *[F.sum(c).over(w_in).alias(n) for n, c in sums.items()])
-    joined = inner.join(offsets, "_bucket")
-    return joined.select(*df.columns, *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in sums])
+    return inner.join(offsets, "_bucket").select(
+        *df.columns, *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in sums], *[f"{n}_total" for n in sums])
