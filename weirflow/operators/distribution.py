@@ -44,13 +44,16 @@ CODEGEN_POINTS = 32  # longer comparison chains outgrow the generated method
 
 
 def gap_index(x: Column, points: Sequence[float]) -> Column:
-    """Number of points below `x`; points ascend."""
+    """Number of points below `x`; points ascend.
+
+    Never null, so that a join on it adds no null filter, into which the optimiser would inline the whole chain.
+    """
     if len(points) > CODEGEN_POINTS:
         return F.size(F.filter(F.array(*[F.lit(p) for p in points]), lambda p: p < x))
     out = F.lit(0)
     for p in points:
         out = out + (x > F.lit(p)).cast("int")
-    return out
+    return F.coalesce(out, F.lit(0))
 
 
 def gap_sums(histogram: DataFrame, points: Sequence[int], sums: dict[str, Column]) -> DataFrame:
