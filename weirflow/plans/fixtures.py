@@ -46,14 +46,18 @@ def with_flows(sql: str) -> str:
     return f"with {FLOWS_CTE.strip()}{'' if sql.lstrip().startswith(',') else ' '}{sql.strip()}"
 
 
-def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One flow per line item, `pos` being the row number in the file."""
-    items = read_parquet(spark, f"{sf_dir}/lineitem.parquet")
+def flows_of(items: DataFrame) -> DataFrame:
+    """Flow columns from line items with `pos`."""
     staged = items.select("*", F.expr(_PACKETS).alias("pk"), F.expr(_START).alias("st"))
     rows = staged.selectExpr(*_FIELDS, "pos")
     return as_flows(rows.selectExpr("*", *[t.format(div="div") for t in _TIMES]).drop("start_ms", "end_ms"))
 
 
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flow per line item, `pos` being the row number in the file."""
+    return flows_of(read_parquet(spark, f"{sf_dir}/lineitem.parquet"))
+
+
 _EV = """select user_id, event_id pos, start_ms, start_ms + (event_id*7919*61)%14400000 end_ms,
   1 + event_id%97 packets, (1+event_id%97)*(64+(event_id*31)%1459) octets, cast(0 as bigint) aggs
   from (select event_id, user_id, {ms} start_ms from {source}) x"""
@@ -63,7 +67,11 @@ RECORD_KEYS = ["user_id"]
 INACTIVE_S, ACTIVE_S = 3600, 14400
 
 
+def records_of(events: DataFrame) -> DataFrame:
+    ms = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000"
+    return events.sparkSession.sql(_EV.format(ms=ms, source="{events}"), events=events)
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of one key column that overlap, touch and follow each other, for merging."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return spark.sql(_EV.format(ms="timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) div 1000", source="{events}"), events=events)
+    return records_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
