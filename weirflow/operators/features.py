@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Order of the inputs and their widths in bytes; bytes of a value go from low to high.
 INPUTS = [("sp", 2), ("sa3", 4), ("da3", 4), ("dp", 2), ("prot", 1)]
-BYTES = sum(width for _, width in INPUTS)
-BITS = 8 * BYTES
 
 
 def byte_columns() -> list[Column]:
@@ -18,26 +16,28 @@ def byte_columns() -> list[Column]:
     ]
 
 
-def bit_columns() -> list[Column]:
-    """Bits of the same bytes, high bit of each byte first."""
-    return [F.shiftright(b, 7 - i).bitwiseAND(F.lit(1)) for b in byte_columns() for i in range(8)]
+def bit_array() -> Column:
+    """Bits of the same bytes, high bit of each byte first.
 
-
-def feature_columns(kind: str) -> list[Column]:
-    if kind == "raw":
-        return [F.col(name).cast("long") for name, _ in INPUTS]
-    return {"bytes": byte_columns, "bits": bit_columns}[kind]()
+    Bytes are looked up in a constant table: 104 shift expressions would make a method too long to be compiled to
+    machine code.
+    """
+    table = F.expr("array(" + ", ".join("array(" + ", ".join(f"{v:08b}") + ")" for v in range(256)) + ")")
+    return F.flatten(F.array(*[F.get(table, b) for b in byte_columns()]))
 
 
 def feature_array(kind: str) -> Column:
-    return F.array(*feature_columns(kind))
+    """The inputs as one array: 5 raw values, 13 bytes or 104 bits."""
+    if kind == "raw":
+        return F.array(*[F.col(name).cast("long") for name, _ in INPUTS])
+    return {"bytes": lambda: F.array(*byte_columns()), "bits": bit_array}[kind]()
 
 
 def with_features(flows: DataFrame, kind: str = "raw", name: str = "features") -> DataFrame:
-    """Add the ML vector of 5 raw values, 13 bytes or 104 bits."""
+    """Add the inputs as an ML vector."""
     from pyspark.ml.functions import array_to_vector
 
-    return flows.withColumn(name, array_to_vector(F.transform(feature_array(kind), lambda v: v.cast("double"))))
+    return flows.withColumn(name, array_to_vector(feature_array(kind).cast("array<double>")))
 
 
 def _byte_counts(flows: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions.special import digamma, trigamma
 from weirflow.operators.mixture import Component, scalar_cdf
+from weirflow.session import checkpoint_root
 
 EPS = float(np.finfo(float).eps)
 START_WEIGHT = 0.1
@@ -185,7 +186,10 @@ def _newton_weibull(blocks: RDD, column: int, fit: _Fit, m: np.ndarray) -> dict[
 
 
 def numeric_blocks(df: DataFrame, columns: Sequence[str], rows: int) -> RDD:
-    """Numeric blocks of `columns` (first one x, with ln x added at the end), kept in memory."""
+    """Numeric blocks of `columns` (first one x, with ln x added at the end), kept in memory.
+
+    They are checkpointed: otherwise every iteration would ship the plan of the histogram with its tasks.
+    """
     parts = -(-rows // BINS_PER_BLOCK)
 
     def pack(batches):
@@ -196,8 +200,13 @@ def numeric_blocks(df: DataFrame, columns: Sequence[str], rows: int) -> RDD:
 
     packed = df.select(*[F.col(c).cast("double") for c in columns]).repartition(parts).mapInArrow(pack, "block binary")
     n = len(columns) + 1
-    blocks = packed.rdd.map(lambda r: np.frombuffer(r[0], float).reshape(n, -1))
-    return blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = packed.rdd.map(lambda r: np.frombuffer(r[0], float).reshape(n, -1)).persist(StorageLevel.MEMORY_AND_DISK)
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
+    blocks.checkpoint()
+    blocks.count()
+    return blocks
 
 
 def fit_many(histogram: DataFrame, starts: dict[str, Sequence[Component] | dict[str, int]], max_iter: int = 100,

@@ -10,12 +10,12 @@ from weirflow.functions.hashing import uniform
 from weirflow.operators.mixture import Mixture, mix_average, sample
 from weirflow.operators.positions import prefix_sums
 from weirflow.schema import FIELDS, as_flows
+from weirflow.session import broadcast_if
 
 # Packet sizes are kept between these
 MIN_PACKET, MAX_PACKET = 64, 1522
 ROWS_PER_TASK = 5_000_000
 CHUNK = 10_000
-MAX_BROADCAST = 200_000
 
 
 def _tasks(spark: SparkSession, rows: int) -> int:
@@ -59,8 +59,7 @@ def sample_histogram(histogram: DataFrame, n: int, x_value: str = "length", seed
         (F.col("_hi") - F.col("flows_sum")).alias("_lo"), "_hi")
     line = line.filter(F.col("_hi") > F.col("_lo")).withColumn(
         "_stretch", F.explode(F.sequence(idiv(F.col("_lo"), width), idiv(F.col("_hi") - 1, width))))
-    if bins + stretches <= MAX_BROADCAST:
-        line = F.broadcast(line)
+    line = broadcast_if(line, bins + stretches)
     ids = spark.range(0, n, 1, _tasks(spark, n))
     drawn = ids.withColumn("_t", F.floor(uniform(seed, F.col("id")) * F.lit(total))).withColumn("_stretch", idiv(F.col("_t"), width))
     rows = drawn.join(line, "_stretch").filter((F.col("_t") >= F.col("_lo")) & (F.col("_t") < F.col("_hi")))

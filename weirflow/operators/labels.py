@@ -17,7 +17,7 @@ from weirflow.functions import flowcols as fc
 from weirflow.functions.flowcols import idiv
 from weirflow.functions.hashing import HASH_BITS, hash_bits
 from weirflow.operators.positions import nth_positions
-from weirflow.session import freeze
+from weirflow.session import freeze, spread
 
 SIZE_BUCKET_EXP = 12
 HASH_BUCKET = 1 << (HASH_BITS - 20)
@@ -120,6 +120,7 @@ def top_sample(flows: DataFrame, ratio: float, seed: int = 0, pos: str = "pos",
 
     The draw keeps the lowest hash ranks, found by counting hashes per bucket; both halves are filters.
     """
+    flows = spread(flows)
     sizes = size_profile(flows)
     if total is None:
         total = sizes.agg(F.sum("n")).first()[0] or 0

@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 from weirflow.functions import flowcols as fc
 from weirflow.functions.flowcols import idiv
 from weirflow.schema import FIELDS, KEY_FIELDS, as_flows
-from weirflow.session import freeze
+from weirflow.session import broadcast_if, freeze
 
 ORDER = ["start_ms", "end_ms", "pos"]
-MAX_BROADCAST_KEYS = 200_000
 
 
 @dataclass(frozen=True)
@@ -84,15 +83,16 @@ def _flag_by_key(rec: DataFrame, keys: Sequence[str], t: Timeouts) -> DataFrame:
     return out.withColumn("_killed", F.coalesce("_killed", F.lit(False)))
 
 
-def _flag_by_chunk(rec: DataFrame, keys: Sequence[str], t: Timeouts, chunks: int) -> DataFrame:
+def _flag_by_chunk(rec: DataFrame, keys: Sequence[str], t: Timeouts, chunks: int, hot_keys: int) -> DataFrame:
     """The same flags for keys too large for one task.
 
     A range exchange on (key, time, pos) splits such a key into even chunks. A chunk needs four things from its
     neighbours: the end of the record before it, whether that record waits, the island it belongs to, and whether
     the first record after the chunk collides. Each comes from a summary with one row per (key, chunk), at most
-    chunks + keys rows, so summaries are broadcast.
+    chunks + keys rows, and is broadcast while that is small.
     """
     by = [*keys, "_chunk"]
+    bound = chunks + hot_keys
     w = Window.partitionBy(*by).orderBy(*ORDER)
     wc = Window.partitionBy(*keys).orderBy("_chunk")
     place = F.struct(*ORDER)
@@ -100,7 +100,7 @@ def _flag_by_chunk(rec: DataFrame, keys: Sequence[str], t: Timeouts, chunks: int
 
     ends = rows.groupBy(*by).agg(F.max_by("end_ms", place).alias("_e"))
     ends = ends.select(*by, F.lag("_e").over(wc).alias("_carry_end"))
-    x = _waiting(_overlap(rows.join(F.broadcast(ends), by), t, w, F.col("_carry_end")), by, w)
+    x = _waiting(_overlap(rows.join(broadcast_if(ends, bound), by), t, w, F.col("_carry_end")), by, w)
 
     states = x.groupBy(*by).agg(
         F.max("_seen").alias("_breaks"), F.max_by("_st", place).alias("_last_st"), F.count("*").alias("_n"))
@@ -113,7 +113,7 @@ def _flag_by_chunk(rec: DataFrame, keys: Sequence[str], t: Timeouts, chunks: int
         .withColumn("_out", F.col("_base") != (F.col("_flips") % 2 == 1))
         .select(*by, F.coalesce(F.lag("_out").over(wc), F.lit(False)).alias("_in_st"))
     )
-    x = x.join(F.broadcast(states), by).withColumn(
+    x = x.join(broadcast_if(states, bound), by).withColumn(
         "_st", F.when(F.col("_seen") == 0, F.col("_in_st") != (F.col("_nth") % 2 == 1)).otherwise(F.col("_st")))
     x = _collide(x, t, w, F.col("_in_st"))
 
@@ -124,7 +124,7 @@ def _flag_by_chunk(rec: DataFrame, keys: Sequence[str], t: Timeouts, chunks: int
         F.lead("_b").over(wc).alias("_next_bad"),
     )
     return (
-        x.join(F.broadcast(edges), by)
+        x.join(broadcast_if(edges, bound), by)
         .withColumn("_head", F.coalesce("_head", "_carry_head"))
         .withColumn("_killed", F.coalesce("_killed", "_next_bad", F.lit(False)))
     )
@@ -137,13 +137,11 @@ def _flag(rec: DataFrame, keys: Sequence[str], t: Timeouts, hot_rows: int | None
     hot_keys, total = counts.agg(F.count("*"), F.sum("_rows")).first()
     if not hot_keys:
         return [_flag_by_key(rec, keys, t)]
-    hot = counts.select(*keys)
-    if hot_keys <= MAX_BROADCAST_KEYS:
-        hot = F.broadcast(hot)
+    hot = broadcast_if(counts.select(*keys), hot_keys)
     chunks = max(2, -(-total // hot_rows))
     return [
         _flag_by_key(rec.join(hot, list(keys), "left_anti"), keys, t),
-        _flag_by_chunk(rec.join(hot, list(keys), "left_semi"), keys, t, chunks),
+        _flag_by_chunk(rec.join(hot, list(keys), "left_semi"), keys, t, chunks, hot_keys),
     ]
 
 

@@ -15,6 +15,7 @@ from weirflow.operators import reduction as R
 from weirflow.plans.distribution_queries import LENGTH, SIZE, at_points_sql
 from weirflow.plans.fixtures import flows, with_flows
 from weirflow.plans.registry import query
+from weirflow.session import spread
 
 # a stand-in for a size regressor: the true size with a spread of one half
 PREDICTED = "octets * (50 + (pos * 7919) % 100) / cast(100 as double)"
@@ -59,7 +60,7 @@ def kfold(spark, sf):
 
 @query("features_raw", with_flows(" select pos, cast(sp as bigint) f0, sa3 f1, da3 f2, cast(dp as bigint) f3, cast(prot as bigint) f4 from f"))
 def features_raw(spark, sf):
-    return flows(spark, sf).select("pos", *[c.alias(f"f{i}") for i, c in enumerate(X.feature_columns("raw"))])
+    return flows(spark, sf).select("pos", *[X.feature_array("raw")[i].alias(f"f{i}") for i in range(len(X.INPUTS))])
 
 
 _BYTES = [f"cast(({name} >> {8 * i}) & 255 as int)" for name, width in X.INPUTS for i in range(width)]
@@ -67,13 +68,13 @@ _BYTES = [f"cast(({name} >> {8 * i}) & 255 as int)" for name, width in X.INPUTS
 
 @query("features_bytes", with_flows(" select pos, " + ", ".join(f"{b} as b{i}" for i, b in enumerate(_BYTES)) + " from f"))
 def features_bytes(spark, sf):
-    return flows(spark, sf).select("pos", *[c.alias(f"b{i}") for i, c in enumerate(X.feature_columns("bytes"))])
+    return flows(spark, sf).select("pos", *[c.alias(f"b{i}") for i, c in enumerate(X.byte_columns())])
 
 
 @query("features_bits", with_flows(
     " select pos, " + " || ".join(f"lpad(bin({b}), 8, '0')" for b in _BYTES) + " as bits from f"))
 def features_bits(spark, sf):
-    return flows(spark, sf).select("pos", F.array_join(X.feature_array("bits").cast("array<string>"), "").alias("bits"))
+    return spread(flows(spark, sf)).select("pos", F.array_join(X.feature_array("bits").cast("array<string>"), "").alias("bits"))
 
 
 _PLACES = f", u as (select unnest(generate_series(0, 12)) as place, unnest([{', '.join(_BYTES)}]) as v from f)"

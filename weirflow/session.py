@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # below this estimated size an input may sit in a single row group and so on a single core
 SMALL_INPUT_BYTES = 1 << 30
+BROADCAST_ROWS = 200_000
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "weirflow") -> SparkSession:
@@ -56,18 +57,18 @@ def freeze(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's size estimate of a plan (the file sizes for a scan)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy work on a small input; a large input already has enough splits and is left alone."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= SMALL_INPUT_BYTES:
+    if estimated_bytes(df) >= SMALL_INPUT_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def scalar_row(df: DataFrame):
-    """The single row of an aggregate; the only kind of result this package brings to the driver."""
-    return df.first()
-
-
-def lit_array(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast `df` when its proven bound of `rows` is small; otherwise Spark picks a shuffle join."""
+    return F.broadcast(df) if rows <= limit else df

@@ -34,7 +34,7 @@ def write_series(dense_series: DataFrame, path: str, mode: str = "error") -> Non
 def read_series(spark: SparkSession, path: str, metrics: Sequence[str]) -> DataFrame:
     """`(day, second, metrics…)` back from the files, the second being the line number.
 
-    Lines are numbered per block of a file and shifted by the blocks before it; one row per block is broadcast.
+    Lines are numbered per block of a file and shifted by the blocks before it.
     """
     lines = None
     for metric in metrics:
@@ -47,7 +47,7 @@ def read_series(spark: SparkSession, path: str, metrics: Sequence[str]) -> DataF
     before = Window.partitionBy("metric", "day").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = frozen.groupBy(*by).agg(F.count("*").alias("n"), F.min("id").alias("first")).select(
         *by, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    numbered = frozen.join(F.broadcast(blocks), by).withColumn("second", (F.col("id") + F.col("shift")).cast("int"))
+    numbered = frozen.join(blocks, by).withColumn("second", (F.col("id") + F.col("shift")).cast("int"))
     return numbered.groupBy("day", "second").agg(
         *[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
 

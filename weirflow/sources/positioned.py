@@ -4,28 +4,26 @@ from __future__ import annotations
 
 import os
 from collections.abc import Sequence
-from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def local_path(uri: str) -> str:
-    return unquote(urlparse(uri).path) if "://" in uri or uri.startswith("file:") else uri
+from weirflow.session import broadcast_if
 
 
 def read_parquet(spark: SparkSession, paths: str | Sequence[str], pos: str = "pos") -> DataFrame:
     """Parquet with `pos`, the global row number: inputs in list order, files of a folder sorted by path.
 
     The row number in a file is scan metadata, so nothing is sorted or shuffled. Only for several files is there a
-    join, with one offset row per file; the driver already holds the file list, which bounds it.
+    join, with one offset row per file, broadcast while there are not too many.
     """
     inputs = [paths] if isinstance(paths, str) else list(paths)
     parts = []
     for i, path in enumerate(inputs):
         df = spark.read.option("recursiveFileLookup", "true").parquet(path)
         parts.append((i, df, df.inputFiles()))
-    if sum(len(files) for _, _, files in parts) == 1:
+    total = sum(len(files) for _, _, files in parts)
+    if total == 1:
         df = next(df for _, df, files in parts if files)
         return df.select("*", F.col("_metadata.row_index").alias(pos))
     tagged = [
@@ -40,7 +38,7 @@ def read_parquet(spark: SparkSession, paths: str | Sequence[str], pos: str = "po
     offsets = rows.groupBy("_input", "_file").agg(F.count("*").alias("_n")).select(
         "_input", "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (
-        rows.join(F.broadcast(offsets), ["_input", "_file"])
+        rows.join(broadcast_if(offsets, total), ["_input", "_file"])
         .withColumn(pos, F.col("_offset") + F.col("_row"))
         .drop("_input", "_file", "_row", "_offset")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from weirflow.functions.flowcols import idiv
 from weirflow.schema import FIELDS, FLOW_SCHEMA, as_flows
-from weirflow.session import freeze
+from weirflow.session import broadcast_if, estimated_bytes, freeze
 
 # Order of the pipe-separated fields; times are in milliseconds
 PIPE_FIELDS = [
@@ -20,6 +20,13 @@ PIPE_FIELDS = [
 PIPE_SCHEMA = T.StructType([T.StructField(f, T.LongType()) for f in PIPE_FIELDS])
 
 
+def bytes_of(setting: str) -> int:
+    """Bytes of a size setting such as 128MB or 134217728b."""
+    digits = setting.lower().rstrip("bkmgt")
+    unit = setting.lower()[len(digits):].rstrip("b")
+    return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def _read(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, sep: str, positions: bool, finish) -> DataFrame:
     inputs = [paths] if isinstance(paths, str) else list(paths)
     rows = None
@@ -31,22 +38,25 @@ def _read(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType,
             df = df.select("*", F.lit(i).alias("_input"), F.col("_metadata.file_path").alias("_file"),
                            F.col("_metadata.file_block_start").alias("_block"))
         rows = df if rows is None else rows.unionByName(df)
-    return _with_positions(finish(rows)) if positions else finish(rows)
+    if not positions:
+        return finish(rows)
+    split = bytes_of(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return _with_positions(finish(rows), len(rows.inputFiles()) + estimated_bytes(rows) // split)
 
 
-def _with_positions(rows: DataFrame) -> DataFrame:
+def _with_positions(rows: DataFrame, blocks: int) -> DataFrame:
     """Position over all inputs: input, file, block of the file, row in the block.
 
     Rows of a block are read in order by one task, so an increasing id orders them; it is written out with the rows
-    because a second scan could pack blocks into tasks differently. Blocks are what the driver planned the scan
-    from, which bounds the offsets.
+    because a second scan could pack blocks into tasks differently. Offsets have one row for each of about `blocks`
+    blocks.
     """
     frozen = freeze(rows.withColumn("_id", F.monotonically_increasing_id()))
     by = ["_input", "_file", "_block"]
     before = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     offsets = frozen.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_id").alias("_first")).select(
         *by, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return frozen.join(F.broadcast(offsets), by).withColumn("pos", F.col("_id") + F.col("_shift")).drop(*by, "_id", "_shift")
+    return frozen.join(broadcast_if(offsets, blocks), by).withColumn("pos", F.col("_id") + F.col("_shift")).drop(*by, "_id", "_shift")
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], positions: bool = False) -> DataFrame:
