@@ -89,6 +89,29 @@ def mixture_fit(spark, sf):
     return M.mixture_frame(spark, fitted(spark, sf, iterations=30))
 
 
+def _em_sql(iterations: int) -> str:
+    """Iterations of two nested uniforms and a Pareto tail, one CTE pair each."""
+    out = """, b as (select cast(bin_lo as double) as x, cast(flows_sum as double) as ws, avg(cast(flows_sum as double)) over () as mean from h),
+  m0 as (select 0.1::double as w1, 0.1::double as w2, 0.1::double as w3, 1.0::double as c, 10.0::double as s)"""
+    for i in range(iterations):
+        out += f""", p{i} as (select x, ws / mean as t, case when x <= 1 then w1 else 0 end as a, case when x <= 2 then w2 / 2 else 0 end as b,
+      case when x >= 2 then w3 * pow(1 + c * (x - 2) / s, -1 / c - 1) / s else 0 end as g from b, m{i}),
+  m{i + 1} as (select avg(t * a / n) as w1, avg(t * b / n) as w2, avg(t * g / n) as w3,
+      sum(t * g / n * ln(x)) / sum(t * g / n) - ln(2) as c, 2 * (sum(t * g / n * ln(x)) / sum(t * g / n) - ln(2)) as s
+    from (select *, case when a + b + g = 0 then 1 else a + b + g end as n from p{i}))"""
+    return out
+
+
+@query("mixture_fit_closed", with_flows(LENGTH + _em_sql(5) + """ select component, round(weight, 9) as weight, dist, round(shape, 9) as shape from (
+  select 0 as component, w1 as weight, 'uniform' as dist, 0::double as shape from m5 union all select 1, w2, 'uniform', 0 from m5
+  union all select 2, w3, 'genpareto', c from m5)"""))
+def mixture_fit_closed(spark, sf):
+    h = H.hist(flows(spark, sf), "length", 12)
+    fit = FIT.fit_many(h, {"flows": {"uniform": 2, "pareto": 1}}, 5)
+    return M.mixture_frame(spark, fit).select(
+        "component", F.round("weight", 9).alias("weight"), "dist", F.round(F.col("params")[0], 9).alias("shape"))
+
+
 @query("mixture_fit_gamma_weibull")
 def mixture_fit_gamma_weibull(spark, sf):
     h = H.hist(flows(spark, sf), "length", 12)
@@ -109,6 +132,17 @@ def mixture_sample(spark, sf):
     return M.sample(spark, mix, total, seed=11)
 
 
+_DRAWS = ", ".join(f"cast('0x' || substr(md5('13{t}:' || id), 1, 13) as bigint) / 4503599627370496::double as {t}" for t in "uw")
+
+
+@query("mixture_sample_closed", with_flows(f""", n as (select count(*) as n from f), s as (select id, {_DRAWS}
+    from (select unnest(generate_series(0, n - 1)) as id from n))
+  select id, cast(trunc(case when w < 0.3::double then 8 * u when w < 0.8::double then 1 + 23.2::double * (pow(1 - u, -1.45::double) - 1) / 1.45::double
+    else 900 * pow(-ln(1 - u), 1 / 0.75::double) end) as bigint) + 1 as x from s"""))
+def mixture_sample_closed(spark, sf):
+    return M.sample(spark, CLOSED, flows(spark, sf).count(), seed=13)
+
+
 @query("generate_mixture")
 def generate_mixture(spark, sf):
     mixtures = fitted(spark, sf)
