@@ -13,7 +13,7 @@ from itertools import product
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,11 +72,11 @@ def model_shape(model) -> dict:
             **dict(zip(TREE_STATS, (*stats(depths), *stats(leaves))))}
 
 
-def _run(tasks: list[Callable[[], list[dict]]], parallel: int) -> list[dict]:
+def _run(spark: SparkSession, tasks: list[Callable[[], list[dict]]], parallel: int) -> list[dict]:
     if parallel <= 1:
         return [row for task in tasks for row in task()]
     with ThreadPoolExecutor(parallel) as pool:
-        return [row for rows in pool.map(lambda t: inheritable_thread_target(t)(), tasks) for row in rows]
+        return [row for rows in pool.map(lambda t: inheritable_thread_target(spark)(t)(), tasks) for row in rows]
 
 
 def _frame(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataFrame:
@@ -136,7 +136,7 @@ def classify(flows: DataFrame, folds: int = 5, kinds: Sequence[str] = FEATURES,
 
         tasks = [lambda a=a: train(*a) for a in product(kinds, algos, range(len(coverages)))]
         tasks += [lambda i=i, score=score: score(None, "raw", "Data", i) for i in range(len(coverages))]
-        rows += _run(tasks, parallel)
+        rows += _run(spark, tasks, parallel)
     return _frame(spark, rows, CLASSIFY_SCHEMA)
 
 
@@ -181,7 +181,7 @@ def regress(flows: DataFrame, folds: int = 5, kinds: Sequence[str] = FEATURES, a
         return out
 
     tasks = [lambda a=a: train(*a) for a in product(range(folds), kinds, algos)]
-    return _frame(flows.sparkSession, _run(tasks, parallel), REGRESS_SCHEMA)
+    return _frame(flows.sparkSession, _run(flows.sparkSession, tasks, parallel), REGRESS_SCHEMA)
 
 
 TUNE_SCHEMA = T.StructType([
@@ -206,9 +206,7 @@ def tune(flows: DataFrame, trees: Sequence[int] = (23,), depths: Sequence[int] =
             row = reduction_score(predicted).first()
             return [{"trees": t, "depth": d, "leaf": leaf, "fold": fold, "score": row["score"] if row else None}]
 
-        rows += _run([lambda a=a, one=one: one(*a) for a in product(trees, depths, leaves)], parallel)
+        rows += _run(flows.sparkSession, [lambda a=a, one=one: one(*a) for a in product(trees, depths, leaves)], parallel)
     scores = _frame(flows.sparkSession, rows, TUNE_SCHEMA)
     mean = scores.groupBy("trees", "depth", "leaf").agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"))
-    from pyspark.sql import Window
-
     return mean.withColumn("rank", F.rank().over(Window.orderBy(F.desc_nulls_last("mean_score"))))

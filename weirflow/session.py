@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # below this estimated size an input may sit in a single row group and so on a single core
 SMALL_INPUT_BYTES = 1 << 30
 BROADCAST_ROWS = 200_000
+_local_roots: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "weirflow") -> SparkSession:
@@ -41,9 +42,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="weirflow-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="weirflow-")
+    return _local_roots[app]
 
 
 def freeze(df: DataFrame) -> DataFrame:
