@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file; the files are installed beside the libraries on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def id_and_text(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Only the two columns an operator needs, so that extra or clashing columns never reach a Python worker."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -59,4 +66,4 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[rest], nodes[label[rest]]
 
 
-__all__ = ["BATCH_BYTES", "forest", "freeze", "id_and_text", "raw_texts", "slices", "table"]
+__all__ = ["BATCH_BYTES", "forest", "freeze", "id_and_text", "raw_texts", "slices", "table", "tokenizer_path"]
