@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from weirflow.llm import decontaminate, packing, pii_crf, quality_ri, simhash_pivots
+from weirflow.llm import decontaminate, language_gru, packing, pii_crf, quality_ri, simhash_pivots
 from weirflow.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.find(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_gru.identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(packing.TOKENIZER))
