@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from weirflow.llm import decontaminate, language_gru, packing, pii_crf, quality_ri, simhash_pivots
+from weirflow.llm import decontaminate, language_gru, packing, pii_crf, quality_ri, repeats, simhash_pivots
 from weirflow.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ri.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
