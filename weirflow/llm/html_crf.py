@@ -261,7 +261,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, dict[str, int]]]:
         r.shuffle(top)
         page = "".join(f() for f in top[: r.randint(0, 3)])
         main = body()
-        page += r.choice([f"<article>{main}</article>", f"<article>{main}</article>", f"<main><article>{main}</article></main>", f"<main>{main}</main>", f"<div {name('text')}>{main}</div>", f"<div>{main}</div>", f"<div {name('text')}><article>{main}</article></div>"])
+        page += r.choice([main, f"<article>{main}</article>", f"<article>{main}</article>", f"<main><article>{main}</article></main>", f"<main>{main}</main>", f"<div {name('text')}>{main}</div>", f"<div>{main}</div>", f"<div {name('text')}><article>{main}</article></div>"])
         low = [talk, side, lambda: boxed("ad", "div"), lambda: boxed("side", "section"), form, menu]
         r.shuffle(low)
         page += "".join(f() for f in low[: r.randint(0, 3)])

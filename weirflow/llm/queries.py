@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from weirflow.llm import decontaminate, embedding_hnsw, html_crf, language_gru, packing, pii_crf, quality_ri, repeats, simhash_pivots
+from weirflow.llm import chat_repair, decontaminate, embedding_hnsw, html_crf, language_gru, packing, pii_crf, quality_ri, repeats, simhash_pivots
 from weirflow.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op1_embedding_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op2_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
