@@ -77,7 +77,7 @@ def test_occupancy_brute_force(spark, table):
                     flows[s] += 1
                 for s in range(start, min(start + elapsed, 900)):
                     octets[s] += r["octets"] / elapsed
-        got = O.occupancy(table, "octets > 2000", timeout=10, max_seconds=900, **kwargs).orderBy("second").collect()
+        got = O.occupancy(table, "octets > 2000", timeout=10, seconds=900, **kwargs).orderBy("second").collect()
         assert [r["flows"] for r in got] == flows
         assert [r["octets"] for r in got] == pytest.approx(octets, abs=1e-3)
 

@@ -29,6 +29,8 @@ def gamma_cdf(x: np.ndarray, a: float, scale: float) -> np.ndarray:
             total += term
             if np.all(term <= total * 1e-16):
                 break
+        else:
+            raise ArithmeticError("the series of the incomplete gamma function has not converged")
         out[low] = total * np.exp(-t + a * np.log(t) - math.lgamma(a))
     high = x >= a + 1
     if high.any():
@@ -49,6 +51,8 @@ def gamma_cdf(x: np.ndarray, a: float, scale: float) -> np.ndarray:
             h = h * step
             if np.all(np.abs(step - 1) < 1e-15):
                 break
+        else:
+            raise ArithmeticError("the fraction of the incomplete gamma function has not converged")
         out[high] = 1 - np.exp(-t + a * np.log(t) - math.lgamma(a)) * h
     return out
 
@@ -83,7 +87,7 @@ def _beta_cdf(x: float, a: float, b: float) -> float:
     tiny = 1e-300
     c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
     h = d
-    for m in range(1, 1000):
+    for m in range(1, 100_000):
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1 + num * d
@@ -92,8 +96,8 @@ def _beta_cdf(x: float, a: float, b: float) -> float:
             c = c if abs(c) > tiny else tiny
             h *= c * d
         if abs(c * d - 1) < 1e-15:
-            break
-    return front * h
+            return front * h
+    raise ArithmeticError("the fraction of the incomplete beta function has not converged")
 
 
 def t_quantile(q: float, df: float | None) -> float:

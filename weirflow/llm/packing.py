@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -22,8 +22,9 @@ LARGE = CAPACITY // 3  # at most three large pieces share a sequence; shorter pi
 GROUPS = 32
 SHARES = (1.0, 0.9, 0.75, 0.5)  # of each configuration's uses that are tried; the rest is left to best fit
 SALTS = 256  # a length may be that of a third of all pieces, so ranks are counted per (length, salt)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 _BLANK = re.compile("[ \t\n\r]+")
+_BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe, which starts tokens of its own
 
 
 # ---- tokens
@@ -33,7 +34,8 @@ class WordIds(dict):
     """Words to the little-endian bytes of their ids.
 
     The tokenizer drops white space and never joins text across it, so the ids of a text are those of its words, and
-    each distinct word is encoded once.
+    each distinct word is encoded once. Nor does it join letters and punctuation, and it lower-cases: a word of Latin
+    letters with punctuation behind is the ids of its lower-case letters and those of its punctuation.
     """
 
     def __init__(self, tokenizer: Tokenizer):
@@ -41,6 +43,12 @@ class WordIds(dict):
         self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> bytes:
+        letters = word.rstrip(_BEHIND)
+        if letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:
+            low, behind = letters.lower(), word[len(letters):]
+            if behind or low != word:
+                out = self[word] = self[low] + self[behind] if behind else self[low]
+                return out
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         out = self[word] = np.array(ids, "<u4").tobytes()
         return out

@@ -150,9 +150,11 @@ def coverage_records(flows: DataFrame, x_value: str = "length", ps: Sequence[flo
         "octets": (F.col("oc") - lv * F.col("oc_per")) / oc,
     }, [F.lit("threshold").alias("method"), "level"])
 
-    keys = ["packets", "octets"] if size else ["packets"]
-    groups = flows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("octets").alias("oc"))
-    s = spread(groups).withColumn("level", F.explode(F.array(*[F.lit(p) for p in ps])))
+    if size:  # nearly every flow has its own pair of packets and octets: no exchange before the sums
+        groups = flows.select("packets", "octets", F.lit(1).cast("long").alias("n"), F.col("octets").alias("oc"))
+    else:
+        groups = spread(flows.groupBy("packets").agg(F.count("*").alias("n"), F.sum("octets").alias("oc")))
+    s = groups.withColumn("level", F.explode(F.array(*[F.lit(p) for p in ps])))
     s = s.withColumn("p", F.least(F.col("level") * F.col("octets") / F.col("packets") / MIN_PACKET, F.lit(1.0)) if size else F.col("level"))
     s = s.withColumn("added", 1 - F.pow(1 - F.col("p"), p_.cast("double")))
     s = s.withColumn("share", 1 - (1 - F.col("p")) * F.col("added") / F.col("p") / p_)

@@ -63,7 +63,8 @@ def coverage_mixture(spark: SparkSession, mixtures: Mixtures, method: str, x_val
         def left(m: str) -> Column:
             return 1 - (F.col(f"{m}_upto") + F.col("x") * F.col(f"{m}_per_after"))
 
-        return _finish(g, {"flows": 1 - F.col("flows_upto"), "packets": left("packets"), "fraction": left("flows"),
+        flows = 1 - mix_cdf(mixtures["flows"][1], F.col("x").cast("double"))  # at x itself, not at the grid's step before
+        return _finish(g, {"flows": flows, "packets": left("packets"), "fraction": left("flows"),
                            "octets": left("octets")}, ["x"])
     if method != "sampling":
         raise ValueError(f"unknown method {method}")

@@ -9,8 +9,10 @@ Windows over bins run in one task unless a bucket expression is given: a log-bin
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,9 +146,9 @@ def pdf_points(histogram: DataFrame, normalize: bool = True, bin_exp: int = 0,
     The last bin takes the distance before it, cut down to a bin edge of exponent `bin_exp`. Histogram of bounded
     size (log bins); unit bins need no normalisation.
     """
-    whole = Window.partitionBy()
+    totals = histogram.agg(*[F.sum(f"{m}_sum").alias(f"_t_{m}") for m in metrics])
     share = {m: F.col(f"{m}_sum") for m in metrics}
-    df = histogram
+    df = histogram.join(F.broadcast(totals))  # one row
     if normalize:
         w = Window.orderBy("bin_lo")
         df = df.withColumn("_prev", F.lag("bin_lo").over(w)).withColumn("_next", F.lead("bin_lo").over(w))
@@ -154,7 +156,7 @@ def pdf_points(histogram: DataFrame, normalize: bool = True, bin_exp: int = 0,
         df = df.withColumn("_gap", F.coalesce(F.col("_next"), last) - F.col("bin_lo"))
         share = {m: c / F.col("_gap") for m, c in share.items()}
     return df.select("bin_lo", "flows_sum", *[
-        (share[m] / F.sum(f"{m}_sum").over(whole)).alias(f"{m}_pdf") for m in metrics])
+        (share[m] / F.col(f"_t_{m}")).alias(f"{m}_pdf") for m in metrics])
 
 
 def avg_per_bin(histogram: DataFrame) -> DataFrame:
@@ -232,11 +234,14 @@ def hist2d(points: DataFrame, x: str, y: str, weight: str, edges: int = GRID_CEL
     )
 
 
+KDE_POINTS = 1024  # points that meet the grid at once
+
+
 def kde_grid(points: DataFrame, x: str, y: str, weight: str, n: int = GRID_CELLS) -> DataFrame:
     """Weighted Gaussian density of log10 points on an n x n log grid `(ix, iy, x, y, density)`.
 
     Bandwidth by Scott's factor on the effective sample size. One pass for the moments, whose few scalars fix the
-    grid; then every point adds to every grid cell, summed map-side into n * n groups.
+    grid; then each task sums its points into a grid of its own, and the grids are added. No points give no rows.
     """
     pts = points.filter((F.col(x) > 0) & (F.col(y) > 0)).select(
         F.log10(x).alias("u"), F.log10(y).alias("v"), F.col(weight).cast("double").alias("w"))
@@ -246,6 +251,8 @@ def kde_grid(points: DataFrame, x: str, y: str, weight: str, n: int = GRID_CELLS
         F.sum(F.expr("w*v*v")).alias("vv"), F.min("u").alias("umin"), F.max("u").alias("umax"),
         F.min("v").alias("vmin"), F.max("v").alias("vmax"),
     ).first()
+    if m["w"] is None:
+        return points.sparkSession.createDataFrame([], "ix int, iy int, x double, y double, density double")
     total = m["w"]
     mu, mv = m["u"] / total, m["v"] / total
     unbias = 1 - m["w2"] / total**2
@@ -256,14 +263,19 @@ def kde_grid(points: DataFrame, x: str, y: str, weight: str, n: int = GRID_CELLS
     det = cuu * cvv - cuv * cuv
     norm = total * 2 * math.pi * math.sqrt(det)
     du, dv = (m["umax"] - m["umin"]) / (n - 1), (m["vmax"] - m["vmin"]) / (n - 1)
-    cells = spread(pts).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n * n - 1)))).select(
-        "c", "w",
-        (F.lit(m["umin"]) + (F.col("c") / n).cast("int") * F.lit(du) - F.col("u")).alias("a"),
-        (F.lit(m["vmin"]) + (F.col("c") % n) * F.lit(dv) - F.col("v")).alias("b"),
-    )
-    q = (F.col("a") * F.col("a") * F.lit(cvv) - F.col("a") * F.col("b") * F.lit(2 * cuv)
-         + F.col("b") * F.col("b") * F.lit(cuu)) / F.lit(det)
-    return cells.groupBy("c").agg((F.sum(F.col("w") * F.exp(-q / 2)) / F.lit(norm)).alias("density")).select(
+    gu, gv = m["umin"] + du * np.repeat(np.arange(n), n), m["vmin"] + dv * np.tile(np.arange(n), n)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(n * n)
+        for part in batches:
+            for k in range(0, len(part), KDE_POINTS):
+                u, v, w = (part[c].to_numpy()[k:k + KDE_POINTS] for c in "uvw")
+                a, b = gu - u[:, None], gv - v[:, None]
+                out += w @ np.exp(-(a * a * cvv - 2 * cuv * a * b + b * b * cuu) / (2 * det))
+        yield pd.DataFrame({"c": np.arange(n * n), "s": out})
+
+    cells = spread(pts).mapInPandas(partial, "c int, s double")
+    return cells.groupBy("c").agg((F.sum("s") / F.lit(norm)).alias("density")).select(
         (F.col("c") / n).cast("int").alias("ix"), (F.col("c") % n).alias("iy"),
         F.pow(F.lit(10.0), F.lit(m["umin"]) + (F.col("c") / n).cast("int") * F.lit(du)).alias("x"),
         F.pow(F.lit(10.0), F.lit(m["vmin"]) + (F.col("c") % n) * F.lit(dv)).alias("y"),

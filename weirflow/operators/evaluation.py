@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions.special import t_quantile
 
 COUNTS = ("tn", "fp", "fn", "tp")
-EXACT_T = 30
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
@@ -53,14 +53,15 @@ def fold_stats(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataF
 
 
 def t_column(count: Column, level: float = 0.95) -> Column:
-    """Student t quantile of a two-sided interval for `count` values; a series beyond 30 degrees of freedom."""
+    """Student t quantile of a two-sided interval for `count` values, on the few aggregated rows; null below two."""
     q = (1 + level) / 2
-    table = F.array(*[F.lit(t_quantile(q, df)) for df in range(1, EXACT_T + 1)])
-    z = t_quantile(q, None)
-    df = (count - 1).cast("double")
-    series = (F.lit(z) + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df * df)
-              + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df * df * df))
-    return F.when(count < 2, None).when(count <= EXACT_T + 1, F.try_element_at(table, (count - 1).cast("int"))).otherwise(series)
+
+    @F.pandas_udf("double")
+    def quantile(n: pd.Series) -> pd.Series:
+        known = {k: t_quantile(q, k - 1) for k in n[n >= 2].unique()}
+        return n.map(known).astype("float64")
+
+    return quantile(count)
 
 
 def confidence(df: DataFrame, by: Sequence[str], values: Sequence[str], level: float = 0.95) -> DataFrame:
@@ -68,6 +69,7 @@ def confidence(df: DataFrame, by: Sequence[str], values: Sequence[str], level: f
     aggs = []
     for v in values:
         c = F.when(~F.isnan(v), F.col(v).cast("double"))
-        half = t_column(F.count(c), level) * F.stddev_samp(c) / F.sqrt(F.count(c))
-        aggs += [F.avg(c).alias(f"{v}_mean"), half.alias(f"{v}_conf")]
-    return df.groupBy(*by).agg(*aggs)
+        aggs += [F.avg(c).alias(f"{v}_mean"), F.count(c).alias(f"{v}_n"), F.stddev_samp(c).alias(f"{v}_std")]
+    stats = df.groupBy(*by).agg(*aggs)
+    half = {v: t_column(F.col(f"{v}_n"), level) * F.col(f"{v}_std") / F.sqrt(f"{v}_n") for v in values}
+    return stats.select(*by, *[c for v in values for c in (F.col(f"{v}_mean"), half[v].alias(f"{v}_conf"))])

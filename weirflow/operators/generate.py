@@ -51,7 +51,10 @@ def sample_histogram(histogram: DataFrame, n: int, x_value: str = "length", seed
     whatever the histogram. The bin side is broadcast while it is small.
     """
     spark = histogram.sparkSession
+    histogram = histogram.filter("flows_sum > 0")
     bins, total = histogram.agg(F.count("*"), F.sum("flows_sum")).first()
+    if not bins:
+        return spark.range(0).select("id", F.lit(0).cast("long").alias("packets"), F.lit(0).cast("long").alias("octets"))
     stretches = 1 << max(bins - 1, 1).bit_length()
     width = max(1, -(-total // stretches))
     line = prefix_sums(histogram, "bin_lo", {"_hi": "flows_sum"}, bucket).select(
@@ -73,6 +76,7 @@ def expand_histogram(histogram: DataFrame, x_value: str = "length", seed: int =
     Bins are cut into chunks before the exchange, so that a bin with a third of all flows is made by many tasks.
     """
     spark = histogram.sparkSession
+    histogram = histogram.filter("flows_sum > 0")
     total = histogram.agg(F.sum("flows_sum")).first()[0] or 0
     chunks = histogram.select(
         F.col("bin_lo").alias("x"), (F.col("octets_sum") / F.col("packets_sum")).alias("packet_size"), "flows_sum",

@@ -96,10 +96,12 @@ def _decision_row(decided: DataFrame, decision: str, label: str) -> dict:
 
 def classify(flows: DataFrame, folds: int = 5, kinds: Sequence[str] = FEATURES, algos: dict[str, Callable] | None = None,
              coverages: Sequence[float] | None = None, seed: int = 0, modes: Sequence[str] = ("test",),
-             ratio: float = SAMPLE_RATIO, with_occupancy: bool = False, parallel: int = 4, pos: str = "pos") -> DataFrame:
+             ratio: float = SAMPLE_RATIO, with_occupancy: bool = False, parallel: int = 4, pos: str = "pos",
+             pps: int | None = None, fps: int | None = None, timeout: int = 15) -> DataFrame:
     """Train on large and random flows of the other folds, decide on the fold, and score; tidy result rows.
 
-    "Data" is the pseudo-model that decides by the true label. `with_occupancy` adds flow table ratios per second.
+    "Data" is the pseudo-model that decides by the true label. `with_occupancy` adds flow table ratios per second,
+    with starts, durations and timeout as in `occupancy`.
     """
     algos = CLASSIFIERS if algos is None else algos
     coverages = list(coverages or training_coverages())
@@ -111,7 +113,7 @@ def classify(flows: DataFrame, folds: int = 5, kinds: Sequence[str] = FEATURES,
         train_cuts = coverage_cuts(parts["train"], coverages, pos)
         cuts = {m: train_cuts if m == "train" else coverage_cuts(parts["test"], coverages, pos) for m in modes}
         sample = freeze(top_sample(parts["train"], ratio, seed, pos).withColumn("weight", F.pow("octets", F.lit(CLASSIFY_POWER))))
-        base = {m: freeze(occupancy(parts[m])) for m in modes} if with_occupancy else {}
+        base = {m: freeze(occupancy(parts[m], None, pps, fps, timeout)) for m in modes} if with_occupancy else {}
 
         def score(model, prep, algo, level, fold=fold, parts=parts, cuts=cuts, base=base):
             out = []
@@ -125,7 +127,7 @@ def classify(flows: DataFrame, folds: int = 5, kinds: Sequence[str] = FEATURES,
                 row = {"algo": algo, "prep": prep, "mode": mode, "fold": fold, "training_coverage": coverages[level],
                        **_decision_row(data, "decision", "label"), **(model_shape(model) if model is not None else {})}
                 if with_occupancy:
-                    row |= occupancy_ratio(base[mode], occupancy(data, F.col("decision"))).select(*OCCUPANCY).first().asDict()
+                    row |= occupancy_ratio(base[mode], occupancy(data, F.col("decision"), pps, fps, timeout)).select(*OCCUPANCY).first().asDict()
                 out.append(row)
             return out
 

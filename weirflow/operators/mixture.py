@@ -232,7 +232,11 @@ def component_sample(c: Component, u: Column, v: Column) -> Column:
 
 def sample(spark: SparkSession, mix: Mixture, n: int, x_value: str = "length", seed: int = 0,
            rows_per_task: int = 5_000_000) -> DataFrame:
-    """`n` values `(id, x)`: whole values from 1 (64 for sizes), repeatable from the seed."""
+    """`n` values `(id, x)`: whole values from 1 (64 for sizes), repeatable from the seed.
+
+    A value beyond the range of a long fails the job, as heavy tails are not cut: sample such a mixture as doubles
+    (`x_value` neither length nor size) and decide there.
+    """
     parts = max(spark.sparkContext.defaultParallelism, -(-n // rows_per_task))
     ids = spark.range(0, n, 1, parts)
     u, v, w = (uniform(f"{seed}{tag}", F.col("id")) for tag in "uvw")
@@ -242,7 +246,7 @@ def sample(spark: SparkSession, mix: Mixture, n: int, x_value: str = "length", s
     for c, upper in reversed(list(zip(mix[:-1], accumulate(c.weight for c in mix)))):
         value = F.when(F.col("w") < F.lit(upper), component_sample(c, F.col("u"), F.col("v"))).otherwise(value)
     if x_value in FIRST_X:
-        value = F.least(value, F.lit(9.0e18)).cast("long") + 1
+        value = F.when(value < 2.0**63 - 1024, value.cast("long") + 1).otherwise(F.raise_error("a sampled value exceeds a long").cast("long"))
         if x_value == "size":
             value = F.greatest(value, F.lit(FIRST_X["size"]).cast("long"))
     return rows.select("id", value.alias("x"))

@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions.flowcols import idiv
+from weirflow.operators.positions import dense_rank, prefix_sums
 
+DAY = 86_400
 MICRO = 1_000_000
 
 
 def occupancy(flows: DataFrame, mask: Column | str | None = None, pps: int | None = None, fps: int | None = None,
-              timeout: int = 15, max_seconds: int = 3600) -> DataFrame:
+              timeout: int = 15, seconds: int | None = None) -> DataFrame:
     """`(second, flows, octets)`: active flows over [start, end + timeout) and bytes per second over [start, end).
 
-    Seconds count from the first flow. Starts come from the times or from `fps` flows per second in `pos` order,
-    durations from the times or from `pps` packets per second. A flow adds two differences, summed per second
-    map-side; the running sum goes over at most `max_seconds` rows. Rates are summed in millionths, so exactly.
+    Seconds count from the first flow to the end of the last one, or to `seconds` if a window is asked for. Starts come
+    from the times or from `fps` flows per second in the order of `pos` (of which a part of a table has no holes),
+    durations from the times or from `pps` packets per second. A flow adds differences, summed per second map-side;
+    they are summed up inside days and by days. Rates are summed in millionths, so exactly.
     """
     elapsed = F.col("last") - F.col("first") + 1 if pps is None else idiv(F.col("packets"), pps) + 1
     if fps is None:
-        origin = flows.agg(F.min("first")).first()[0]
-        start = F.col("first") - F.lit(origin or 0)
+        placed = flows.select("*", F.col("first").alias("_s"))
     else:
-        start = idiv(F.col("pos") - F.lit(flows.agg(F.min("pos")).first()[0] or 0), fps)
-    rows = flows if mask is None else flows.filter(mask)
-    rows = rows.select(start.alias("s"), elapsed.alias("e"), "octets").filter(F.col("s") < max_seconds)
+        placed = dense_rank(flows, "pos", "_r").withColumn("_s", idiv(F.col("_r"), fps))
+    origin, end = placed.agg(F.min("_s"), F.max(F.col("_s") + elapsed)).first()
+    origin = origin or 0
+    span = seconds if seconds is not None else (end or 0) - origin + (timeout if end is not None else 0)
+    rows = placed if mask is None else placed.filter(mask)
+    rows = rows.select((F.col("_s") - F.lit(origin)).alias("s"), elapsed.alias("e"), "octets")
     rate = idiv(F.col("octets") * MICRO, F.col("e"))
     zero = F.lit(0).cast("long")
     one = F.lit(1).cast("long")
@@ -33,15 +38,12 @@ def occupancy(flows: DataFrame, mask: Column | str | None = None, pps: int | Non
         F.struct(F.col("s").alias("second"), one.alias("df"), rate.alias("do")),
         F.struct((F.col("s") + F.col("e")).alias("second"), zero.alias("df"), (-rate).alias("do")),
         F.struct((F.col("s") + F.col("e") + timeout).alias("second"), (-one).alias("df"), zero.alias("do")),
-    )).alias("d")).select("d.*").filter(F.col("second") < max_seconds)
+    )).alias("d")).select("d.*").filter(F.col("second") < span)
     per_second = steps.groupBy("second").agg(F.sum("df").alias("df"), F.sum("do").alias("do"))
-    run = Window.orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
-    grid = flows.sparkSession.range(max_seconds).select(F.col("id").alias("second"))
-    return grid.join(per_second, "second", "left").select(
-        "second",
-        F.coalesce(F.sum("df").over(run), zero).alias("flows"),
-        (F.coalesce(F.sum("do").over(run), zero) / MICRO).alias("octets"),
-    )
+    grid = flows.sparkSession.range(span).select(F.col("id").alias("second"))
+    filled = grid.join(per_second, "second", "left").fillna(0, ["df", "do"])
+    sums = prefix_sums(filled, "second", {"flows": "df", "_octets": "do"}, idiv(F.col("second"), DAY))
+    return sums.select("second", "flows", (F.col("_octets") / MICRO).alias("octets"))
 
 
 def occupancy_ratio(base: DataFrame, masked: DataFrame, start: int = 300, end: int = 720) -> DataFrame:

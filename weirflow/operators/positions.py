@@ -42,6 +42,19 @@ def rank_rows(df: DataFrame, order: Sequence[Column], name: str = "rank") -> Dat
     return number_rows(df.orderBy(*order), name)
 
 
+def dense_rank(df: DataFrame, pos: str = "pos", name: str = "rank", width: int = POS_BUCKET // 16) -> DataFrame:
+    """Rank from 0 of the unique non-negative integer column `pos`, also where it has holes.
+
+    Rows are numbered inside buckets of `width` positions, which bounds every window, and moved by the number of rows
+    in the buckets before.
+    """
+    b = df.withColumn("_b", idiv(F.col(pos), width))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    moved = b.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inner = b.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(pos)) - 1)
+    return inner.join(moved, "_b").select(*df.columns, (F.col("_o") + F.col("_i")).alias(name))
+
+
 def nth_positions(df: DataFrame, ks: Sequence[int], pos: str = "pos", width: int = POS_BUCKET) -> list[int | None]:
     """Value of the unique non-negative integer column `pos` in the k-th row by `pos`, for each k from 0.
 
@@ -81,9 +94,8 @@ def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], bucket: Column
     direction = F.desc if descending else F.asc
     if bucket is None:
         w = Window.orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy()
-        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()],
-                         *[F.sum(c).over(whole).alias(f"{n}_total") for n, c in sums.items()])
+        totals = df.agg(*[F.sum(c).alias(f"{n}_total") for n, c in sums.items()])
+        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in sums.items()]).join(F.broadcast(totals))
     b = df.withColumn("_bucket", bucket)
     w_in = Window.partitionBy("_bucket").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     w_out = Window.orderBy(direction("_bucket")).rowsBetween(Window.unboundedPreceding, -1)

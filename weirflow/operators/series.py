@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import flowcols as fc
 from weirflow.functions.flowcols import idiv
-from weirflow.session import spread
 
 DAY = 86400
 METRICS = ["flows", "packets", "octets"]
@@ -35,7 +34,7 @@ def traffic_series(flows: DataFrame, first_n: int | None = None) -> DataFrame:
     if first_n is not None and first_n <= 0:
         flows, first_n = flows.filter(F.lit(False)), None
     p = F.col("packets")
-    base = spread(flows.select("first", "first_ms", "last", "last_ms", "packets", "octets")).select(
+    base = flows.select(
         "first",
         F.col("first_ms").cast("long").alias("f"),
         p.alias("p"),

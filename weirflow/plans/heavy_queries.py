@@ -15,7 +15,6 @@ from weirflow.operators import reduction as R
 from weirflow.plans.distribution_queries import LENGTH, SIZE, at_points_sql
 from weirflow.plans.fixtures import flows, with_flows
 from weirflow.plans.registry import query
-from weirflow.session import spread
 
 # a stand-in for a size regressor: the true size with a spread of one half
 PREDICTED = "octets * (50 + (pos * 7919) % 100) / cast(100 as double)"
@@ -74,7 +73,7 @@ def features_bytes(spark, sf):
 @query("features_bits", with_flows(
     " select pos, " + " || ".join(f"lpad(bin({b}), 8, '0')" for b in _BYTES) + " as bits from f"))
 def features_bits(spark, sf):
-    return spread(flows(spark, sf)).select("pos", F.array_join(X.feature_array("bits").cast("array<string>"), "").alias("bits"))
+    return flows(spark, sf).select("pos", F.array_join(X.feature_array("bits").cast("array<string>"), "").alias("bits"))
 
 
 _PLACES = f", u as (select unnest(generate_series(0, 12)) as place, unnest([{', '.join(_BYTES)}]) as v from f)"
@@ -268,26 +267,27 @@ def coverage_relative(spark, sf):
 
 
 def occupancy_sql(name: str, mask: str = "true", start: str = '"first" - (select min("first") from f)',
-                  elapsed: str = '"last" - "first" + 1', seconds: int = 86400, timeout: int = 15) -> str:
-    return f""", {name}_s as (select {start} as s, {elapsed} as e, octets from f where {mask}),
+                  elapsed: str = '"last" - "first" + 1', timeout: int = 15) -> str:
+    return f""", {name}_a as (select {start} as s, {elapsed} as e, octets, {mask} as m from f),
+  {name}_s as (select s, e, octets from {name}_a where m),
   {name}_d as (select s as second, 1 as df, octets * 1000000 // e as r from {name}_s
     union all select s + e, 0, -(octets * 1000000 // e) from {name}_s
     union all select s + e + {timeout}, -1, 0 from {name}_s),
   {name}_p as (select second, sum(df) df, sum(r) r from {name}_d group by 1),
   {name} as (select g.second, cast(sum(coalesce(df, 0)) over (order by g.second) as bigint) as flows,
     cast(sum(coalesce(r, 0)) over (order by g.second) as bigint) / 1000000 as octets
-    from (select unnest(generate_series(0, {seconds} - 1)) as second) g left join {name}_p using (second))"""
+    from (select unnest(generate_series(0, (select max(s + e) + {timeout} - 1 from {name}_a))) as second) g left join {name}_p using (second))"""
 
 
 @query("occupancy", with_flows(occupancy_sql("oc") + " select second, flows, octets from oc"))
 def occupancy(spark, sf):
-    return O.occupancy(flows(spark, sf), max_seconds=86400)
+    return O.occupancy(flows(spark, sf))
 
 
 BIG = "octets > 1000000"
 
 
-@query("occupancy_masked", with_flows(occupancy_sql("oc", BIG, "pos // 100", "packets // 50 + 1", 3600, 20) + " select second, flows, octets from oc"))
+@query("occupancy_masked", with_flows(occupancy_sql("oc", BIG, "pos // 100", "packets // 50 + 1", 20) + " select second, flows, octets from oc"))
 def occupancy_masked(spark, sf):
     return O.occupancy(flows(spark, sf), BIG, pps=50, fps=100, timeout=20)
 
@@ -301,7 +301,7 @@ def occupancy_masked(spark, sf):
     round(sum(bo) / sum(ao), 9) total_coverage, round(cast(sum(af) as double) / cast(sum(bf) as double), 9) total_reduction from j"""))
 def occupancy_ratio(spark, sf):
     rows = flows(spark, sf)
-    ratio = O.occupancy_ratio(O.occupancy(rows, max_seconds=86400), O.occupancy(rows, BIG, max_seconds=86400))
+    ratio = O.occupancy_ratio(O.occupancy(rows), O.occupancy(rows, BIG))
     return ratio.select(*[F.round(c, 9).alias(c) for c in ratio.columns])
 
 

@@ -8,8 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# below this estimated size an input may sit in a single row group and so on a single core
-SMALL_INPUT_BYTES = 1 << 30
 BROADCAST_ROWS = 200_000
 _local_roots: dict[str, str] = {}
 
@@ -65,9 +63,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-heavy work on a small input; a large input already has enough splits and is left alone."""
-    if estimated_bytes(df) >= SMALL_INPUT_BYTES:
-        return df
+    """Deal out a frame of aggregated rows to all cores before CPU-heavy work: adaptive execution leaves it in one task."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
