@@ -89,11 +89,16 @@ def test_edges(spark):
 def test_stream_equals_batch(spark, tmp_path):
     day = 86_400_000  # the first watermark is the epoch
     rows = [(k, pos, s + day, e + day, *rest) for k, pos, s, e, *rest in random_rows(600, 30, 9)]
-    end = max(r[3] for r in rows)
     batch = spark.createDataFrame(rows, SCHEMA)
     want = collected(M.merge_records(batch, ["k"], INACTIVE, ACTIVE))
-    sentinel = (1000, 10**6, end + 10**7, end + 10**7, 1, 64, 0)  # moves the watermark past everything
-    spark.createDataFrame([*rows, sentinel], SCHEMA).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    got = collected(ST.run_available(ST.merge_stream(stream, ["k"], INACTIVE, ACTIVE), str(tmp_path)).filter("k < 1000"))
-    assert got == want
+    # six files, one per micro-batch, each with records out of order that are late by no more than the lateness
+    rng = random.Random(4)
+    span = max(r[2] for r in rows) - min(r[2] for r in rows)
+    rows.sort(key=lambda r: r[2] + rng.uniform(0, span / 4))
+    for n in range(6):
+        part = rows[n * len(rows) // 6:(n + 1) * len(rows) // 6]
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    merged = ST.merge_stream(ST.with_end(stream, str(tmp_path)), ["k"], INACTIVE, ACTIVE, f"{span // 4 + 1000} milliseconds")
+    got = ST.run_available(merged, str(tmp_path), stream.schema, {"start_ms": ST.END_MS, "end_ms": ST.END_MS})
+    assert collected(got) == want

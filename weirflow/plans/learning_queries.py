@@ -42,25 +42,18 @@ def _stream(spark, sf, table):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
 
 
-# what the state still holds: the last record of a key that waits and has not timed out at the final watermark
-_OPEN = f"""with {MERGE_CTE}, w as (select max(start_ms) - 600000 as mark from ev),
-  z as (select user_id, island, bool_or(last_one and st and end_ms + {INACTIVE_S * 1000} > mark) as waiting, bool_or(bad or killed) as dropped,
-    min(pos) filter (where not coalesce(joined, false)) as pos, min(start_ms) start_ms, max(end_ms) end_ms,
-    cast(sum(packets) as bigint) packets, cast(sum(octets) as bigint) octets, cast(count(*) as bigint) aggs
-    from (select *, lead(pos) over (partition by user_id order by start_ms, end_ms, pos) is null as last_one from h), w
-    group by user_id, island)
-  select user_id, pos, start_ms, end_ms, packets, octets, aggs from z where not dropped and not waiting"""
-
-
-@query("merge_stream", _OPEN)
+@query("merge_stream", f"""with {MERGE_CTE}
+  select user_id, pos, start_ms, end_ms, packets, octets, aggs from i where not dropped""")
 def merge_stream(spark, sf):
-    """Merged flows that are final once the table has been read; the last open ones stay in the state."""
-    merged = ST.merge_stream(records_of(_stream(spark, sf, "events")), RECORD_KEYS, INACTIVE_S, ACTIVE_S)
-    return ST.run_available(merged, new_folder(spark))
+    """Merged flows of the whole table, read as a stream to its end."""
+    records, folder = records_of(_stream(spark, sf, "events")), new_folder(spark)
+    merged = ST.merge_stream(ST.with_end(records, folder), RECORD_KEYS, INACTIVE_S, ACTIVE_S)
+    return ST.run_available(merged, folder, records.schema, {"start_ms": ST.END_MS, "end_ms": ST.END_MS})
 
 
 @query("series_stream", with_flows("""select "first" // 86400 as day, cast("first" % 86400 as int) as second, count(*) as flows
-  from f where "first" + 1 <= (select max("first") - 600 from f) group by 1, 2"""))
+  from f group by 1, 2"""))
 def series_stream(spark, sf):
-    arrivals = ST.arrival_stream(flows_of(_stream(spark, sf, "lineitem").withColumn("pos", F.lit(0))))
-    return ST.run_available(arrivals, new_folder(spark))
+    rows, folder = flows_of(_stream(spark, sf, "lineitem").withColumn("pos", F.lit(0))).select("first"), new_folder(spark)
+    arrivals = ST.arrival_stream(ST.with_end(rows, folder))
+    return ST.run_available(arrivals, folder, rows.schema, {"first": ST.END_MS // 1000})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -14,50 +15,62 @@ from weirflow.functions.flowcols import idiv
 from weirflow.operators.series import DAY
 
 VALUES = ["pos", "start_ms", "end_ms", "packets", "octets", "aggs"]
+END_MS = 7_258_118_400_000  # the year 2200, later than any record: the time of an end mark (pandas ends in 2262)
 
 
 def merge_stream(records: DataFrame, keys: Sequence[str], inactive_s: float = 15.0, active_s: float = 300.0,
                  lateness: str = "10 minutes") -> DataFrame:
-    """Streaming form of `merge_records`: at most one waiting record per key is kept as state.
+    """Streaming form of `merge_records`, with the same result for records that are late by `lateness` at most.
 
-    Records of a key must arrive in time order across micro-batches. A waiting record is emitted when the watermark
-    passes its end by the inactive timeout, so nothing could continue it any more.
+    The state of a key holds its records that start after the watermark, as an earlier one may still come, and the one
+    flow that later records may continue. When the watermark passes, they are merged in time order; the flow is
+    emitted once nothing could continue it. The end mark of `with_end` flushes what is left at the end of an input.
     """
     key_fields = [records.schema[k] for k in keys]
     values = T.StructType([T.StructField(v, T.LongType()) for v in VALUES])
+    held = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("waiting", "later")])  # rows end to end
+    width = len(VALUES)
     inactive, candidate_s = round(inactive_s * 1000), active_s - inactive_s
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        waiting = list(state.get) if state.exists else None
-        if state.hasTimedOut:
+        waiting, flat = ([int(v) for v in x] for x in (state.get if state.exists else ([], [])))
+        waiting, later = waiting or None, [tuple(flat[i:i + width]) for i in range(0, len(flat), width)]
+        if not state.hasTimedOut:
+            for part in batches:
+                later += part[VALUES].fillna(0).astype("int64").itertuples(index=False, name=None)
+        mark, out = state.getCurrentWatermarkMs(), []
+        later.sort(key=lambda r: (r[1], r[2], r[0]))
+        ready = bisect.bisect_right(later, mark, key=lambda r: r[1])
+        for pos, start, end, packets, octets, aggs in later[:ready]:
+            if start >= END_MS:
+                continue
+            long = end // 1000 - start // 1000 >= candidate_s
+            new = [pos, start, end, packets, octets, aggs or 1]
+            if waiting is not None and start <= waiting[2]:
+                waiting = None  # collision, both are dropped
+                continue
+            if waiting is not None and start - waiting[2] < inactive:
+                new = [waiting[0], waiting[1], end, waiting[3] + packets, waiting[4] + octets, waiting[5] + 1]
+            elif waiting is not None:
+                out.append(tuple(waiting))
+            waiting = new if long else None
+            if not long:
+                out.append(tuple(new))
+        later = [r for r in later[ready:] if r[1] < END_MS]
+        if waiting is not None and waiting[2] + inactive <= mark:
             out.append(tuple(waiting))
             waiting = None
-        else:
-            rows = pd.concat(list(batches)).sort_values(["start_ms", "end_ms", "pos"])
-            for pos, start, end, packets, octets, aggs in rows[VALUES].itertuples(index=False, name=None):
-                long = end // 1000 - start // 1000 >= candidate_s
-                new = [pos, start, end, packets, octets, aggs or 1]
-                if waiting is not None and start <= waiting[2]:
-                    waiting = None  # collision, both are dropped
-                    continue
-                if waiting is not None and start - waiting[2] < inactive:
-                    new = [waiting[0], waiting[1], end, waiting[3] + packets, waiting[4] + octets, waiting[5] + 1]
-                elif waiting is not None:
-                    out.append(tuple(waiting))
-                waiting = new if long else None
-                if not long:
-                    out.append(tuple(new))
-        if waiting is None:
+        if waiting is None and not later:
             state.remove()
         else:
-            state.update(tuple(int(v) for v in waiting))
-            state.setTimeoutTimestamp(max(int(waiting[2]) + inactive, state.getCurrentWatermarkMs() + 1))
+            state.update(([int(v) for v in waiting or []], [int(v) for r in later for v in r]))
+            next_ = min(([waiting[2] + inactive] if waiting is not None else []) + [r[1] for r in later[:1]])
+            state.setTimeoutTimestamp(max(int(next_), mark + 1))
         yield pd.DataFrame([(*key, *row) for row in out], columns=[*keys, *VALUES])
 
     timed = records.select(*keys, *[F.col(v).cast("long").alias(v) for v in VALUES], F.timestamp_millis("start_ms").alias("ts"))
     return timed.withWatermark("ts", lateness).groupBy(*keys).applyInPandasWithState(
-        step, T.StructType([*key_fields, *values.fields]), values, "append", GroupStateTimeout.EventTimeTimeout)
+        step, T.StructType([*key_fields, *values.fields]), held, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def arrival_stream(flows: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -68,12 +81,30 @@ def arrival_stream(flows: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return per_second.select(idiv(second, DAY).alias("day"), (second % DAY).cast("int").alias("second"), "flows")
 
 
-def run_available(stream: DataFrame, folder: str) -> DataFrame:
-    """Process what is available, append it to a table under `folder`, and read that table."""
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+def with_end(stream: DataFrame, folder: str) -> DataFrame:
+    """`stream` and, once `run_available` has written it under `folder`, a row of zeros at the end of time."""
+    spark, path = stream.sparkSession, f"{folder}/end"
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
+def run_available(stream: DataFrame, folder: str, end: T.StructType | None = None, at: dict[str, int] | None = None) -> DataFrame:
+    """Process what is available, append it to a table under `folder`, and read that table.
+
+    With `end`, the schema that `with_end` saw, the input is taken as finished: a mark with the times `at` moves the
+    watermark past everything, so that nothing stays in the state.
+    """
     spark = stream.sparkSession
+
+    def run() -> None:
+        stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option(
+            "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if end is not None:
+        zero = [f.dataType.__class__ in (T.StringType,) and "" or 0 for f in end.fields]
+        row = tuple((at or {}).get(f.name, z) for f, z in zip(end.fields, zero))
+        for _ in range(2):  # the watermark of one run is what the next one acts on
+            spark.createDataFrame([row], end).write.mode("append").parquet(f"{folder}/end")
+            run()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
