@@ -17,7 +17,7 @@ from weirflow.plans.distribution_queries import LENGTH, SIZE
 from weirflow.plans.fixtures import flows, with_flows
 from weirflow.plans.registry import query
 
-KEY = "boojahyoo3vaeToong0Eijee7Ahz3yee"
+KEY = "weirflow-queries-need-some-key-1"
 
 
 @query("anonymize")
@@ -30,6 +30,32 @@ def anon_dictionary(spark, sf):
     return A.dictionary(flows(spark, sf), KEY)
 
 
+PREFIXES = (8, 16, 20, 24, 28, 32)
+_PREFIX_SQL = " union all ".join(
+    f"select '{c}' as field, {p} as prefix, n, count(*) as groups from (select count(*) as n from f group by {c} >> {32 - p}) group by n"
+    for c in ("sa3", "da3") for p in PREFIXES)
+
+
+@query("anonymize_prefixes", with_flows(f" select field, prefix, n, groups from ({_PREFIX_SQL})"))
+def anonymize_prefixes(spark, sf):
+    """Sizes of the groups that share a prefix: pseudonyms keep them, whatever the key."""
+    rows = A.anonymize(flows(spark, sf), KEY).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("field"), F.lit(p).alias("prefix"), F.shiftright(c, 32 - p).alias("group"))
+        for c in ("sa3", "da3") for p in PREFIXES])).alias("g")).select("g.*")
+    sizes = rows.groupBy("field", "prefix", "group").agg(F.count("*").alias("n"))
+    return sizes.groupBy("field", "prefix", "n").agg(F.count("*").alias("groups"))
+
+
+@query("anonymize_rest", with_flows("""
+  select pos, prot, sp, dp, "first", first_ms, "last", last_ms, packets, octets, sa3 = lag(sa3) over (order by pos) as same from f"""))
+def anonymize_rest(spark, sf):
+    """All other columns are kept, and equal neighbours in `pos` stay equal."""
+    rows = A.anonymize(flows(spark, sf), KEY)
+    before = rows.select((F.col("pos") + 1).alias("pos"), F.col("sa3").alias("b"))
+    return rows.join(before, "pos", "left").select(
+        "pos", "prot", "sp", "dp", "first", "first_ms", "last", "last_ms", "packets", "octets", (F.col("sa3") == F.col("b")).alias("same"))
+
+
 # --- mixtures
 
 CLOSED = [
