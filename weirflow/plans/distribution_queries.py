@@ -146,6 +146,13 @@ def summary_cdf(spark, sf):
     return _round(D.summary_cdf(_length(spark, sf), "length"), 6, suffix="_pct")
 
 
+@query("summary_cdf_size", with_flows(
+    SIZE + at_points_sql("select cast(64 as bigint) << i as x from range(25) r(i)") + " select x, " + ", ".join(
+        f"round({m}_cdf * 100, 6) as {m}_pct" for m in D.METRICS) + " from atp"))
+def summary_cdf_size(spark, sf):
+    return _round(D.summary_cdf(_size(spark, sf), "size"), 6, suffix="_pct")
+
+
 _SHARES = """, d as (select bin_lo, flows_sum, """ + ", ".join(
     f"cast({m}_sum as double) / cast(sum({m}_sum) over () as double) as {m}_pdf" for m in D.METRICS) + " from h)"
 

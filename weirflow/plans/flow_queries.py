@@ -19,7 +19,7 @@ from weirflow.plans.fixtures import (
     with_flows,
 )
 from weirflow.plans.registry import query
-from weirflow.schema import FIELDS
+from weirflow.schema import FIELDS, KEY_FIELDS, as_flows
 
 COLS = ", ".join(f'"{c}"' for c in [*FIELDS, "pos"])
 HTTPS = "prot = 6 and (sp = 443 or dp = 443)"
@@ -105,6 +105,21 @@ def merge_stats(spark, sf):
     return M.merge_stats(records(spark, sf), RECORD_KEYS, INACTIVE_S, ACTIVE_S)
 
 
+_KEYED = {f: "cast(user_id % 3 as int)" if f == "prot" else "cast(user_id as bigint)" if f == "sa3" else "0" for f in KEY_FIELDS}
+
+
+@query("merge_flow_table", f"""with {MERGE_CTE}
+select {", ".join(f'cast({v} as bigint) as {f}' for f, v in _KEYED.items())}, pos, start_ms // 1000 as "first", start_ms % 1000 as first_ms,
+  end_ms // 1000 as "last", end_ms % 1000 as last_ms, packets, octets, aggs from i where not dropped""")
+def merge_flow_table(spark, sf):
+    """Merge of whole flow records on all fourteen key fields."""
+    rows = records(spark, sf).selectExpr(
+        *[f"{v} as {f}" for f, v in _KEYED.items()], "pos", "start_ms div 1000 as first", "start_ms % 1000 as first_ms",
+        "end_ms div 1000 as last", "end_ms % 1000 as last_ms", "packets", "octets", "aggs")
+    merged = M.merge_flows(as_flows(rows), INACTIVE_S, ACTIVE_S)
+    return merged.select(*[F.col(c).cast("long").alias(c) for c in [*KEY_FIELDS, "pos", "first", "first_ms", "last", "last_ms", "packets", "octets", "aggs"]])
+
+
 # --- sort
 
 

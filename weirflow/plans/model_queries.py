@@ -237,3 +237,13 @@ def generate_size(spark, sf):
   r as (select *, {_uniform_sql('23', 'x || \':\' || "copy"')} as u from e) select x, "copy", {_complete_sql('length')} from r"""))
 def generate_expand(spark, sf):
     return G.expand_histogram(H.hist(flows(spark, sf), "length", 12), "length", 23)
+
+
+@query("generate_flows", with_flows(
+    "select count(*) as flows, cast(0 as bigint) as others from f"))
+def generate_flows(spark, sf):
+    """Generated flow records: as many as the table has flows, with zeros in all fields but packets and octets."""
+    h = H.hist(flows(spark, sf), "length", 12)
+    rows = G.to_flows(G.sample_histogram(h, h.agg(F.sum("flows_sum")).first()[0], "length", 24))
+    rest = [c for c in rows.columns if c not in ("packets", "octets")]
+    return rows.agg(F.count("*").alias("flows"), F.sum(F.greatest(*[F.abs(F.col(c)).cast("long") for c in rest])).alias("others"))

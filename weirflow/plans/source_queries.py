@@ -89,3 +89,13 @@ def multi_input(spark, sf):
     rows.filter("pos < 4000").orderBy("pos").drop("pos").write.parquet(first)
     rows.filter("pos >= 4000").orderBy("pos").drop("pos").write.parquet(second)
     return positioned.read_parquet(spark, [first, second]).filter("pos >= 1500")
+
+
+@query("results_roundtrip", with_flows("""select case when octets % 2 = 0 then 'even' else 'odd' end as algo, prot, count(*) as n,
+  cast(sum(octets) as bigint) as octets from f group by 1, 2"""))
+def results_roundtrip(spark, sf):
+    """A table of results written by kind and read again."""
+    kind = F.when(F.col("octets") % 2 == 0, "even").otherwise("odd").alias("algo")
+    path = f"{new_folder(spark)}/results"
+    derived.write_results(flows(spark, sf).groupBy(kind, "prot").agg(F.count("*").alias("n"), F.sum("octets").alias("octets")), path)
+    return spark.read.parquet(path).select("algo", "prot", "n", "octets")
