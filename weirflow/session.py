@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 _local_roots: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "weirflow") -> SparkSession:
@@ -46,6 +49,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end whatever was frozen inside: store or collect the results before."""
+    held: list[str] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        for path in held:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def freeze(df: DataFrame) -> DataFrame:
     """Write `df` once to the checkpoint folder and read it back.
 
@@ -53,6 +70,8 @@ def freeze(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/frozen-{uuid.uuid4().hex}"
+    for held in _scopes:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
