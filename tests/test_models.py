@@ -13,15 +13,17 @@ from weirflow.operators import fitting as FIT
 from weirflow.operators import mixture as M
 from weirflow.operators.mixture import Component
 
+# A published test vector of the pseudonym scheme (key, address, pseudonym)
 KEY = "boojahyoo3vaeToong0Eijee7Ahz3yee"
+VECTOR = ("192.0.2.1", "206.2.124.120")
 
 
 def test_pseudonym_vector_and_prefixes(spark):
-    base = int(ipaddress.ip_address("192.0.2.1"))
+    base = int(ipaddress.ip_address(VECTOR[0]))
     others = [base, base ^ 1, base ^ (1 << 8), base ^ (1 << 31)]
     df = spark.createDataFrame([(a,) for a in others], "a long")
     got = dict((r["a"], r["p"]) for r in df.select("a", A.pseudonym(spark, F.col("a"), KEY).alias("p")).collect())
-    assert got[base] == int(ipaddress.ip_address("206.2.124.120"))
+    assert got[base] == int(ipaddress.ip_address(VECTOR[1]))
     for other in others[1:]:
         assert (got[base] ^ got[other]).bit_length() == (base ^ other).bit_length()
     with pytest.raises(ValueError):
@@ -67,25 +69,25 @@ def recovered(spark, values, start, iterations):
 
 def test_recover_pareto_lognormal(spark):
     rng = np.random.default_rng(1)
-    pareto = 16 + 23.2 / 1.45 * ((1 - rng.random(4000)) ** -1.45 - 1)
-    mix = recovered(spark, np.concatenate([pareto, rng.lognormal(math.log(20), 5, 4000)]),
-                    [Component(0.2, "genpareto", (1.45, 16, 23.2)), Component(0.8, "lognorm", (5, 0, 20))], 20)
+    pareto = 12 + 30 / 1.2 * ((1 - rng.random(4000)) ** -1.2 - 1)
+    mix = recovered(spark, np.concatenate([pareto, rng.lognormal(math.log(40), 4, 4000)]),
+                    [Component(0.3, "genpareto", (1.2, 12, 30.0)), Component(0.7, "lognorm", (4.5, 0, 30))], 20)
     assert mix[0].weight == pytest.approx(0.5, abs=0.15)
     assert mix[0].weight + mix[1].weight == pytest.approx(1, abs=1e-9)
-    assert mix[1].params[0] == pytest.approx(5, abs=0.8)
+    assert mix[1].params[0] == pytest.approx(4, abs=0.8)
 
 
 def test_recover_gamma(spark):
     rng = np.random.default_rng(2)
-    mix = recovered(spark, rng.gamma(5.0, 2.0, 6000), [Component(1.0, "gamma", (3.0, 0.0, 3.0))], 60)
-    assert mix[0].params[0] * mix[0].params[2] == pytest.approx(10, rel=0.03)
-    assert mix[0].params[0] == pytest.approx(5, rel=0.1)
+    mix = recovered(spark, rng.gamma(3.5, 4.0, 6000), [Component(1.0, "gamma", (2.0, 0.0, 5.0))], 60)
+    assert mix[0].params[0] * mix[0].params[2] == pytest.approx(14, rel=0.03)
+    assert mix[0].params[0] == pytest.approx(3.5, rel=0.1)
 
 
 def test_recover_weibull(spark):
     rng = np.random.default_rng(3)
-    values = np.concatenate([rng.weibull(0.763, 4000) * 180.6, rng.weibull(0.984, 4000) * 96850.8])
-    mix = recovered(spark, values, [Component(0.1, "weibull_min", (0.6, 0, 120.6)), Component(0.1, "weibull_min", (0.9, 0, 66850.8))], 12)
+    values = np.concatenate([rng.weibull(0.8, 4000) * 150.0, rng.weibull(1.1, 4000) * 60000.0])
+    mix = recovered(spark, values, [Component(0.1, "weibull_min", (0.65, 0, 100.0)), Component(0.1, "weibull_min", (1.0, 0, 40000.0))], 12)
     assert mix[0].weight == pytest.approx(0.5, abs=0.05)
-    assert mix[0].params[0] == pytest.approx(0.763, abs=0.08)
-    assert mix[1].params[2] == pytest.approx(96850.8, rel=0.1)
+    assert mix[0].params[0] == pytest.approx(0.8, abs=0.08)
+    assert mix[1].params[2] == pytest.approx(60000.0, rel=0.1)
