@@ -91,3 +91,18 @@ def test_recover_weibull(spark):
     assert mix[0].weight == pytest.approx(0.5, abs=0.05)
     assert mix[0].params[0] == pytest.approx(0.8, abs=0.08)
     assert mix[1].params[2] == pytest.approx(60000.0, rel=0.1)
+
+
+def test_fit_over_many_tasks_equals_one(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    values = spark.createDataFrame([(float(v),) for v in np.round(rng.lognormal(3, 1, 3000)) + 1], "v double")
+    start = [Component(0.5, "lognorm", (1.0, 0.0, 10.0)), Component(0.5, "weibull_min", (0.9, 0.0, 40.0))]
+    seen = []
+    one = FIT.fit(FIT.values_histogram(values, "v"), "flows", start, 6, callback=lambda m, mix, it: seen.append((m, it)))[1]
+    monkeypatch.setattr(FIT, "BINS_PER_BLOCK", 40)
+    many = FIT.fit(FIT.values_histogram(values, "v"), "flows", start, 6)[1]
+    assert seen == [("flows", i) for i in range(7)]
+    for a, b in zip(one, many):
+        assert a.weight == pytest.approx(b.weight) and a.params == pytest.approx(b.params)
+    with pytest.raises(ValueError):
+        FIT.fit(FIT.values_histogram(values.limit(0), "v"), "flows", start, 2)

@@ -1,30 +1,29 @@
 """Expectation maximisation of mixtures on a histogram.
 
-Each iteration is one job: every block of bins computes responsibilities under the current parameters and returns a
-small matrix of weighted moments, whose sum gives the new parameters on the driver. Bins never leave the executors.
-The loop works on an RDD of numeric blocks kept in memory, because planning a DataFrame query per iteration would
-cost more than the iteration.
+The whole fit is one barrier stage: every task holds a part of the bins, computes responsibilities under the current
+parameters and a small matrix of weighted moments, and all tasks exchange these matrices, so each has the new parameters.
+Bins never leave the executors.
 """
 
 from __future__ import annotations
 
+import base64
 import math
-from collections.abc import Callable, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.functions.special import digamma, trigamma
 from weirflow.operators.mixture import Component, scalar_cdf
-from weirflow.session import checkpoint_root
 
 EPS = float(np.finfo(float).eps)
 START_WEIGHT = 0.1
-BINS_PER_BLOCK = 200_000
-TREE_ABOVE = 64
+BINS_PER_BLOCK = 200_000  # bins of one task, as long as there are task slots for more
 NEWTON_STEPS = 5
 
 
@@ -102,13 +101,6 @@ def _weibull_terms(block: np.ndarray, mix, first, trial: dict[int, tuple[float,
     return out
 
 
-def _sum(blocks: RDD, fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    parts = blocks.map(fn)
-    if blocks.getNumPartitions() > TREE_ABOVE:
-        return parts.treeReduce(lambda a, b: a + b)
-    return parts.reduce(lambda a, b: a + b)
-
-
 def _gamma_shape(target: float) -> float:
     """Solve digamma(a) = target."""
     a = math.exp(target) + 0.5 if target > -2.2 else -1 / (target + 0.5772156649015329)
@@ -167,8 +159,11 @@ class _Fit:
         return weibull[0], 0.0, weibull[1]
 
 
-def _newton_weibull(blocks: RDD, column: int, fit: _Fit, m: np.ndarray) -> dict[int, tuple[float, float]]:
-    """Shapes by a few Newton steps, all Weibull components sharing one job per step."""
+Total = Callable[[Callable[[np.ndarray], np.ndarray]], np.ndarray]
+
+
+def _newton_weibull(total: Total, column: int, fit: _Fit, m: np.ndarray) -> dict[int, tuple[float, float]]:
+    """Shapes by a few Newton steps, all Weibull components sharing one exchange per step."""
     trial = {}
     for i, c in enumerate(fit.mix):
         if c.dist == "weibull_min" and m[i, 0] > 0:
@@ -176,7 +171,7 @@ def _newton_weibull(blocks: RDD, column: int, fit: _Fit, m: np.ndarray) -> dict[
             trial[i] = (1.0, scale)
     for _ in range(NEWTON_STEPS if trial else 0):
         mix, first, now = fit.mix, fit.first(), dict(trial)
-        t = _sum(blocks, lambda b: _weibull_terms(b[[0, column, -1]], mix, first, now))
+        t = total(lambda b: _weibull_terms(b[[0, column, -1]], mix, first, now))
         for i, (k, scale) in now.items():
             w, log_mean = m[i, 0], m[i, 1] - math.log(scale) * m[i, 0]
             value = w / k + log_mean - t[i, 0]
@@ -185,65 +180,70 @@ def _newton_weibull(blocks: RDD, column: int, fit: _Fit, m: np.ndarray) -> dict[
     return trial
 
 
-def numeric_blocks(df: DataFrame, columns: Sequence[str], rows: int) -> RDD:
-    """Numeric blocks of `columns` (first one x, with ln x added at the end), kept in memory.
-
-    They are checkpointed: otherwise every iteration would ship the plan of the histogram with its tasks.
-    """
-    parts = -(-rows // BINS_PER_BLOCK)
-
-    def pack(batches):
-        for b in batches:
-            a = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(b.num_columns)])
-            a = np.vstack([a, np.log(a[:1])])
-            yield pa.RecordBatch.from_pydict({"block": pa.array([a.tobytes()], pa.binary())})
-
-    packed = df.select(*[F.col(c).cast("double") for c in columns]).repartition(parts).mapInArrow(pack, "block binary")
-    n = len(columns) + 1
-    blocks = packed.rdd.map(lambda r: np.frombuffer(r[0], float).reshape(n, -1)).persist(StorageLevel.MEMORY_AND_DISK)
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(checkpoint_root(df.sparkSession))
-    blocks.checkpoint()
-    blocks.count()
-    return blocks
+def _iterate(fits: list[_Fit], total: Total, max_iter: int, keep: bool) -> list[list[list[Component]]]:
+    """Run all iterations; the mixtures of every metric after each of them, or only the last."""
+    past = [[f.mix for f in fits]]
+    for _ in range(max_iter):
+        state = [(i + 1, f.mix, f.first()) for i, f in enumerate(fits)]
+        sums = total(lambda b: np.concatenate([_moments(b[[0, i, -1]], mix, first) for i, mix, first in state]))
+        at = 0
+        for i, f in enumerate(fits):
+            part = sums[at: at + len(f.mix)]
+            at += len(f.mix)
+            f.update(part, _newton_weibull(total, i + 1, f, part))
+        past = [*past, [f.mix for f in fits]] if keep else [[f.mix for f in fits]]
+    return past
 
 
 def fit_many(histogram: DataFrame, starts: dict[str, Sequence[Component] | dict[str, int]], max_iter: int = 100,
              max_pareto: float | None = None,
              callback: Callable[[str, list[Component], int], None] | None = None) -> dict[str, tuple[int, list[Component]]]:
-    """Fit one mixture per metric (`flows`, `packets`, `octets`); all metrics share the job of an iteration.
+    """Fit one mixture per metric (`flows`, `packets`, `octets`) in a single barrier stage.
 
+    Each task holds its bins in memory and the tasks exchange the moment sums of an iteration, a few numbers per
+    component, so an iteration costs one exchange and no job. If an executor is lost, the stage starts anew.
     `starts` gives a mixture, or the numbers of uniform, pareto and lognorm components to start from.
-    Returns `{metric: (sum, mixture)}`.
+    Returns `{metric: (sum, mixture)}`; `callback` gets the mixtures of all iterations in order, at the end.
     """
     metrics = list(starts)
     stats = histogram.agg(F.min("bin_lo"), F.max("bin_lo"), F.count("*"), *[F.sum(f"{m}_sum") for m in metrics]).first()
     low, high, rows, totals = stats[0], stats[1], stats[2], stats[3:]
-    fits = {}
+    if not rows:
+        raise ValueError("a histogram without bins can't be fitted")
+    if low <= 0:
+        raise ValueError("bins must lie above 0: the fit uses their logarithm")
+    fits = []
     for m, total in zip(metrics, totals):
         start = starts[m]
-        mix = initial_mixture(low, high, **start) if isinstance(start, dict) else start
-        fits[m] = _Fit(low, float(total), mix, max_pareto)
-    blocks = numeric_blocks(histogram, ["bin_lo", *[f"{m}_sum" for m in metrics]], rows)
-    try:
-        for it in range(max_iter):
-            state = [(i + 1, f.mix, f.first()) for i, f in enumerate(fits.values())]
-            if callback:
-                for m, f in fits.items():
-                    callback(m, f.mix, it)
-            sums = _sum(blocks, lambda b, state=state: np.concatenate([_moments(b[[0, i, -1]], mix, first) for i, mix, first in state]))
-            at = 0
-            for i, f in enumerate(fits.values()):
-                part = sums[at: at + len(f.mix)]
-                at += len(f.mix)
-                f.update(part, _newton_weibull(blocks, i + 1, f, part))
-        if callback:
-            for m, f in fits.items():
-                callback(m, f.mix, max_iter)
-    finally:
-        blocks.unpersist()
-    return {m: (int(total), fits[m].mix) for m, total in zip(metrics, totals)}
+        fits.append(_Fit(low, float(total), initial_mixture(low, high, **start) if isinstance(start, dict) else start, max_pareto))
+    parts = max(1, min(-(-rows // BINS_PER_BLOCK), histogram.sparkSession.sparkContext.defaultParallelism))
+    keep = callback is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) for b in batches]
+        block = np.concatenate(held, axis=1) if held else np.zeros((len(metrics) + 1, 0))
+        block = np.vstack([block, np.log(block[:1])])
+        context = BarrierTaskContext.get()
+
+        def total(fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+            own = fn(block)
+            if parts == 1:
+                return own
+            told = context.allGather(base64.b64encode(own.tobytes()).decode())
+            return sum(np.frombuffer(base64.b64decode(t), float).reshape(own.shape) for t in told)
+
+        past = _iterate(fits, total, max_iter, keep)
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_pydict({"past": pa.array([pickle.dumps(past)], pa.binary())})
+
+    columns = [F.col(c).cast("double") for c in ("bin_lo", *[f"{m}_sum" for m in metrics])]
+    done = histogram.select(*columns).repartition(parts).mapInArrow(run, "past binary", barrier=True).collect()[0]  # one row; a limit would not start all tasks
+    past = pickle.loads(done["past"])
+    if callback:
+        for it, mixes in enumerate(past):
+            for m, mix in zip(metrics, mixes):
+                callback(m, mix, it)
+    return {m: (int(total), mix) for m, total, mix in zip(metrics, totals, past[-1])}
 
 
 def fit(histogram: DataFrame, y_value: str, start: Sequence[Component] | dict[str, int], max_iter: int = 100,
