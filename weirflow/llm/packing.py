@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,6 +27,10 @@ CACHE_WORDS = 600_000
 _BLANK = re.compile("[ \t\n\r]+")
 _BEHIND = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe, which starts tokens of its own
 
+# fixed rule of byte-level tokenizers: printable bytes stand for themselves, the others are signs from 256 on, in order
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
 
 # ---- tokens
 
@@ -40,24 +45,29 @@ class WordIds(dict):
 
     def __init__(self, tokenizer: Tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.merges = tokenizer, tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
         letters = word.rstrip(_BEHIND)
-        if letters.isalpha() and max(letters) < "\u0250" and "\u0130" not in letters:
+        if letters.isalpha() and (letters.isascii() or max(letters) < "\u0250" and "\u0130" not in letters):
             low, behind = letters.lower(), word[len(letters):]
             if behind or low != word:
                 out = self[word] = self[low] + self[behind] if behind else self[low]
                 return out
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        out = self[word] = np.array(ids, "<u4").tobytes()
+            seen = low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            ids = [t.id for t in self.merges.tokenize(seen)]  # one piece: nothing to normalise or to cut
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        out = self[word] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
 
 def token_bytes(text: str, known: WordIds) -> bytes:
     if len(known) > CACHE_WORDS:
         known.clear()
-    return b"".join(map(known.__getitem__, _BLANK.split(text))) + np.array([END_ID], "<u4").tobytes()
+    # split() also cuts at four control characters that are no white space to the tokenizer
+    words = _BLANK.split(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+    return b"".join(map(known.__getitem__, words)) + np.array([END_ID], "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
