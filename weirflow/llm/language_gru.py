@@ -22,6 +22,7 @@ BATCH = 384
 RATE = 0.01
 SEED = 5
 HELD_OUT_PART = 3
+SALTS = 64
 CACHE_WORDS = 400_000
 AT_ONCE = 8192
 
@@ -165,8 +166,9 @@ def training_sample(docs: DataFrame) -> tuple[list[bytes], list[str]]:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     ).filter(F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS) & (part_of("doc_id", HELD_OUT_PART) != 1))
     ids = rows.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = ids.withColumn("turn", turn).filter(F.col("turn") <= TRAIN_DOCS).orderBy("turn", "lang").limit(TRAIN_DOCS)
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "doc_id")  # a language may have most rows
+    ids = ids.withColumn("turn", F.row_number().over(salted)).filter(F.col("turn") <= TRAIN_DOCS)
+    ids = ids.orderBy("turn", "h", "lang", "doc_id").limit(TRAIN_DOCS)
     chosen = F.broadcast(ids.select("doc_id").distinct())
     held = rows.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "lang", "text").limit(TRAIN_DOCS).collect()
     return [r["text"].encode() for r in held], [r["lang"] for r in held]
