@@ -153,15 +153,15 @@ class Hnsw:
             layer = Layer(self.vectors[: sizes[k]], 2 * DEGREE if k == 0 else DEGREE)
             while layer.size < sizes[k]:
                 step = min(sizes[k] - layer.size, max(32, min(AT_ONCE, layer.size // 8)))
-                layer.insert(step, self._entry(self.vectors[layer.size:layer.size + step]))
+                layer.insert(step, self._entry(self.vectors[layer.size:layer.size + step], self.layers))
             self.layers.append(layer)
 
-    def _entry(self, q: np.ndarray) -> np.ndarray:
-        """Nearest row of each query in the layers so far."""
-        if not self.layers:
+    def _entry(self, q: np.ndarray, layers: list[Layer]) -> np.ndarray:
+        """Nearest row of each query that a descent through `layers` finds."""
+        if not layers:
             return np.zeros(len(q), np.int64)
         at = np.argmax(q @ self.vectors[: self.top].T, axis=1)
-        for layer in self.layers[1:]:
+        for layer in layers[1:]:
             ids, sims, _ = layer.beam(q, at, min(8, layer.size))
             at = ids[np.arange(len(q)), np.argmax(sims, axis=1)]
         return at
@@ -169,21 +169,18 @@ class Hnsw:
     def within(self, q: np.ndarray, at_least: float, ef: int) -> np.ndarray:
         """(query, row of the original order) met at similarity `at_least` or more by a beam of `ef`.
 
-        A query with hits in half of its beam runs again with a wider one, up to the whole layer.
+        For a query with hits in half of its beam the beam is widened to all rows, which is a plain scan.
         """
         out = []
         for start in range(0, len(q), AT_ONCE):
-            todo, width = np.arange(start, min(start + AT_ONCE, len(q))), ef
-            while len(todo):
-                width = min(width, len(self.vectors))
-                upper, self.layers = self.layers, self.layers[:-1]
-                entry = self._entry(q[todo])
-                self.layers = upper
-                hits = self.layers[-1].beam(q[todo], entry, width, at_least)[2]
-                many = np.bincount(hits[:, 0], minlength=len(todo)) * 2 > width
-                if width == len(self.vectors):
-                    many[:] = False
-                done = ~many[hits[:, 0]]
-                out.append(np.stack([todo[hits[done, 0]], self.order[hits[done, 1]]], axis=1))
-                todo, width = todo[many], 4 * width
+            todo, own = np.arange(start, min(start + AT_ONCE, len(q))), q[start:start + AT_ONCE]
+            if ef < len(self.vectors):
+                hits = self.layers[-1].beam(own, self._entry(own, self.layers[:-1]), ef, at_least)[2]
+                many = np.bincount(hits[:, 0], minlength=len(todo)) * 2 > ef
+                hits = hits[~many[hits[:, 0]]]
+                out.append(np.stack([todo[hits[:, 0]], self.order[hits[:, 1]]], axis=1))
+                todo, own = todo[many], own[many]
+            if len(todo):
+                hits = np.argwhere(own @ self.vectors.T >= at_least)
+                out.append(np.stack([todo[hits[:, 0]], self.order[hits[:, 1]]], axis=1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
