@@ -375,6 +375,24 @@ def test_leaks_word_for_word_and_reparameterised(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def found_leaks(spark, items, texts):
+    """`(document, item)` to `(coverage, exact)`, by their places in the lists."""
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(x.doc_id, x.item_id): (x.coverage, x.exact) for x in decontaminate.leaks(docs, bench).collect()}
+
+
+def test_leaks_of_items_with_few_literals_are_found_word_for_word(spark):
+    r = random.Random(21)
+    numbers = "Sort the numbers 5 3 9 1 8 2 7 4 in ascending order"
+    mixed = "A table of prices was printed below for every shop in town : 4 8 1 5 9 3 7 2 6 8 4 1 3 5 9 7"
+    items = [numbers, "12 7 9 33 8", mixed, "Paris"]
+    texts = [f"{sentence(r, 20)}. {x} {sentence(r, 20)}" for x in items]
+    texts += [f"{sentence(r, 20)}. {x} {sentence(r, 20)}" for x in (numbers.replace("9", "6"), "12 7 9 33 5", mixed.replace("8", "11"))]
+    got = found_leaks(spark, items, texts)
+    assert got == {(0, 0): (1.0, True), (1, 1): (1.0, True), (2, 2): (1.0, True), (3, 3): (1.0, True), (6, 2): (1.0, False)}
+
+
 # ---- HTML
 
 

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from weirflow.llm.common import freeze, id_and_text, raw_texts, slices
 
 WINDOW = 8  # template tokens of a window; a shorter item is one window
-MIN_LITERALS = 4  # words of a window that must not be placeholders; 3 for items of fewer than eight tokens
+MIN_LITERALS = 4  # literal words of a window that matches with any values (3 in items of fewer than eight tokens); others match with the same
 COVERED = 0.8  # share of an item's coverable tokens that one document must hold in one alignment
 BROADCAST_WINDOWS = 4_000_000  # up to so many benchmark windows (32 MB of hashes) documents are probed before a shuffle
 CACHE_WORDS = 300_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+STRICT = np.uint64(0x5851F42D4C957F2D)
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
 
 # fixed values: common units, lower case
@@ -92,22 +93,36 @@ def template(words: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.where(slot, kind.astype(np.uint64), token), np.where(slot, value, np.uint64(0))
 
 
+def _mixed(out: np.ndarray, token: np.ndarray) -> np.ndarray:
+    out = (out ^ token) * PRIME
+    return out ^ out >> np.uint64(29)
+
+
 def windows(token: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of `size` template tokens, and whether it has literal words enough to say anything."""
+    """Hash of each window of `size` template tokens, and whether it is loose: has literal words enough for any values.
+
+    The hash of a window that is not loose includes the values in its slots, so that only the same values match.
+    """
     n = len(token) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     out = np.full(n, np.uint64(size))
     for k in range(size):
-        out = (out ^ token[k:k + n]) * PRIME
-        out ^= out >> np.uint64(29)
+        out = _mixed(out, token[k:k + n])
     literal = np.concatenate([[0], np.cumsum(slot == 0)])
     need = MIN_LITERALS if size == WINDOW else min(3, MIN_LITERALS)
-    return out, literal[size:] - literal[:-size] >= need
+    loose = literal[size:] - literal[:-size] >= need
+    strict = np.nonzero(~loose)[0]
+    if len(strict):
+        code = _mixed(out[strict], STRICT)
+        for k in range(size):
+            code = _mixed(code, slot[strict + k])
+        out[strict] = code
+    return out, loose
 
 
 def _rows(docs: DataFrame, probe: np.ndarray | None, sizes: list[int] | None) -> DataFrame:
-    """Template windows of `docs(doc_id, text)`: `doc_id, row_id, pos, size, tokens, hash, slots`.
+    """Template windows of `docs(doc_id, text)`: `doc_id, row_id, pos, size, tokens, hash, loose, slots`.
 
     With `probe` (sorted hashes) only windows that occur in it; with `sizes` None each text has its own size, at most
     `WINDOW`, as benchmark items do.
@@ -129,14 +144,14 @@ def _rows(docs: DataFrame, probe: np.ndarray | None, sizes: list[int] | None) ->
                     continue
                 token, slot = template(words, known)
                 for size in sizes if sizes is not None else [min(WINDOW, len(token))]:
-                    code, usable = windows(token, slot, size)
-                    at = np.nonzero(usable)[0]
+                    code, loose = windows(token, slot, size)
+                    at = np.arange(len(code))
                     if wanted is not None:
                         at = at[near[(code[at] >> np.uint64(44)).astype(np.int64)]]
                         place = np.minimum(np.searchsorted(wanted, code[at]), len(wanted) - 1)
                         at = at[wanted[place] == code[at]]
                     if len(at):
-                        out.append((doc_id, row, size, len(token), at, code[at], slot[at[:, None] + np.arange(size)]))
+                        out.append((doc_id, row, size, len(token), at, code[at], slot[at[:, None] + np.arange(size)], loose[at]))
             if out:
                 n = [len(x[4]) for x in out]
                 held = np.concatenate([x[6].ravel() for x in out]).view(np.int64)
@@ -149,37 +164,51 @@ def _rows(docs: DataFrame, probe: np.ndarray | None, sizes: list[int] | None) ->
                         pa.array(each.astype(np.int32)),
                         pa.array(np.repeat([x[3] for x in out], n)),
                         pa.array(np.concatenate([x[5] for x in out]).view(np.int64)),
+                        pa.array(np.concatenate([x[7] for x in out])),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(held)),
                     ],
-                    ["doc_id", "row_id", "pos", "size", "tokens", "hash", "slots"],
+                    ["doc_id", "row_id", "pos", "size", "tokens", "hash", "loose", "slots"],
                 )
 
-    schema = "doc_id long, row_id long, pos long, size int, tokens long, hash long, slots array<long>"
+    schema = "doc_id long, row_id long, pos long, size int, tokens long, hash long, loose boolean, slots array<long>"
     return docs.mapInArrow(run, schema)
 
 
 def _covered(starts, size):
-    """Tokens under the windows of `size` that begin at the given distinct places."""
+    """Tokens under the windows of `size` that begin at the given distinct places; null without any."""
     tail = F.slice(starts, F.lit(2), F.size(starts))
-    return size + F.aggregate(
-        F.arrays_zip(F.slice(starts, F.lit(1), F.size(starts) - 1).alias("a"), tail.alias("b")),
+    some = size + F.aggregate(
+        F.arrays_zip(F.slice(starts, F.lit(1), F.greatest(F.size(starts) - 1, F.lit(0))).alias("a"), tail.alias("b")),
         F.lit(0).cast("long"),
         lambda s, x: s + F.least(x["b"] - x["a"], size.cast("long")),
     )
+    return F.when(F.size(starts) > 0, some)
+
+
+def _places(column: str, only=None):
+    return F.sort_array(F.collect_set(F.col(column) if only is None else F.when(only, F.col(column))))
+
+
+def _one_to_one(pairs: str):
+    n = F.size(pairs)
+    return (F.size(F.array_distinct(F.col(f"{pairs}.i"))) == n) & (F.size(F.array_distinct(F.col(f"{pairs}.d"))) == n)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`doc_id, item_id, coverage, exact`: documents that hold a benchmark item, word for word or re-parameterised.
 
     Texts become templates: numbers, units after numbers and names turn into typed placeholders. Windows of eight
-    template tokens are joined by hash; the windows of one alignment of document and item must cover at least `COVERED`
-    of what the item's windows cover, and the values in the slots must map one to one (the same value always became
-    the same other value). `exact` says that all slot values are equal too. Whole texts are read and every window counts.
+    template tokens are joined by hash; a window with fewer than `MIN_LITERALS` literal words only matches with the same
+    values in its slots. The windows of one alignment of document and item must cover at least `COVERED` of the item, or
+    of what the item's windows with enough literal words cover, and the values in the slots must map one to one (the same
+    value always became the same other value). `exact` says that the alignment covers as much of the whole item with all
+    slot values equal too. Whole texts are read and every window counts.
 
     Documents are probed against the item hashes before any shuffle while these number at most `BROADCAST_WINDOWS`; a
     larger benchmark is joined by shuffling all windows, with the same result.
 
-    Null or blank texts and items, and items with fewer than three literal words, match nothing. Items or documents
+    Null or blank texts and items match nothing; an item without a window of enough literal words, such as a list of
+    numbers or one of fewer than three words, is only matched word for word. Items or documents
     without an id count under a null id. Repeated documents and items give one row per pair of ids. Empty tables on
     either side give no rows.
     """
@@ -192,24 +221,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         probe = np.sort(hashes)
     found = _rows(id_and_text(docs), probe, list(sizes or []))
     item = held.groupBy("row_id", "size").agg(
-        F.first("doc_id").alias("item_id"), F.sort_array(F.collect_set("pos")).alias("all")
+        F.first("doc_id").alias("item_id"), F.first("tokens").alias("whole"), _places("pos", F.col("loose")).alias("starts")
     )
-    item = item.select(F.col("row_id").alias("item_row"), "item_id", _covered(F.col("all"), F.col("size")).alias("whole"))
+    item = item.select(F.col("row_id").alias("item_row"), "item_id", "whole", _covered(F.col("starts"), F.col("size")).alias("coverable"))
     side = held.select(
         "hash", "size", F.col("row_id").alias("item_row"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")
     )
     pairs = found.join(side, ["hash", "size"]).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     slot = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0)
     aligned = pairs.groupBy("doc_id", "row_id", "item_row", "diagonal", "size").agg(
-        F.sort_array(F.collect_set("item_pos")).alias("starts"), F.array_distinct(F.flatten(F.collect_set(slot))).alias("map")
+        _places("item_pos").alias("starts"),
+        _places("item_pos", F.col("loose")).alias("loose_starts"),
+        F.array_distinct(F.flatten(F.collect_set(slot))).alias("map"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("loose"), slot)))).alias("loose_map"),
     )
-    from_, to = F.array_distinct(F.col("map.i")), F.array_distinct(F.col("map.d"))
-    judged = aligned.filter((F.size(from_) == F.size("map")) & (F.size(to) == F.size("map"))).join(item, "item_row")
+    judged = aligned.join(item, "item_row")
+    all_ = F.when(_one_to_one("map"), _covered(F.col("starts"), F.col("size")) / F.col("whole"))
+    loose = F.when(_one_to_one("loose_map"), _covered(F.col("loose_starts"), F.col("size")) / F.col("coverable"))
     judged = judged.select(
         "doc_id",
         "item_id",
-        (_covered(F.col("starts"), F.col("size")) / F.col("whole")).alias("coverage"),
-        F.forall("map", lambda x: x["i"] == x["d"]).alias("same"),
+        F.greatest(all_, loose).alias("coverage"),
+        F.coalesce((all_ >= COVERED) & F.forall("map", lambda x: x["i"] == x["d"]), F.lit(False)).alias("same"),
     )
     kept = judged.filter(F.col("coverage") >= COVERED)
     return kept.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("same").alias("exact"))
