@@ -393,6 +393,20 @@ def test_leaks_of_items_with_few_literals_are_found_word_for_word(spark):
     assert got == {(0, 0): (1.0, True), (1, 1): (1.0, True), (2, 2): (1.0, True), (3, 3): (1.0, True), (6, 2): (1.0, False)}
 
 
+def test_leaks_with_names_at_sentence_starts_and_glued_units(spark):
+    r = random.Random(22)
+    apples = "Tom has 5 apples. Tom gives 2 to Ann. How many apples has Tom now?"
+    road = "The bus drives 5km in 10min, stops for 3 m of rope and then drives another 5km before the crew weighs 40 g of salt"
+    title = "Every child in town knows the old song by heart"
+    texts = [
+        f"{sentence(r, 20)}. {apples.replace('Tom', 'Mia').replace('5', '7').replace('2', '3').replace('Ann', 'Eva')} {sentence(r, 9)}",
+        f"{sentence(r, 20)}. {road.replace('5km', '7km').replace('10min', '20min').replace('3 m', '9 h').replace('40 g', '8 l')} {sentence(r, 9)}",
+        f"{sentence(r, 20)}. {road.replace('5km', '5 km')}", f"{sentence(r, 20)} {title} {sentence(r, 9)}", f"{sentence(r, 20)} Paris {sentence(r, 9)}",
+    ]
+    got = found_leaks(spark, [apples, road, title, "Paris"], texts)
+    assert got == {(0, 0): (1.0, False), (1, 1): (1.0, False), (2, 1): (1.0, True), (3, 2): (1.0, True), (4, 3): (1.0, True)}
+
+
 # ---- HTML
 
 

@@ -32,31 +32,46 @@ UNITS = frozenset(
     b"dollars euro euros cent cents percent % $".split()
 )
 _NUMBER = re.compile(rb"[+-]?[0-9][0-9.,:/-]*(%|st|nd|rd|th)?")
+_GLUED = re.compile(rb"([+-]?[0-9][0-9.,:/-]*)([a-z]+)")
 _EDGE = b"!\"#$&'()*,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Words(dict):
-    """Word bytes to a row of the attribute columns, filled on the first sight of a word."""
+    """Word bytes to a row of the attribute columns, filled on the first sight of a word.
+
+    A number with a unit glued to it is two tokens: `unit` is the row of the second, else -1.
+    """
 
     def __init__(self):
         super().__init__()
         self.template, self.value, self.kind, self.ends = array("Q"), array("Q"), array("b"), array("b")
+        self.unit = array("q")
+
+    def add(self, low: bytes, kind: int, ends: bool, unit: int = -1) -> int:
+        self.template.append(xxhash.xxh64_intdigest(low, 1))
+        self.value.append(xxhash.xxh64_intdigest(low, 2) | 1)
+        self.kind.append(kind)
+        self.ends.append(ends)
+        self.unit.append(unit)
+        return len(self.kind) - 1
 
     def __missing__(self, word: bytes) -> int:
         bare = word.strip(_EDGE + b"%") or word.strip(_EDGE) or word
         text = bare.decode("utf-8", "replace")
         low = text.lower().encode("utf-8", "surrogatepass")
+        ends = word.rstrip(b"\"')]}*#%$&")[-1:] in (b".", b"!", b"?", b":")
+        glued = _GLUED.fullmatch(low)
+        unit = -1
         if _NUMBER.fullmatch(bare):
             kind = NUMBER
-        elif low in UNITS and len(low) > 1:
+        elif glued and glued[2] in UNITS:
+            unit = self.add(glued[2], UNIT, ends)
+            low, kind, ends = glued[1].strip(_EDGE), NUMBER, False
+        elif low in UNITS and bare != b"a":  # an article
             kind = UNIT
         else:
             kind = NAME if text[:1].isupper() and text[1:2].islower() else LITERAL
-        self.template.append(xxhash.xxh64_intdigest(low, 1))
-        self.value.append(xxhash.xxh64_intdigest(low, 2) | 1)
-        self.kind.append(kind)
-        self.ends.append(word.rstrip(b"\"')]}*#%$&")[-1:] in (b".", b"!", b"?", b":"))
-        row = self[word] = len(self)
+        row = self[word] = self.add(low, kind, ends, unit)
         return row
 
     def renew(self) -> None:
@@ -65,14 +80,19 @@ class Words(dict):
             self.__init__()
 
 
-def template(words: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Template tokens of a text and the value in each slot (0 for a literal word).
+def templates(words: list[bytes], known: Words) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Template tokens of a text and the value in each slot (0 for a literal word), by reading of sentence starts.
 
     A number, a unit after a number and a capitalised word inside a sentence become placeholders; a run of name words is
-    one slot. The first word of a sentence counts as a literal, lower-cased.
+    one slot. A capitalised word that begins a sentence may be a name or not: in reading 1 it is a literal, lower-cased,
+    in reading 2 a name. A text without such words has one template for both, as reading 3.
     """
     known.renew()
     at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    unit = np.frombuffer(known.unit, np.int64)[at]
+    glued = np.nonzero(unit >= 0)[0]
+    if len(glued):
+        at = np.insert(at, glued + 1, unit[glued])
     kind = np.frombuffer(known.kind, np.int8)[at]
     token = np.frombuffer(known.template, np.uint64)[at]
     value = np.frombuffer(known.value, np.uint64)[at]
@@ -81,12 +101,19 @@ def template(words: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray]:
     first[1:] = ends[:-1] == 1
     after_number = np.zeros(len(at), bool)
     after_number[1:] = kind[:-1] == NUMBER
-    kind = np.where((kind == NAME) & first | (kind == UNIT) & ~after_number, LITERAL, kind)
+    kind = np.where((kind == UNIT) & ~after_number, LITERAL, kind)
+    start = (kind == NAME) & first
+    if not start.any():
+        return [(3, *_slots(kind, token, value, first))]
+    return [(1, *_slots(np.where(start, LITERAL, kind), token, value, first)), (2, *_slots(kind, token, value, first))]
+
+
+def _slots(kind: np.ndarray, token: np.ndarray, value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     name = kind == NAME
-    joined = np.zeros(len(at), bool)
-    joined[1:] = name[1:] & name[:-1]
+    joined = np.zeros(len(kind), bool)
+    joined[1:] = name[1:] & name[:-1] & ~first[1:]
     start = np.nonzero(~joined)[0]
-    if len(start) < len(at):
+    if len(start) < len(kind):
         value = np.add.reduceat(value, start)
     kind, token = kind[start], token[start]
     slot = kind != LITERAL
@@ -122,7 +149,8 @@ def windows(token: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _rows(docs: DataFrame, probe: np.ndarray | None, sizes: list[int] | None) -> DataFrame:
-    """Template windows of `docs(doc_id, text)`: `doc_id, row_id, pos, size, tokens, hash, loose, slots`.
+    """Template windows of `docs(doc_id, text)`: `doc_id, row_id, pos, size, tokens, reading, hash,
+    loose, slots`.
 
     With `probe` (sorted hashes) only windows that occur in it; with `sizes` None each text has its own size, at most
     `WINDOW`, as benchmark items do.
@@ -142,16 +170,17 @@ def _rows(docs: DataFrame, probe: np.ndarray | None, sizes: list[int] | None) ->
                 words = text.split()
                 if not words:
                     continue
-                token, slot = template(words, known)
-                for size in sizes if sizes is not None else [min(WINDOW, len(token))]:
-                    code, loose = windows(token, slot, size)
-                    at = np.arange(len(code))
-                    if wanted is not None:
-                        at = at[near[(code[at] >> np.uint64(44)).astype(np.int64)]]
-                        place = np.minimum(np.searchsorted(wanted, code[at]), len(wanted) - 1)
-                        at = at[wanted[place] == code[at]]
-                    if len(at):
-                        out.append((doc_id, row, size, len(token), at, code[at], slot[at[:, None] + np.arange(size)], loose[at]))
+                for reading, token, slot in templates(words, known):
+                    for size in sizes if sizes is not None else [min(WINDOW, len(token))]:
+                        code, loose = windows(token, slot, size)
+                        at = np.arange(len(code))
+                        if wanted is not None:
+                            at = at[near[(code >> np.uint64(44)).astype(np.int64)]]
+                            place = np.minimum(np.searchsorted(wanted, code[at]), len(wanted) - 1)
+                            at = at[wanted[place] == code[at]]
+                        if len(at):
+                            held = slot[at[:, None] + np.arange(size)]
+                            out.append((doc_id, row, size, len(token), at, code[at], held, loose[at], reading))
             if out:
                 n = [len(x[4]) for x in out]
                 held = np.concatenate([x[6].ravel() for x in out]).view(np.int64)
@@ -163,14 +192,15 @@ def _rows(docs: DataFrame, probe: np.ndarray | None, sizes: list[int] | None) ->
                         pa.array(np.concatenate([x[4] for x in out]).astype(np.int64)),
                         pa.array(each.astype(np.int32)),
                         pa.array(np.repeat([x[3] for x in out], n)),
+                        pa.array(np.repeat(np.array([x[8] for x in out], np.int32), n)),
                         pa.array(np.concatenate([x[5] for x in out]).view(np.int64)),
                         pa.array(np.concatenate([x[7] for x in out])),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(held)),
                     ],
-                    ["doc_id", "row_id", "pos", "size", "tokens", "hash", "loose", "slots"],
+                    ["doc_id", "row_id", "pos", "size", "tokens", "reading", "hash", "loose", "slots"],
                 )
 
-    schema = "doc_id long, row_id long, pos long, size int, tokens long, hash long, loose boolean, slots array<long>"
+    schema = "doc_id long, row_id long, pos long, size int, tokens long, reading int, hash long, loose boolean, slots array<long>"
     return docs.mapInArrow(run, schema)
 
 
@@ -202,7 +232,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     values in its slots. The windows of one alignment of document and item must cover at least `COVERED` of the item, or
     of what the item's windows with enough literal words cover, and the values in the slots must map one to one (the same
     value always became the same other value). `exact` says that the alignment covers as much of the whole item with all
-    slot values equal too. Whole texts are read and every window counts.
+    slot values equal too. Whole texts are read and every window counts. A capitalised word at the start of a sentence is
+    read once as a literal and once as a name, and either reading may match; `5km` is read as `5 km`.
 
     Documents are probed against the item hashes before any shuffle while these number at most `BROADCAST_WINDOWS`; a
     larger benchmark is joined by shuffling all windows, with the same result.
@@ -220,22 +251,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hashes = held.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(np.uint64)
         probe = np.sort(hashes)
     found = _rows(id_and_text(docs), probe, list(sizes or []))
-    item = held.groupBy("row_id", "size").agg(
+    item = held.groupBy("row_id", "reading", "size").agg(
         F.first("doc_id").alias("item_id"), F.first("tokens").alias("whole"), _places("pos", F.col("loose")).alias("starts")
     )
-    item = item.select(F.col("row_id").alias("item_row"), "item_id", "whole", _covered(F.col("starts"), F.col("size")).alias("coverable"))
+    item = item.select(F.col("row_id").alias("item_row"), F.col("reading").alias("item_reading"), "item_id", "whole", _covered(F.col("starts"), F.col("size")).alias("coverable"))
     side = held.select(
-        "hash", "size", F.col("row_id").alias("item_row"), F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")
+        "hash",
+        "size",
+        F.col("row_id").alias("item_row"),
+        F.col("reading").alias("item_reading"),
+        F.col("pos").alias("item_pos"),
+        F.col("slots").alias("item_slots"),
     )
-    pairs = found.join(side, ["hash", "size"]).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    common = F.col("reading").bitwiseAND(F.col("item_reading")) != 0
+    pairs = found.join(side, ["hash", "size"]).filter(common).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     slot = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0)
-    aligned = pairs.groupBy("doc_id", "row_id", "item_row", "diagonal", "size").agg(
+    aligned = pairs.groupBy("doc_id", "row_id", "reading", "item_row", "item_reading", "diagonal", "size").agg(
         _places("item_pos").alias("starts"),
         _places("item_pos", F.col("loose")).alias("loose_starts"),
         F.array_distinct(F.flatten(F.collect_set(slot))).alias("map"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("loose"), slot)))).alias("loose_map"),
     )
-    judged = aligned.join(item, "item_row")
+    judged = aligned.join(item, ["item_row", "item_reading"])
     all_ = F.when(_one_to_one("map"), _covered(F.col("starts"), F.col("size")) / F.col("whole"))
     loose = F.when(_one_to_one("loose_map"), _covered(F.col("loose_starts"), F.col("size")) / F.col("coverable"))
     judged = judged.select(
