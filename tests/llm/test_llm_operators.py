@@ -407,6 +407,23 @@ def test_leaks_with_names_at_sentence_starts_and_glued_units(spark):
     assert got == {(0, 0): (1.0, False), (1, 1): (1.0, False), (2, 1): (1.0, True), (3, 2): (1.0, True), (4, 3): (1.0, True)}
 
 
+def test_leaks_with_inserted_and_deleted_tokens(spark):
+    r = random.Random(23)
+    long = sentence(r, 25)
+    w = long.split()
+    paid = "the owner of a small shop near the old bridge paid 5 coins for bread and then sold the same bread for 9 coins to a man"
+    rows = "row 1 has cost 5 and gain 7 ; row 2 has cost 9 and gain 3 ; row 4 has cost 6 and gain 8 ; row 11 has cost 12 and gain 13"
+    texts = [
+        " ".join([*w[:14], "added", *w[14:]]), " ".join(w[:11] + w[12:]), " ".join([*w[:8], "one", *w[8:17], "two", "more", *w[17:]]),
+        paid.replace("5 coins", "1 000 coins").replace("9", "11"), " ".join([*rows.split()[:15], "also", *rows.split()[15:]]),
+        " ".join([*w[:12], *sentence(r, 60).split(), *w[12:]]),  # too far apart to be one copy
+        paid.replace("the old", "the very old").replace("5", "8").replace("9", "8"),  # 5 and 9 became one value
+    ]
+    got = found_leaks(spark, [long, paid, rows], [f"{sentence(r, 30)} {t} {sentence(r, 10)}" for t in texts])
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (3, 1), (4, 2)}
+    assert got[0, 0] == got[2, 0] == (1.0, True) and got[1, 0] == (0.96, True) and not got[3, 1][1] and got[4, 2] == (1.0, True)
+
+
 # ---- HTML
 
 

@@ -18,6 +18,7 @@ from weirflow.llm.common import freeze, id_and_text, raw_texts, slices
 WINDOW = 8  # template tokens of a window; a shorter item is one window
 MIN_LITERALS = 4  # literal words of a window that matches with any values (3 in items of fewer than eight tokens); others match with the same
 COVERED = 0.8  # share of an item's coverable tokens that one document must hold in one alignment
+DRIFT = 5  # parts of an alignment may be shifted against each other by a fifth of the item's tokens and a window
 BROADCAST_WINDOWS = 4_000_000  # up to so many benchmark windows (32 MB of hashes) documents are probed before a shuffle
 CACHE_WORDS = 300_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -219,9 +220,84 @@ def _places(column: str, only=None):
     return F.sort_array(F.collect_set(F.col(column) if only is None else F.when(only, F.col(column))))
 
 
-def _one_to_one(pairs: str):
-    n = F.size(pairs)
-    return (F.size(F.array_distinct(F.col(f"{pairs}.i"))) == n) & (F.size(F.array_distinct(F.col(f"{pairs}.d"))) == n)
+def _edges(at: np.ndarray, slot: np.ndarray, whole: int) -> np.ndarray:
+    """Which of the covered tokens at the ascending places are slots at an inner end of an unbroken run."""
+    out, literal = np.zeros(len(at), bool), ~slot
+    for run in np.split(np.arange(len(at)), np.nonzero(np.diff(at) > 1)[0] + 1):
+        fixed = np.nonzero(literal[run])[0]
+        if at[run[0]] > 0:
+            out[run[: fixed[0] if len(fixed) else len(run)]] = True
+        if at[run[-1]] < whole - 1:
+            out[run[fixed[-1] + 1 if len(fixed) else 0:]] = True
+    return out
+
+
+def _united(at: np.ndarray, pos: np.ndarray, item: np.ndarray, doc: np.ndarray, whole: int) -> tuple[int, bool]:
+    """Tokens that one alignment covers of an item of `whole` tokens, and whether all slot values in it are the same.
+
+    `at` and `pos` are places of equal windows in item and document, `item` and `doc` their slots. The alignment takes
+    whole diagonals, the widest first: of each the tokens that lie in the same order in both texts as what is taken,
+    unless their values would break the one-to-one map. A slot next to an edit may be part of it ('5' that became
+    '1 000' equals both numbers), so one that doesn't fit the map is only not covered.
+    """
+    order = np.lexsort((at, pos - at))
+    at, pos, item, doc = at[order], pos[order], item[order], doc[order]
+    diagonals = []
+    for own in np.split(np.arange(len(at)), np.nonzero(np.diff(pos - at))[0] + 1):
+        places, one = np.unique(at[own][:, None] + np.arange(item.shape[1]), return_index=True)
+        a, b = item[own].ravel()[one], doc[own].ravel()[one]
+        diagonals.append((-len(places), not (a == b).all(), len(diagonals), int(pos[own[0]] - at[own[0]]), places, a, b))
+    taken, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    to, back, edges = {}, {}, []
+
+    def fits(i: int, d: int) -> bool:
+        return to.get(i, d) == d and back.get(d, i) == i
+
+    for *_, shift, places, a, b in sorted(diagonals, key=lambda x: x[:3]):
+        x, y = np.searchsorted(taken, places), np.searchsorted(held, places + shift)
+        free = (x == np.searchsorted(taken, places, "right")) & (y == np.searchsorted(held, places + shift, "right"))
+        free &= x == y
+        if not free.any():
+            continue
+        places, a, b = places[free], a[free], b[free]
+        edge = _edges(places, a != 0, whole)
+        inner = (a != 0) & ~edge
+        pairs = set(zip(a[inner].tolist(), b[inner].tolist()))
+        if len({i for i, _ in pairs}) == len(pairs) == len({d for _, d in pairs}) and all(fits(i, d) for i, d in pairs):
+            to.update(pairs)
+            back.update((d, i) for i, d in pairs)
+            edges += zip(places[edge].tolist(), (places[edge] + shift).tolist(), a[edge].tolist(), b[edge].tolist())
+            taken = np.sort(np.concatenate([taken, places[~edge]]))
+            held = np.sort(np.concatenate([held, places[~edge] + shift]))
+    own, other = set(taken.tolist()), set(held.tolist())
+    for place, there, i, d in edges:
+        if place not in own and there not in other and fits(i, d):
+            own.add(place)
+            other.add(there)
+            to[i], back[d] = d, i
+    return len(own), all(i == d for i, d in to.items())
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches):
+        rows = []
+        columns = [part.column(c).to_pylist() for c in ("doc_id", "item_id", "size", "whole", "coverable")]
+        for hits, doc_id, item_id, size, whole, coverable in zip(part.column("hits"), *columns):
+            at, pos, loose, item, doc = hits.values.flatten()
+            at, pos, loose = at.to_numpy(), pos.to_numpy(), loose.to_numpy(zero_copy_only=False)
+            item, doc = (x.flatten().to_numpy().reshape(-1, size) for x in (item, doc))
+            covered, same = _united(at, pos, item, doc, whole)
+            coverage, same = covered / whole, same and covered >= COVERED * whole
+            if loose.any():
+                most = covered if loose.all() else _united(at[loose], pos[loose], item[loose], doc[loose], whole)[0]
+                coverage = max(coverage, most / coverable)
+            if coverage >= COVERED:
+                rows.append((doc_id, item_id, coverage, same))
+        if rows:
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*rows), types)], ["doc_id", "item_id", "coverage", "same"]
+            )
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -231,7 +307,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     template tokens are joined by hash; a window with fewer than `MIN_LITERALS` literal words only matches with the same
     values in its slots. The windows of one alignment of document and item must cover at least `COVERED` of the item, or
     of what the item's windows with enough literal words cover, and the values in the slots must map one to one (the same
-    value always became the same other value). `exact` says that the alignment covers as much of the whole item with all
+    value always became the same other value). An alignment may have tokens inserted, deleted or replaced by another
+    number of tokens between windows, up to a shift of a window and a fifth of the item; a part of fewer than `WINDOW`
+    tokens between two such edits has no window and is not covered. `exact` says that the alignment covers as much of the whole item with all
     slot values equal too. Whole texts are read and every window counts. A capitalised word at the start of a sentence is
     read once as a literal and once as a name, and either reading may match; `5km` is read as `5 km`.
 
@@ -262,26 +340,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("reading").alias("item_reading"),
         F.col("pos").alias("item_pos"),
         F.col("slots").alias("item_slots"),
+        F.col("tokens").alias("whole"),
     )
     common = F.col("reading").bitwiseAND(F.col("item_reading")) != 0
-    pairs = found.join(side, ["hash", "size"]).filter(common).withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    slot = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda x: x["i"] != 0)
-    aligned = pairs.groupBy("doc_id", "row_id", "reading", "item_row", "item_reading", "diagonal", "size").agg(
+    pairs = found.join(side, ["hash", "size"]).filter(common)
+    half, diagonal = F.expr(f"whole div {DRIFT} + {WINDOW}"), F.col("pos") - F.col("item_pos")
+    band = F.array(2 * F.floor(diagonal / (2 * half)), 2 * F.floor((diagonal + half) / (2 * half)) + 1)
+    pairs = pairs.withColumn("band", F.explode(band))
+    banded = pairs.groupBy("doc_id", "row_id", "reading", "item_row", "item_reading", "size", "whole", "band").agg(
         _places("item_pos").alias("starts"),
         _places("item_pos", F.col("loose")).alias("loose_starts"),
-        F.array_distinct(F.flatten(F.collect_set(slot))).alias("map"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("loose"), slot)))).alias("loose_map"),
-    )
-    judged = aligned.join(item, ["item_row", "item_reading"])
-    all_ = F.when(_one_to_one("map"), _covered(F.col("starts"), F.col("size")) / F.col("whole"))
-    loose = F.when(_one_to_one("loose_map"), _covered(F.col("loose_starts"), F.col("size")) / F.col("coverable"))
-    judged = judged.select(
-        "doc_id",
-        "item_id",
-        F.greatest(all_, loose).alias("coverage"),
-        F.coalesce((all_ >= COVERED) & F.forall("map", lambda x: x["i"] == x["d"]), F.lit(False)).alias("same"),
+        F.collect_list(F.struct("item_pos", "pos", "loose", "item_slots", "slots")).alias("hits"),
     )
-    kept = judged.filter(F.col("coverage") >= COVERED)
+    # what all windows of a band cover together bounds what an alignment in it can cover
+    all_ = _covered(F.col("starts"), F.col("size")) >= COVERED * F.col("whole")
+    loose = _covered(F.col("loose_starts"), F.col("size")) >= COVERED * F.col("coverable")
+    likely = banded.join(item.drop("whole"), ["item_row", "item_reading"]).filter(all_ | F.coalesce(loose, F.lit(False)))
+    likely = likely.select("doc_id", "item_id", "size", "whole", "coverable", "hits")
+    kept = likely.mapInArrow(_judged, "doc_id long, item_id long, coverage double, same boolean")
     return kept.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("same").alias("exact"))
 
 
