@@ -452,6 +452,23 @@ def test_html_on_held_out_pages_and_faults(spark):
     assert html_crf.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p>one<svg class="x"/>two<p>three', ["onetwo", "three"]),
+        ("<p>one<math/>two</p><p>three", ["onetwo", "three"]),
+        ('<p>one<svg><title/><path d="m"/><title>no</title></svg> two<p>three', ["one two", "three"]),
+        ("<p>one<video src=x><p>two<canvas><p>three<object><p>four<audio>", ["one", "two", "three", "four"]),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds<object>and this</object></article>", ["so x=1 holdsand this"]),
+        ("<html><head><title>no</title><meta charset=utf-8><style>p{}</style><p>one<p>two", ["one", "two"]),
+        ("<html><head><title>no</title>\n one <b>more</b><p>two", ["one more", "two"]),
+        ("<head><script>no</script></head><p>one<script>no</script><noscript>no</noscript> two", ["one two"]),
+    ],
+)
+def test_html_blocks_of_unclosed_and_embedded_elements(page, want):
+    assert [b.text for b in html_crf.blocks(page)] == want
+
+
 # ---- repeats
 
 

@@ -27,7 +27,9 @@ BLOCK = frozenset(
     "table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "template", "noscript", "iframe", "svg", "math", "object", "textarea", "title", "canvas", "audio", "video")
+RAW = ("script", "style", "template", "noscript", "iframe", "textarea", "title")
+FOREIGN = ("svg", "math")  # in these, `/>` ends an element
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"),
     "option": ("option",), "tbody": ("td", "th", "tr", "thead", "tbody"), "body": ("head",),
@@ -89,8 +91,21 @@ def blocks(page: str) -> list[Block]:
         held.clear()
         linked = 0
 
+    def leave_head() -> None:
+        for i, (t, _) in enumerate(stack[:3]):
+            if t == "head":
+                del stack[i:]
+                break
+
+    def foreign(tag: str) -> bool:
+        if tag in FOREIGN or tag in BLOCK and tag != "title":
+            return tag in FOREIGN
+        return next((t in FOREIGN for t, _ in reversed(stack) if t in FOREIGN or t in BLOCK), False)
+
     def say(raw: str) -> None:
         nonlocal linked
+        if raw and not raw.isspace():
+            leave_head()
         if raw and not any(t == "head" for t, _ in stack[:3]):
             text = html.unescape(raw) if "&" in raw else raw
             held.append(text)
@@ -119,8 +134,12 @@ def blocks(page: str) -> list[Block]:
             elif tag == "p" and depth < 0:
                 flush()
             continue
+        if tag not in IN_HEAD:
+            leave_head()
+        if (m[3] or m[6] or "").endswith("/") and foreign(tag):  # an element without content
+            continue
         if tag in RAW:
-            if tag in ("title", "textarea"):
+            if tag in ("title", "textarea") and not foreign(tag):
                 flush()
             lowered = page.lower() if lowered is None else lowered
             end = lowered.find("</" + tag, at) if len(lowered) == len(page) else -1
@@ -308,6 +327,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     The page is cut into leaf blocks of text with their ancestors; a chain of two labels, trained here on labelled pages
     from a seeded generator, keeps or drops each by its ancestors' tags and names, its own text and its neighbours.
+    Of elements only scripts, styles, titles, templates, `noscript`, frames and text fields are left out with their text;
+    a head without end tag ends at the first text or element that can't stand in it.
     Character references are decoded, white space in a block is one space, blocks are joined by an empty line.
 
     Null or empty html, or a page without main text, gives an empty text and 0. Repeated rows and null ids or urls each
