@@ -102,6 +102,25 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_hnsw.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embedding_audit_sees_a_weak_graph_where_links_are_rare(monkeypatch):
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    v, q = r.normal(size=(1000, 16)), r.normal(size=(1000, 16))
+    q[:7] = v[:7]  # links are rare, and the audit's queries have none
+    own = np.concatenate([np.arange(990_000, 990_007), np.arange(2000, 2993)])
+    index = embedding_hnsw._build(pd.DataFrame({"shard": 0, "node": np.arange(1000), "n": 1, "v": list(v)}))
+    within = embedding_hnsw.Hnsw.within
+
+    def lossy(self, queries, least, beam):
+        hits = within(self, queries, least, beam)
+        return hits if beam > embedding_hnsw.BEAM else hits[hits[:, 1] % 7 != 0]
+
+    monkeypatch.setattr(embedding_hnsw.Hnsw, "within", lossy)
+    found = embedding_hnsw._search(pd.DataFrame({"node": own, "v": list(q)}), index)
+    assert set(own[:7]) <= set(found["u"]) | set(found["v"])
+
+
 # ---- chat
 
 
