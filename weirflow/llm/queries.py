@@ -5,9 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weirflow.llm import chat_repair, decontaminate, embedding_hnsw, html_crf, language_gru, packing, pii_crf, quality_ri, repeats, simhash_pivots
+from weirflow.llm import (
+    chat_repair,
+    collocations,
+    decontaminate,
+    embedding_hnsw,
+    html_crf,
+    language_gru,
+    packing,
+    pii_crf,
+    quality_ri,
+    rank_bpe,
+    repeats,
+    simhash_pivots,
+    turn_align,
+)
 from weirflow.llm.common import table, tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,5 +89,25 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(packing.TOKENIZER))
 
 
+@query
+def op11_turn_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_align.damaged_audits(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path(rank_bpe.TOKENIZER)
+    both = rank_bpe.decode(rank_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
+ORACLES["op12_collocations"] = collocations.ORACLE_SQL
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
