@@ -6,17 +6,20 @@ many packets; `sampling` with a probability on each packet. Levels are packets (
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.operators.distribution import gap_index, gap_sums, inside, interpolate, points_frame
-from weirflow.operators.positions import prefix_sums
+from weirflow.operators.positions import prefix_sums, self_bucketed, with_neighbours
 from weirflow.session import spread
 
 # Probabilities 1/2^0 .. 1/2^24, their reciprocals as thresholds, the least packet of 64 bytes
 LEVELS = 25
+BATCH_ROWS = 8192  # flows that meet all levels at once
 MIN_PACKET = 64
 WHAT = ["flows", "packets", "fraction", "octets"]
 
@@ -75,14 +78,16 @@ def coverage_sampling(histogram: DataFrame, x_value: str = "length", ps: Sequenc
                       bucket: Column | None = None) -> DataFrame:
     """Expected share after the packet that is sampled with probability p.
 
-    Sums over bins once in order (bounded histogram, or `bucket` for unit bins), then every bin meets every
-    probability and is summed map-side.
+    Sums over bins once in order, in buckets if there are more bins than one window may take; then every bin meets
+    every probability, and is summed map-side.
     """
     metrics = ("flows", "packets", "octets")
     h = histogram.select("bin_lo", *[f"{m}_sum" for m in metrics], *[(F.col(f"{m}_sum") / F.col("bin_lo")).alias(f"{m}_per") for m in metrics])
+    if bucket is None:
+        h, bucket = self_bucketed(h, "bin_lo")
     h = prefix_sums(h, "bin_lo", {f"{m}_rest": f"{m}_per" for m in metrics}, bucket, descending=True)
     h = prefix_sums(h, "bin_lo", {"octets_upto": "octets_sum", "packets_upto": "packets_sum", "flows_upto": "flows_sum"}, bucket)
-    h = with_previous(h, "bin_lo", bucket).withColumn("_gap", F.col("bin_lo") - F.coalesce("_previous", F.lit(0)))
+    h = with_neighbours(h, "bin_lo", bucket).withColumn("_gap", F.col("bin_lo") - F.coalesce("_previous", F.lit(0)))
     x = F.col("bin_lo").cast("double")
     rows = spread(h).withColumn("p", F.explode(F.array(*[F.lit(p) for p in ps or probabilities()])))
     if x_value == "length":
@@ -102,15 +107,22 @@ def coverage_sampling(histogram: DataFrame, x_value: str = "length", ps: Sequenc
     return _finish(sums, {w: F.col(w) for w in WHAT}, ["p"])
 
 
-def with_previous(df: DataFrame, order: str, bucket: Column | None = None) -> DataFrame:
-    """Value of `order` in the row before, as `_previous`."""
-    if bucket is None:
-        return df.withColumn("_previous", F.lag(order).over(Window.orderBy(order)))
-    b = df.withColumn("_bucket", bucket)
-    edges = b.groupBy("_bucket").agg(F.max(order).alias("_max"))
-    edges = edges.select("_bucket", F.lag("_max").over(Window.orderBy("_bucket")).alias("_edge"))
-    inner = b.withColumn("_previous", F.lag(order).over(Window.partitionBy("_bucket").orderBy(order)))
-    return inner.join(edges, "_bucket").withColumn("_previous", F.coalesce("_previous", "_edge")).drop("_bucket", "_edge")
+def _sampled_sizes(ps: Sequence[float]):
+    """Sums per task and level of what `sampling` by bytes covers; a batch meets all levels as a matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, total = np.array(ps)[:, None], np.zeros((7, len(ps)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                p, o = (batch.column(c).slice(start, BATCH_ROWS).to_numpy(zero_copy_only=False) for c in ("p", "o"))
+                q = np.minimum(level * o / p / MIN_PACKET, 1.0)
+                added = 1 - (1 - q) ** p
+                share = 1 - (1 - q) * added / q / p
+                total += np.stack([np.full(len(ps), len(p)), np.full(len(ps), p.sum()), np.full(len(ps), o.sum()),
+                                   added.sum(axis=1), share @ p, share.sum(axis=1), share @ o])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array(ps), *total)], ["level", "n", "pk", "oc", "added", "packets", "share", "octets"])
+
+    return run
 
 
 def coverage_records(flows: DataFrame, x_value: str = "length", ps: Sequence[float] | None = None) -> DataFrame:
@@ -150,20 +162,18 @@ def coverage_records(flows: DataFrame, x_value: str = "length", ps: Sequence[flo
         "octets": (F.col("oc") - lv * F.col("oc_per")) / oc,
     }, [F.lit("threshold").alias("method"), "level"])
 
-    if size:  # nearly every flow has its own pair of packets and octets: no exchange before the sums
-        groups = flows.select("packets", "octets", F.lit(1).cast("long").alias("n"), F.col("octets").alias("oc"))
+    if size:  # nearly every flow has its own pair of packets and octets: summed per batch, without a row per level
+        s = flows.select(p_.cast("double").alias("p"), o_.cast("double").alias("o")).mapInArrow(_sampled_sizes(ps), "level double, n double, pk double, oc double, added double, packets double, share double, octets double")
     else:
         groups = spread(flows.groupBy("packets").agg(F.count("*").alias("n"), F.sum("octets").alias("oc")))
-    s = groups.withColumn("level", F.explode(F.array(*[F.lit(p) for p in ps])))
-    s = s.withColumn("p", F.least(F.col("level") * F.col("octets") / F.col("packets") / MIN_PACKET, F.lit(1.0)) if size else F.col("level"))
-    s = s.withColumn("added", 1 - F.pow(1 - F.col("p"), p_.cast("double")))
-    s = s.withColumn("share", 1 - (1 - F.col("p")) * F.col("added") / F.col("p") / p_)
+        s = groups.withColumn("level", F.explode(F.array(*[F.lit(p) for p in ps])))
+        added = 1 - F.pow(1 - F.col("level"), p_.cast("double"))
+        share = 1 - (1 - F.col("level")) * added / F.col("level") / p_
+        s = s.select("level", "n", (F.col("n") * p_).alias("pk"), "oc", (F.col("n") * added).alias("added"), (F.col("n") * p_ * share).alias("packets"),
+                     (F.col("n") * share).alias("share"), (F.col("oc") * share).alias("octets"))
     s = s.groupBy("level").agg(
-        (F.sum(F.col("n") * F.col("added")) / F.sum("n")).alias("flows"),
-        (F.sum(F.col("n") * p_ * F.col("share")) / F.sum(F.col("n") * p_)).alias("packets"),
-        (F.sum(F.col("n") * F.col("share")) / F.sum("n")).alias("fraction"),
-        (F.sum(F.col("oc") * F.col("share")) / F.sum("oc")).alias("octets"),
-    )
+        (F.sum("added") / F.sum("n")).alias("flows"), (F.sum("packets") / F.sum("pk")).alias("packets"),
+        (F.sum("share") / F.sum("n")).alias("fraction"), (F.sum("octets") / F.sum("oc")).alias("octets"))
     sampling = _finish(s, {w: F.col(w) for w in WHAT}, [F.lit("sampling").alias("method"), "level"])
     return first.unionByName(threshold).unionByName(sampling)
 

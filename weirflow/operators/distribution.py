@@ -2,8 +2,8 @@
 
 Where values are wanted at given points, histogram rows are first summed per gap between points. That needs one
 hash aggregate with a handful of groups, whatever the size of the histogram; windows then run over the points.
-Windows over bins run in one task unless a bucket expression is given: a log-binned histogram is bounded
-(`max_log_bins`), one with unit bins is not and should pass `bucket=unit_bucket()`.
+Windows over bins bound themselves: a histogram with more bins than one window may take, as with unit bins, is cut into
+buckets along its bins (`self_bucketed`).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions import flowcols as fc
-from weirflow.operators.positions import prefix_sums
+from weirflow.operators.positions import prefix_sums, self_bucketed, with_neighbours
 from weirflow.session import spread
 
 METRICS = ["flows", "packets", "octets"]
@@ -31,7 +31,9 @@ def unit_bucket(bin_exp: int = 12) -> Column:
 
 
 def cdf(histogram: DataFrame, metrics: Sequence[str] = METRICS, bucket: Column | None = None) -> DataFrame:
-    """Empirical CDF per bin."""
+    """Empirical CDF per bin; `bucket` overrides the buckets that a large histogram gets."""
+    if bucket is None:
+        histogram, bucket = self_bucketed(histogram.select("bin_lo", *[f"{m}_sum" for m in metrics]), "bin_lo")
     out = prefix_sums(histogram, "bin_lo", {f"_c_{m}": f"{m}_sum" for m in metrics}, bucket)
     return out.select("bin_lo", *[(F.col(f"_c_{m}") / F.col(f"_c_{m}_total")).alias(f"{m}_cdf") for m in metrics])
 
@@ -143,16 +145,15 @@ def pdf_points(histogram: DataFrame, normalize: bool = True, bin_exp: int = 0,
                metrics: Sequence[str] = METRICS) -> DataFrame:
     """Share of the total per bin; normalised by the distance to the next bin so that log bins compare.
 
-    The last bin takes the distance before it, cut down to a bin edge of exponent `bin_exp`. Histogram of bounded
-    size (log bins); unit bins need no normalisation.
+    The last bin takes the distance before it, cut down to a bin edge of exponent `bin_exp`.
     """
     totals = histogram.agg(*[F.sum(f"{m}_sum").alias(f"_t_{m}") for m in metrics])
     share = {m: F.col(f"{m}_sum") for m in metrics}
     df = histogram.join(F.broadcast(totals))  # one row
     if normalize:
-        w = Window.orderBy("bin_lo")
-        df = df.withColumn("_prev", F.lag("bin_lo").over(w)).withColumn("_next", F.lead("bin_lo").over(w))
-        last = fc.bin_low(F.col("bin_lo") + (F.col("bin_lo") - F.col("_prev")), bin_exp)
+        df, bucket = self_bucketed(df, "bin_lo")
+        df = with_neighbours(df, "bin_lo", bucket)
+        last = fc.bin_low(F.col("bin_lo") + (F.col("bin_lo") - F.col("_previous")), bin_exp)
         df = df.withColumn("_gap", F.coalesce(F.col("_next"), last) - F.col("bin_lo"))
         share = {m: c / F.col("_gap") for m, c in share.items()}
     return df.select("bin_lo", "flows_sum", *[

@@ -23,7 +23,7 @@ def bit_array() -> Column:
     machine code.
     """
     table = F.expr("array(" + ", ".join("array(" + ", ".join(f"{v:08b}") + ")" for v in range(256)) + ")")
-    return F.flatten(F.array(*[F.get(table, b) for b in byte_columns()]))
+    return F.flatten(F.transform(F.array(*byte_columns()), lambda b: F.get(table, b)))
 
 
 def feature_array(kind: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weirflow.functions.flowcols import idiv
 from weirflow.functions.hashing import uniform
 from weirflow.operators.mixture import Mixture, mix_average, sample
-from weirflow.operators.positions import prefix_sums
+from weirflow.operators.positions import WINDOW_ROWS, prefix_sums, self_bucketed
 from weirflow.schema import FIELDS, as_flows
 from weirflow.session import broadcast_if
 
@@ -57,6 +57,8 @@ def sample_histogram(histogram: DataFrame, n: int, x_value: str = "length", seed
         return spark.range(0).select("id", F.lit(0).cast("long").alias("packets"), F.lit(0).cast("long").alias("octets"))
     stretches = 1 << max(bins - 1, 1).bit_length()
     width = max(1, -(-total // stretches))
+    if bucket is None and bins > WINDOW_ROWS:
+        histogram, bucket = self_bucketed(histogram, "bin_lo")
     line = prefix_sums(histogram, "bin_lo", {"_hi": "flows_sum"}, bucket).select(
         F.col("bin_lo").alias("x"), (F.col("octets_sum") / F.col("packets_sum")).alias("packet_size"),
         (F.col("_hi") - F.col("flows_sum")).alias("_lo"), "_hi")

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from weirflow.functions import flowcols as fc
 from weirflow.functions.flowcols import idiv
 from weirflow.functions.hashing import HASH_BITS, hash_bits
-from weirflow.operators.positions import nth_positions
+from weirflow.operators.positions import nth_positions_by
 from weirflow.session import freeze
 
 SIZE_BUCKET_EXP = 12
@@ -55,22 +54,21 @@ def _cuts(flows: DataFrame, sizes: DataFrame, measure: Column, targets_of: Calla
     open_targets = [t for t in targets if 0 < t <= total]
     hits = []
     if open_targets:
-        def crossing(upto: str, own: str):
-            return reduce(lambda a, b: a | b, [(F.col(upto) >= F.lit(t)) & (F.col(upto) - F.col(own) < F.lit(t)) for t in open_targets])
+        wanted = F.array(*[F.lit(t) for t in open_targets])
+
+        def crossing(upto: str, own: str) -> Column:
+            return F.exists(wanted, lambda t: (F.col(upto) >= t) & (F.col(upto) - F.col(own) < t))
 
         down = Window.orderBy(F.desc("_bucket"))
         buckets = s.groupBy("_bucket").agg(F.sum("_m").alias("_b")).withColumn("_upto", F.sum("_b").over(down))
-        carried = {r["_bucket"]: r["_upto"] - r["_b"] for r in buckets.filter(crossing("_upto", "_b")).collect()}
-        carry = F.lit(0).cast("long")
-        for b, c in carried.items():
-            carry = F.when(F.col("_bucket") == b, F.lit(c).cast("long")).otherwise(carry)
+        carried = buckets.filter(crossing("_upto", "_b")).select("_bucket", (F.col("_upto") - F.col("_b")).alias("_carry"))  # one per target at most
         inner = Window.partitionBy("_bucket").orderBy(F.desc("octets"))
         hits = (
-            s.filter(F.col("_bucket").isin(list(carried)))
-            .withColumn("_upto", F.sum("_m").over(inner) + carry)
+            s.join(F.broadcast(carried), "_bucket")
+            .withColumn("_upto", F.sum("_m").over(inner) + F.col("_carry"))
             .filter(crossing("_upto", "_m")).select("octets", "n", "_m", "_upto").collect()
         )
-    cuts = []
+    cuts: list[Cut | tuple[int, int]] = []
     for t in targets:
         if t <= 0:
             cuts.append(Cut(None, None))
@@ -90,9 +88,9 @@ def _cuts(flows: DataFrame, sizes: DataFrame, measure: Column, targets_of: Calla
         elif ties >= hit["n"]:
             cuts.append(Cut(hit["octets"], None))
         else:
-            same = flows.filter(F.col("octets") == hit["octets"])
-            cuts.append(Cut(hit["octets"], nth_positions(same, [ties - 1], pos)[0]))
-    return cuts
+            cuts.append((hit["octets"], ties - 1))  # the cut lies among equal flows: told apart below, all targets together
+    last = nth_positions_by(flows, "octets", [c for c in cuts if not isinstance(c, Cut)], pos)
+    return [c if isinstance(c, Cut) else Cut(c[0], last[c]) for c in cuts]
 
 
 def coverage_cuts(flows: DataFrame, coverages: Sequence[float], pos: str = "pos",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.operators.positions import rank_rows
+from weirflow.operators.positions import number_rows
 
 
 def _order(keys: Sequence[str], reverse: bool, pos: str):
@@ -21,14 +21,15 @@ def sort_flows(flows: DataFrame, keys: Sequence[str], reverse: bool = False, pos
 
 
 def sort_ranked(flows: DataFrame, keys: Sequence[str], reverse: bool = False, pos: str = "pos") -> DataFrame:
-    """`sort_flows` with an explicit `rank` column."""
-    return rank_rows(flows, _order(keys, reverse, pos), "rank")
+    """The rows with their `rank` in the order of `sort_flows`: the permutation joined back, so rows are moved once and
+    not written."""
+    return apply_index(flows, sort_index(flows, keys, reverse, pos), pos).select(*flows.columns, "rank")
 
 
 def sort_index(flows: DataFrame, keys: Sequence[str], reverse: bool = False, pos: str = "pos") -> DataFrame:
-    """The permutation `(rank, pos)`; only key columns and `pos` are moved."""
-    slim = flows.select(*dict.fromkeys([*keys, pos]))
-    return rank_rows(slim, _order(keys, reverse, pos), "rank").select("rank", pos)
+    """The permutation `(rank, pos)`: key columns and `pos` are moved, and only `pos` is written with its place."""
+    slim = flows.select(*dict.fromkeys([*keys, pos])).orderBy(*_order(keys, reverse, pos)).select(pos)
+    return number_rows(slim, "rank").select("rank", pos)
 
 
 def apply_index(df: DataFrame, index: DataFrame, pos: str = "pos") -> DataFrame:
