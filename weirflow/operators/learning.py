@@ -1,7 +1,8 @@
 """Heavy-hitter classifiers and size regressors with Spark ML, per fold, feature set and level.
 
-Models are independent Spark jobs and run from a small pool of driver threads; every model comes back as a few
-scalars. Training samples and test folds are written once per fold.
+Models are independent Spark jobs and run from a small pool of driver threads. All levels of one algorithm decide in one
+scan of a part, which leaves one array of decisions per flow; scores, occupancy and stored decisions of all levels come
+from that frame, so the number of scans does not grow with the number of levels. Results are a few scalars per level.
 """
 
 from __future__ import annotations
@@ -13,17 +14,18 @@ from itertools import product
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirflow.operators.distribution import gap_index
 from weirflow.operators.evaluation import COUNTS
-from weirflow.operators.features import with_features
+from weirflow.operators.features import INPUTS, with_features
 from weirflow.operators.labels import coverage_cuts, top_sample, top_split, with_folds
-from weirflow.operators.occupancy import occupancy, occupancy_ratio
-from weirflow.operators.reduction import reduction_score, thresholds
+from weirflow.operators.occupancy import occupancy_levels, occupancy_masks, occupancy_ratios
+from weirflow.operators.reduction import reduction_scores, thresholds
 from weirflow.session import freeze
+from weirflow.sources.decisions import pack_decisions, write_decisions
 
 # Levels 1 - 1/b^k, powers of the sample weights, share of flows that train a classifier
 COVERAGE_BASE = 1.37972966146121546
@@ -52,14 +54,20 @@ CLASSIFY_SCHEMA = T.StructType(
     _MODEL + [T.StructField(n, T.DoubleType()) for n in ("training_coverage", "coverage", "reduction", *OCCUPANCY)]
     + [T.StructField(n, T.LongType()) for n in COUNTS] + _SHAPE)
 REGRESS_SCHEMA = T.StructType(
-    _MODEL + [T.StructField(n, T.DoubleType()) for n in ("threshold", "coverage", "reduction", "r2")]
+    _MODEL + [T.StructField(n, T.DoubleType()) for n in ("threshold", "coverage", "reduction", *OCCUPANCY, "r2")]
     + [T.StructField(n, T.LongType()) for n in COUNTS] + _SHAPE)
+OCCUPANCY_WINDOW = 300, 720  # fixed values: seconds over which the ratios are taken
 
 
 def training_coverages(steps: int = COVERAGE_STEPS) -> list[float]:
     return [1 - COVERAGE_BASE**-k for k in range(1, steps + 1)]
 
 
+def sample_weight(power: float) -> Column:
+    """Weight of a training flow: larger flows count more."""
+    return F.pow(F.col("octets").cast("double"), F.lit(power))
+
+
 def model_shape(model) -> dict:
     """Feature importances; depth and leaves of the trees (a binary tree of n nodes has (n + 1) / 2 leaves)."""
     trees = list(getattr(model, "trees", None) or [model])
@@ -72,7 +80,7 @@ def model_shape(model) -> dict:
             **dict(zip(TREE_STATS, (*stats(depths), *stats(leaves))))}
 
 
-def _run(spark: SparkSession, tasks: list[Callable[[], list[dict]]], parallel: int) -> list[dict]:
+def _run(spark: SparkSession, tasks: list[Callable[[], list]], parallel: int) -> list:
     if parallel <= 1:
         return [row for task in tasks for row in task()]
     with ThreadPoolExecutor(parallel) as pool:
@@ -83,65 +91,100 @@ def _frame(spark: SparkSession, rows: list[dict], schema: T.StructType) -> DataF
     return spark.createDataFrame([tuple(r.get(n) for n in schema.names) for r in rows], schema)
 
 
-def _decision_row(decided: DataFrame, decision: str, label: str) -> dict:
-    """Coverage, reduction and confusion of a decision in one aggregate."""
-    d, t = F.col(decision), F.col(label)
-    r = decided.agg(
-        F.try_divide(F.sum(F.when(d, F.col("octets"))), F.sum("octets")).alias("coverage"),
-        F.try_divide(F.count("*"), F.count_if(d)).alias("reduction"),
-        *[F.count_if(c).alias(n) for n, c in zip(COUNTS, (~t & ~d, ~t & d, t & ~d, t & d))],
-    ).first()
-    return r.asDict()
+def level_scores(decided: DataFrame, labels: Sequence[Column], decisions: Sequence[Column]) -> DataFrame:
+    """`level, coverage, reduction, tn, fp, fn, tp`: every level's decisions against its labels, from one pass.
+
+    Flows are first summed by their pattern of labels and decisions, map-side; only patterns are spread over levels.
+    """
+    cells = F.array(*[(F.coalesce(t.cast("int"), F.lit(0)) * 2 + F.coalesce(d.cast("int"), F.lit(0))).cast("string") for t, d in zip(labels, decisions)])
+    patterns = decided.select(F.array_join(cells, "").alias("cells"), "octets").groupBy("cells").agg(F.count("*").alias("n"), F.sum("octets").alias("o"))
+    at = patterns.select("n", "o", F.posexplode(F.split("cells", "")).alias("level", "cell")).filter(F.col("cell") != "")
+    n, o, selected = F.col("n"), F.col("o"), F.col("cell").isin("1", "3")
+
+    def counted(cell: int) -> Column:
+        return F.sum(F.when(F.col("cell") == str(cell), n).otherwise(0))
+
+    return at.groupBy("level").agg(
+        F.try_divide(F.sum(F.when(selected, o).otherwise(0)), F.sum(o)).alias("coverage"),
+        F.try_divide(F.sum(n), F.sum(F.when(selected, n))).alias("reduction"), *[counted(i).alias(c) for i, c in enumerate(COUNTS)])
+
+
+def decide(part: DataFrame, prep: str, models: Sequence, columns: Sequence[str]) -> DataFrame:
+    """`columns` of a part and `decided`, one boolean per model: all models predict in the same scan, which is written once."""
+    out = with_features(part.select(*dict.fromkeys([*columns, *[name for name, _ in INPUTS]])), prep)
+    for i, model in enumerate(models):
+        named = model.copy().setPredictionCol(f"_d{i}")
+        for other in ("rawPredictionCol", "probabilityCol"):  # not needed
+            if named.hasParam(other):
+                named.set(named.getParam(other), "")
+        out = named.transform(out)
+    return freeze(out.select(*columns, F.array(*[F.col(f"_d{i}") == 1 for i in range(len(models))]).alias("decided")))
 
 
 def classify(flows: DataFrame, folds: int = 5, kinds: Sequence[str] = FEATURES, algos: dict[str, Callable] | None = None,
              coverages: Sequence[float] | None = None, seed: int = 0, modes: Sequence[str] = ("test",),
              ratio: float = SAMPLE_RATIO, with_occupancy: bool = False, parallel: int = 4, pos: str = "pos",
-             pps: int | None = None, fps: int | None = None, timeout: int = 15) -> DataFrame:
+             pps: int | None = None, fps: int | None = None, timeout: int = 15, store: str | None = None) -> DataFrame:
     """Train on large and random flows of the other folds, decide on the fold, and score; tidy result rows.
 
     "Data" is the pseudo-model that decides by the true label. `with_occupancy` adds flow table ratios per second,
-    with starts, durations and timeout as in `occupancy`.
+    with starts, durations and timeout as in `occupancy`. `store` names a folder for the packed true and predicted
+    decisions of every model, fold and level (`weirflow.sources.decisions`).
     """
     algos = CLASSIFIERS if algos is None else algos
     coverages = list(coverages or training_coverages())
     spark = flows.sparkSession
+    levels = range(len(coverages))
     tagged = freeze(with_folds(flows, folds, pos))
+    timed = ["packets", "first", "last"] if with_occupancy else []
     rows: list[dict] = []
     for fold in range(folds):
         parts = {"train": tagged.filter(F.col("fold") != fold), "test": tagged.filter(F.col("fold") == fold)}
         train_cuts = coverage_cuts(parts["train"], coverages, pos)
         cuts = {m: train_cuts if m == "train" else coverage_cuts(parts["test"], coverages, pos) for m in modes}
-        sample = freeze(top_sample(parts["train"], ratio, seed, pos).withColumn("weight", F.pow("octets", F.lit(CLASSIFY_POWER))))
-        base = {m: freeze(occupancy(parts[m], None, pps, fps, timeout)) for m in modes} if with_occupancy else {}
-
-        def score(model, prep, algo, level, fold=fold, parts=parts, cuts=cuts, base=base):
-            out = []
-            for mode in modes:
-                label = cuts[mode][level].column(pos=pos)
-                data = parts[mode].withColumn("label", label)
-                if model is None:
-                    data = data.withColumn("decision", F.col("label"))
-                else:
-                    data = model.transform(with_features(data, prep)).withColumn("decision", F.col("prediction") == 1)
-                row = {"algo": algo, "prep": prep, "mode": mode, "fold": fold, "training_coverage": coverages[level],
-                       **_decision_row(data, "decision", "label"), **(model_shape(model) if model is not None else {})}
-                if with_occupancy:
-                    row |= occupancy_ratio(base[mode], occupancy(data, F.col("decision"), pps, fps, timeout)).select(*OCCUPANCY).first().asDict()
-                out.append(row)
-            return out
-
-        def train(prep, algo, level, score=score, sample=sample, train_cuts=train_cuts):
-            data = with_features(sample, prep).select("features", "weight", train_cuts[level].column(pos=pos).cast("double").alias("label"))
-            model = algos[algo](seed).setWeightCol("weight").fit(data)
-            return score(model, prep, algo, level)
-
-        tasks = [lambda a=a: train(*a) for a in product(kinds, algos, range(len(coverages)))]
-        tasks += [lambda i=i, score=score: score(None, "raw", "Data", i) for i in range(len(coverages))]
+        inputs = {}
+        if algos and kinds:
+            sample = freeze(top_sample(parts["train"], ratio, seed, pos).withColumn("weight", sample_weight(CLASSIFY_POWER)))
+            inputs = {prep: freeze(with_features(sample, prep).select("features", "weight", "octets", pos)) for prep in kinds}
+
+        def fit(prep, algo, level, inputs=inputs, train_cuts=train_cuts):
+            data = inputs[prep].withColumn("label", train_cuts[level].column(pos=pos).cast("double"))
+            return [algos[algo](seed).setWeightCol("weight").fit(data)]
+
+        def score(prep, algo, mode, models, fold=fold, parts=parts, cuts=cuts):
+            labels = [cut.column(pos=pos) for cut in cuts[mode]]
+            columns = [pos, "octets", *timed]
+            if models is None:
+                data, decisions = parts[mode].select(*columns), labels
+            else:
+                data = decide(parts[mode], prep, models, columns)
+                decisions = [F.col("decided")[i] for i in levels]
+            told = {"algo": algo, "prep": prep, "mode": mode, "fold": fold}
+            ratios = {}
+            if with_occupancy:
+                series = occupancy_masks(data, decisions, pps, fps, timeout, OCCUPANCY_WINDOW[1])
+                ratios = {r["level"]: r.asDict() for r in occupancy_ratios(series, *OCCUPANCY_WINDOW).collect()}
+            if store:
+                store_decisions(data, {"true": labels, "predicted": decisions}, told, store, pos)
+            return [{**told, "training_coverage": coverages[r["level"]], **ratios.get(r["level"], {}), **r.asDict(),
+                     **(model_shape(models[r["level"]]) if models is not None else {})}
+                    for r in level_scores(data, labels, decisions).collect()]  # one row per level
+
+        keys = list(product(kinds, algos))
+        fitted = iter(_run(spark, [lambda a=a: fit(*a) for a in product(kinds, algos, levels)], parallel))
+        trained = {key: [next(fitted) for _ in levels] for key in keys}
+        tasks = [lambda a=(*key, m, models), score=score: score(*a) for key, models in trained.items() for m in modes]
+        tasks += [lambda m=m, score=score: score("raw", "Data", m, None) for m in modes]
         rows += _run(spark, tasks, parallel)
     return _frame(spark, rows, CLASSIFY_SCHEMA)
 
 
+def store_decisions(data: DataFrame, kinds: dict[str, Sequence[Column]], told: dict, path: str, pos: str = "pos") -> None:
+    """Write the packed decisions of one model on one part; its description names the folder, so models store at once."""
+    for kind, decisions in kinds.items():
+        write_decisions(pack_decisions(data, decisions, pos), path, {**told, "kind": kind})
+
+
 def threshold_scores(predicted: DataFrame, cuts: Sequence[float]) -> DataFrame:
     """Coverage, reduction and confusion at every threshold, from one pass.
 
@@ -154,61 +197,103 @@ def threshold_scores(predicted: DataFrame, cuts: Sequence[float]) -> DataFrame:
     p, t = F.col("p") > F.col("c.i"), F.col("t") > F.col("c.i")
     n = F.col("n")
     return at.groupBy(F.col("c.threshold").alias("threshold")).agg(
-        F.try_divide(F.sum(F.when(p, F.col("o"))), F.sum("o")).alias("coverage"),
+        F.try_divide(F.sum(F.when(p, F.col("o")).otherwise(0)), F.sum("o")).alias("coverage"),
         F.try_divide(F.sum(n), F.sum(F.when(p, n))).alias("reduction"),
         *[F.sum(F.when(c, n).otherwise(0)).alias(name) for name, c in zip(COUNTS, (~t & ~p, ~t & p, t & ~p, t & p))])
 
 
 def regress(flows: DataFrame, folds: int = 5, kinds: Sequence[str] = FEATURES, algos: dict[str, Callable] | None = None,
             cuts: Sequence[float] | None = None, seed: int = 0, modes: Sequence[str] = ("train", "test"), parallel: int = 4,
-            pos: str = "pos") -> DataFrame:
-    """Predict flow sizes per fold and decide by thresholds on the prediction; tidy result rows with R^2."""
+            pos: str = "pos", with_occupancy: bool = False, pps: int | None = None, fps: int | None = None, timeout: int = 15,
+            store: str | None = None) -> DataFrame:
+    """Predict flow sizes per fold and decide by thresholds on the prediction; tidy result rows with R^2.
+
+    "Data" is the pseudo-model that predicts the true size. `with_occupancy` adds the flow table ratios per second of
+    every threshold, all from one aggregate; `store` keeps the packed true and predicted decisions.
+    """
     algos = REGRESSORS if algos is None else algos
     cuts = list(cuts or thresholds(REGRESS_THRESHOLDS))
     tagged = freeze(with_folds(flows, folds, pos))
+    timed = ["packets", "first", "last"] if with_occupancy else []
+    octets = F.col("octets").cast("double")
+
+    def score(told, predicted, shape):
+        error = F.sum(F.pow(F.col("octets") - F.col("prediction"), F.lit(2)))
+        r2 = predicted.agg(F.try_divide(error, F.var_pop("octets") * F.count("*")).alias("u")).first()["u"]
+        ratios = {}
+        if with_occupancy:
+            series = occupancy_levels(predicted, gap_index(F.col("prediction"), cuts), len(cuts), pps, fps, timeout, OCCUPANCY_WINDOW[1])
+            ratios = {cuts[r["level"]]: r.asDict() for r in occupancy_ratios(series, *OCCUPANCY_WINDOW).collect()}
+        if store:
+            store_decisions(predicted, {"true": [octets > c for c in cuts], "predicted": [F.col("prediction") > c for c in cuts]}, told, store, pos)
+        return [{**told, "r2": None if r2 is None else 1 - r2, **ratios.get(r["threshold"], {}), **r.asDict(), **shape}
+                for r in threshold_scores(predicted, cuts).collect()]  # one row per threshold
 
     def train(fold, prep, algo):
         parts = {"train": tagged.filter(F.col("fold") != fold), "test": tagged.filter(F.col("fold") == fold)}
-        octets = F.col("octets").cast("double")
-        data = with_features(parts["train"], prep).select("features", octets.alias("label"), F.pow(octets, F.lit(REGRESS_POWER)).alias("weight"))
-        model = algos[algo](seed).setWeightCol("weight").fit(data)
-        shape = model_shape(model)
+        model, shape = None, {}
+        if algo != "Data":
+            data = with_features(parts["train"], prep).select("features", octets.alias("label"), sample_weight(REGRESS_POWER).alias("weight"))
+            model = algos[algo](seed).setWeightCol("weight").fit(data)
+            shape = model_shape(model)
         out = []
         for mode in modes:
-            predicted = model.transform(with_features(parts[mode], prep)).select("octets", "prediction")
-            error = F.sum(F.pow(F.col("octets") - F.col("prediction"), F.lit(2)))
-            r2 = predicted.agg((1 - error / (F.var_pop("octets") * F.count("*"))).alias("r2")).first()["r2"]
-            for r in threshold_scores(predicted, cuts).collect():  # one row per threshold
-                out.append({"algo": algo, "prep": prep, "mode": mode, "fold": fold, "r2": r2, **r.asDict(), **shape})
+            columns = [pos, "octets", *timed]
+            if model is None:
+                predicted = parts[mode].select(*columns, octets.alias("prediction"))
+            else:  # written once: scores, ratios and stored decisions all read it
+                predicted = freeze(model.transform(with_features(parts[mode], prep)).select(*columns, "prediction"))
+            out += score({"algo": algo, "prep": prep, "mode": mode, "fold": fold}, predicted, shape)
         return out
 
-    tasks = [lambda a=a: train(*a) for a in product(range(folds), kinds, algos)]
+    tasks = [lambda a=a: train(*a) for a in [*product(range(folds), kinds, algos), *product(range(folds), ["raw"], ["Data"])]]
     return _frame(flows.sparkSession, _run(flows.sparkSession, tasks, parallel), REGRESS_SCHEMA)
 
 
 TUNE_SCHEMA = T.StructType([
     T.StructField("trees", T.IntegerType()), T.StructField("depth", T.IntegerType()), T.StructField("leaf", T.IntegerType()),
-    T.StructField("fold", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    T.StructField("fold", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("rows", T.LongType())])
+
+
+def tune_scores(predicted: DataFrame, predictions: str = "predictions") -> DataFrame:
+    """`model, score`: the reduction at 80 % coverage of every model, from one pass over an array of predictions per flow.
+
+    Flows meet each model as a pair of interval and octets, summed map-side into 26 groups per model.
+    """
+    cuts = thresholds()
+    gaps = F.transform(predictions, lambda p: gap_index(p, cuts))
+    per = predicted.select("octets", F.posexplode(gaps).alias("model", "_gap")).withColumn("_p", _gap_value(F.col("_gap"), cuts))
+    return reduction_scores(per, "_p", ["model"])
+
+
+def _gap_value(gap: Column, cuts: Sequence[float]) -> Column:
+    """A size inside an interval between thresholds, which stands for all predictions there."""
+    return F.element_at(F.array(F.lit(0.0), *[F.lit(c * 1.5) for c in cuts]), gap + 1)
 
 
 def tune(flows: DataFrame, trees: Sequence[int] = (23,), depths: Sequence[int] = tuple(range(20, 31)),
          leaves: Sequence[int] = (1, 2, 3, 4), folds: int = 5, ratio: float = SAMPLE_RATIO, prep: str = "bytes", seed: int = 0,
-         parallel: int = 4, pos: str = "pos") -> DataFrame:
+         parallel: int = 4, pos: str = "pos", model: Callable | None = None) -> DataFrame:
     """Grid search of forests by the reduction at 80 % coverage on folds trained on large and random flows.
 
-    One row per grid point: mean, deviation and rank of the score. Depth is limited to 30 by the trees.
+    One row per grid point: mean, deviation and rank of the score, and the rows of the test folds. All models of a fold
+    predict in one scan of it. Depth is limited to 30 by the trees. `model(trees, depth, leaf)` gives another estimator.
     """
+    grid = list(product(trees, depths, leaves))
+    spark = flows.sparkSession
+    make = model or (lambda t, d, leaf: RandomForestRegressor(numTrees=t, maxDepth=d, minInstancesPerNode=leaf, maxBins=256, seed=seed))
     rows: list[dict] = []
     for fold, sample, test in top_split(freeze(flows), folds, ratio, seed, pos):
         train = freeze(with_features(sample, prep).select("features", F.col("octets").cast("double").alias("label")))
-
-        def one(t, d, leaf, fold=fold, train=train, test=test):
-            model = RandomForestRegressor(numTrees=t, maxDepth=d, minInstancesPerNode=leaf, maxBins=256, seed=seed).fit(train)
-            predicted = model.transform(with_features(test, prep)).select("octets", F.col("prediction").alias("predicted"))
-            row = reduction_score(predicted).first()
-            return [{"trees": t, "depth": d, "leaf": leaf, "fold": fold, "score": row["score"] if row else None}]
-
-        rows += _run(flows.sparkSession, [lambda a=a, one=one: one(*a) for a in product(trees, depths, leaves)], parallel)
-    scores = _frame(flows.sparkSession, rows, TUNE_SCHEMA)
-    mean = scores.groupBy("trees", "depth", "leaf").agg(F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"))
+        models = _run(spark, [lambda a=a, train=train: [make(*a).fit(train)] for a in grid], parallel)
+        out = with_features(test, prep)
+        for i, m in enumerate(models):
+            out = m.copy().setPredictionCol(f"_d{i}").transform(out)
+        predicted = freeze(out.select("octets", F.array(*[f"_d{i}" for i in range(len(models))]).alias("predictions")))
+        scores = {r["model"]: r["score"] for r in tune_scores(predicted).collect()}  # one row per grid point
+        n = predicted.count()
+        rows += [{"trees": t, "depth": d, "leaf": leaf, "fold": fold, "score": scores.get(i), "rows": n} for i, (t, d, leaf) in enumerate(grid)]
+    scores = _frame(spark, rows, TUNE_SCHEMA)
+    mean = scores.groupBy("trees", "depth", "leaf").agg(
+        F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.sum("rows").alias("rows"))
     return mean.withColumn("rank", F.rank().over(Window.orderBy(F.desc_nulls_last("mean_score"))))

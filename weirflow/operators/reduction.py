@@ -56,18 +56,24 @@ def coverage_grid() -> list[float]:
 
 
 def interpolate_reduction(curve: DataFrame, points: Sequence[float], scale: float = 100.0,
-                          close: bool = True) -> DataFrame:
-    """Reduction on a coverage grid: null left of the curve, last value right of it.
+                          close: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """Reduction on a coverage grid, per group `by`: null left of the curve, last value right of it.
 
     `close` adds the point where everything is covered and nothing is reduced.
     """
-    knots = curve.select((F.col("coverage") * scale).alias("x"), "reduction")
+    knots = curve.select(*by, (F.col("coverage") * scale).alias("x"), "reduction")
+    groups = knots.select(*by).distinct() if by else knots.sparkSession.range(1).select()
     if close:
-        knots = knots.unionByName(knots.sparkSession.range(1).select(
-            F.lit(scale).alias("x"), F.lit(1.0).alias("reduction")))
-    knots = knots.groupBy("x").agg(F.min("reduction").alias("reduction"))
-    grid = points_frame(curve, list(points)).select("x")
-    return interpolate(knots, grid, "x", ["reduction"], right="clamp")
+        knots = knots.unionByName(groups.select(*by, F.lit(scale).alias("x"), F.lit(1.0).alias("reduction")))
+    knots = knots.groupBy(*by, "x").agg(F.min("reduction").alias("reduction"))
+    grid = groups.withColumn("x", F.explode(F.array(*[F.lit(float(p)) for p in points])))
+    return interpolate(knots, grid, "x", ["reduction"], by, right="clamp")
+
+
+def reduction_scores(flows: DataFrame, predicted: str, by: Sequence[str], coverage: float = 0.8) -> DataFrame:
+    """`by…, score`: `reduction_score` of every group, from one aggregate."""
+    curve = reduction_curve(flows, predicted, by=by)
+    return interpolate_reduction(curve, [coverage], 1.0, False, by).select(*by, F.col("reduction").alias("score"))
 
 
 def reduction_score(flows: DataFrame, predicted: str = "predicted", coverage: float = 0.8) -> DataFrame:
