@@ -102,3 +102,24 @@ def test_stream_equals_batch(spark, tmp_path):
     merged = ST.merge_stream(ST.with_end(stream, str(tmp_path)), ["k"], INACTIVE, ACTIVE, f"{span // 4 + 1000} milliseconds")
     got = ST.run_available(merged, str(tmp_path), stream.schema, {"start_ms": ST.END_MS, "end_ms": ST.END_MS})
     assert collected(got) == want
+
+
+def test_one_hot_key_waits_in_small_parts_and_late_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "PART_ROWS", 7)
+    day = 86_400_000
+    rows = [(1, pos, s + day, e + day, *rest) for _, pos, s, e, *rest in random_rows(500, 1, 5)]
+    rows += [(k, 1000 + pos, s + day, e + day, *rest) for k, pos, s, e, *rest in random_rows(60, 3, 6)]
+    rows = list({r[1]: r for r in rows}.values())
+    batch = spark.createDataFrame(rows, SCHEMA)
+    want = collected(M.merge_records(batch, ["k"], INACTIVE, ACTIVE))
+    rng = random.Random(1)
+    rows.sort(key=lambda r: r[2] + rng.uniform(0, 120_000))
+    for n in range(3):
+        spark.createDataFrame(rows[n::3], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    span = max(r[2] for r in rows) - min(r[2] for r in rows)
+    for name, bucket in (("a", 1.0), ("b", 600.0), ("c", None)):
+        folder = str(tmp_path / name)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        merged = ST.merge_stream(ST.with_end(stream, folder), ["k"], INACTIVE, ACTIVE, f"{span + 200_000} milliseconds", bucket)
+        got = ST.run_available(merged, folder, stream.schema, {"start_ms": ST.END_MS, "end_ms": ST.END_MS})
+        assert collected(got) == want

@@ -2,75 +2,142 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from weirflow.functions.flowcols import idiv
 from weirflow.operators.series import DAY
 
 VALUES = ["pos", "start_ms", "end_ms", "packets", "octets", "aggs"]
 END_MS = 7_258_118_400_000  # the year 2200, later than any record: the time of an end mark (pandas ends in 2262)
+PART_ROWS = 1024  # records of one state value
+OUT_ROWS = 16_384
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class MergeProcessor(StatefulProcessor):
+    """State of one key: its records by time bucket, in parts of `PART_ROWS`, and the flow that later ones may continue.
+
+    A bucket has a timer at its end. By then no earlier record can come, so the bucket is read, merged in time order and
+    dropped; nothing else of the key is touched. The flow has a timer at the end of the bucket in which it can no longer
+    be continued. Timers fire in the order of time.
+    """
+
+    def __init__(self, keys: Sequence[str], inactive_ms: int, candidate_s: float, width_ms: int, part_rows: int):
+        self.keys, self.inactive, self.candidate_s, self.width, self.part_rows = list(keys), inactive_ms, candidate_s, width_ms, part_rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.flow = handle.getValueState("flow", ", ".join(f"{v} long" for v in VALUES))
+        self.parts = handle.getMapState("parts", "bucket long", "parts long")
+        self.rows = handle.getMapState("rows", "bucket long, part long", "flat binary")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            values = batch[VALUES].fillna(0).to_numpy("int64")
+            values = values[values[:, 1] < END_MS]
+            bucket = values[:, 1] // self.width
+            order = np.argsort(bucket, kind="stable")
+            values, bucket = values[order], bucket[order]
+            edges = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), len(bucket)]
+            for low, high in zip(edges, edges[1:]):
+                if low == high:
+                    continue
+                b = int(bucket[low])
+                n = self.parts.getValue((b,)) if self.parts.containsKey((b,)) else None
+                part = int(n[0]) if n else 0
+                if not part:
+                    self.handle.registerTimer((b + 1) * self.width)
+                for at in range(low, high, self.part_rows):
+                    self.rows.updateValue((b, part), (values[at:min(at + self.part_rows, high)].tobytes(),))
+                    part += 1
+                self.parts.updateValue((b,), (part,))
+        yield self._frame(key, [])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        flow = self.flow.get() if self.flow.exists() else None
+        flow = tuple(int(v) for v in flow) if flow is not None else None
+        before, out = flow, []
+        for row in self._due(now // self.width - 1):
+            done, flow = self._follow(flow, row)
+            out += done
+            if len(out) >= OUT_ROWS:
+                yield self._frame(key, out)
+                out = []
+        if flow is not None and flow[2] + self.inactive <= now:
+            out.append(flow)
+            flow = None
+        if flow is None and before is not None:
+            self.flow.clear()
+        elif flow is not None and flow != before:
+            self.flow.update(flow)
+            due = (-(-(flow[2] + self.inactive) // self.width)) * self.width
+            self.handle.registerTimer(max(due, now + 1))
+        yield self._frame(key, out)
+
+    def _due(self, bucket: int) -> Iterator[tuple[int, ...]]:
+        """Records of a bucket in time order; they leave the state."""
+        if not self.parts.containsKey((bucket,)):
+            return
+        read = []
+        for part in range(int(self.parts.getValue((bucket,))[0])):
+            read.append(np.frombuffer(self.rows.getValue((bucket, part))[0], "int64").reshape(-1, len(VALUES)))
+            self.rows.removeKey((bucket, part))
+        self.parts.removeKey((bucket,))
+        rows = np.concatenate(read)
+        order = np.lexsort((rows[:, 0], rows[:, 2], rows[:, 1]))
+        for low in range(0, len(order), OUT_ROWS):
+            yield from map(tuple, rows[order[low:low + OUT_ROWS]].tolist())
+
+    def _follow(self, flow: tuple | None, row: tuple) -> tuple[list[tuple], tuple | None]:
+        """What is finished and what waits after the next record in time order."""
+        pos, start, end, packets, octets, aggs = row
+        new, done = (pos, start, end, packets, octets, aggs or 1), []
+        if flow is not None:
+            if start <= flow[2]:
+                return [], None  # collision, both are dropped
+            if start - flow[2] < self.inactive:
+                new = (flow[0], flow[1], end, flow[3] + packets, flow[4] + octets, flow[5] + 1)
+            else:
+                done.append(flow)
+        if end // 1000 - start // 1000 >= self.candidate_s:
+            return done, new
+        return [*done, new], None
+
+    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *row) for row in rows], columns=[*self.keys, *VALUES])
 
 
 def merge_stream(records: DataFrame, keys: Sequence[str], inactive_s: float = 15.0, active_s: float = 300.0,
-                 lateness: str = "10 minutes") -> DataFrame:
+                 lateness: str = "10 minutes", bucket_s: float | None = None) -> DataFrame:
     """Streaming form of `merge_records`, with the same result for records that are late by `lateness` at most.
 
-    The state of a key holds its records that start after the watermark, as an earlier one may still come, and the one
-    flow that later records may continue. When the watermark passes, they are merged in time order; the flow is
-    emitted once nothing could continue it. The end mark of `with_end` flushes what is left at the end of an input.
+    Records wait in state by time buckets of `bucket_s` seconds (the inactive timeout by default) until the watermark has
+    passed the bucket; a flow is emitted once nothing could continue it. What a task holds at a time is one bucket of one
+    key, so choose a width whose records fit, and bound micro-batches at the source (`maxFilesPerTrigger`,
+    `maxBytesPerTrigger`) so that the watermark moves. The end mark of `with_end` flushes what is left at the end of an
+    input. Needs the RocksDB state store, which is chosen unless the session names a store.
     """
-    key_fields = [records.schema[k] for k in keys]
-    values = T.StructType([T.StructField(v, T.LongType()) for v in VALUES])
-    held = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("waiting", "later")])  # rows end to end
-    width = len(VALUES)
-    inactive, candidate_s = round(inactive_s * 1000), active_s - inactive_s
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, flat = ([int(v) for v in x] for x in (state.get if state.exists else ([], [])))
-        waiting, later = waiting or None, [tuple(flat[i:i + width]) for i in range(0, len(flat), width)]
-        if not state.hasTimedOut:
-            for part in batches:
-                later += part[VALUES].fillna(0).astype("int64").itertuples(index=False, name=None)
-        mark, out = state.getCurrentWatermarkMs(), []
-        later.sort(key=lambda r: (r[1], r[2], r[0]))
-        ready = bisect.bisect_right(later, mark, key=lambda r: r[1])
-        for pos, start, end, packets, octets, aggs in later[:ready]:
-            if start >= END_MS:
-                continue
-            long = end // 1000 - start // 1000 >= candidate_s
-            new = [pos, start, end, packets, octets, aggs or 1]
-            if waiting is not None and start <= waiting[2]:
-                waiting = None  # collision, both are dropped
-                continue
-            if waiting is not None and start - waiting[2] < inactive:
-                new = [waiting[0], waiting[1], end, waiting[3] + packets, waiting[4] + octets, waiting[5] + 1]
-            elif waiting is not None:
-                out.append(tuple(waiting))
-            waiting = new if long else None
-            if not long:
-                out.append(tuple(new))
-        later = [r for r in later[ready:] if r[1] < END_MS]
-        if waiting is not None and waiting[2] + inactive <= mark:
-            out.append(tuple(waiting))
-            waiting = None
-        if waiting is None and not later:
-            state.remove()
-        else:
-            state.update(([int(v) for v in waiting or []], [int(v) for r in later for v in r]))
-            next_ = min(([waiting[2] + inactive] if waiting is not None else []) + [r[1] for r in later[:1]])
-            state.setTimeoutTimestamp(max(int(next_), mark + 1))
-        yield pd.DataFrame([(*key, *row) for row in out], columns=[*keys, *VALUES])
-
+    spark = records.sparkSession
+    if not spark.conf.get(STORE, "").endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(STORE, ROCKS)
+    fields = [*[records.schema[k] for k in keys], *[T.StructField(v, T.LongType()) for v in VALUES]]
+    width = max(1, round((inactive_s if bucket_s is None else bucket_s) * 1000))
     timed = records.select(*keys, *[F.col(v).cast("long").alias(v) for v in VALUES], F.timestamp_millis("start_ms").alias("ts"))
-    return timed.withWatermark("ts", lateness).groupBy(*keys).applyInPandasWithState(
-        step, T.StructType([*key_fields, *values.fields]), held, "append", GroupStateTimeout.EventTimeTimeout)
+    processor = MergeProcessor(keys, round(inactive_s * 1000), active_s - inactive_s, width, PART_ROWS)
+    return timed.withWatermark("ts", lateness).groupBy(*keys).transformWithStateInPandas(processor, T.StructType(fields), "append", "eventTime")
 
 
 def arrival_stream(flows: DataFrame, lateness: str = "10 minutes") -> DataFrame:
@@ -91,8 +158,9 @@ def with_end(stream: DataFrame, folder: str) -> DataFrame:
 def run_available(stream: DataFrame, folder: str, end: T.StructType | None = None, at: dict[str, int] | None = None) -> DataFrame:
     """Process what is available, append it to a table under `folder`, and read that table.
 
-    With `end`, the schema that `with_end` saw, the input is taken as finished: a mark with the times `at` moves the
-    watermark past everything, so that nothing stays in the state.
+    With `end`, the schema that `with_end` saw, the input is taken as finished: marks with the times `at` move the
+    watermark past everything, so that nothing stays in the state: one run learns the watermark, the next fires the
+    timers of the records, a last one those that these have set.
     """
     spark = stream.sparkSession
 
@@ -104,7 +172,7 @@ def run_available(stream: DataFrame, folder: str, end: T.StructType | None = Non
     if end is not None:
         zero = [f.dataType.__class__ in (T.StringType,) and "" or 0 for f in end.fields]
         row = tuple((at or {}).get(f.name, z) for f, z in zip(end.fields, zero))
-        for _ in range(2):  # the watermark of one run is what the next one acts on
+        for _ in range(3):
             spark.createDataFrame([row], end).write.mode("append").parquet(f"{folder}/end")
             run()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
