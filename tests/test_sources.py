@@ -1,9 +1,12 @@
 """Array directories, text and result files."""
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from weirflow.schema import FIELDS
+from weirflow.schema import FIELDS, as_flows
 from weirflow.sources import arrays, derived, positioned, text_flows
 
 
@@ -70,3 +73,42 @@ def test_sinks(spark):
     derived.discard(df)
     assert [r[0] for r in derived.flatten(df.coalesce(1)).collect()] == [0, 0, 1, 2, 2, 4]
     assert len(list(derived.stream_rows(df))) == 3
+
+
+def written_in_order(spark, df, path):
+    arrays.write_arrays(df, path)
+    return [r["packets"] for r in arrays.read_arrays(spark, path, ["packets"]).orderBy("pos").collect()]
+
+
+def flow_rows(spark, positions, parts):
+    rows = spark.range(1).selectExpr(f"explode(array({','.join(map(str, positions))})) as pos").withColumn("pos", F.col("pos").cast("long"))
+    return as_flows(rows.select("*", *[F.lit(1).alias(f) for f in FIELDS if f != "packets"], F.col("pos").alias("packets"))).repartition(parts, "pos")
+
+
+def test_a_table_in_order_is_written_without_an_exchange(spark, tmp_path):
+    source = flow_rows(spark, range(3000), 3).orderBy("pos")
+    source.drop("pos").write.parquet(str(tmp_path / "in"))
+    scan = positioned.read_parquet(spark, str(tmp_path / "in"))
+    assert "Exchange" not in arrays.in_order(scan)._jdf.queryExecution().executedPlan().toString()
+    assert written_in_order(spark, scan, str(tmp_path / "out")) == list(range(3000))
+    arrays.write_arrays(scan.filter("pos % 3 = 0"), str(tmp_path / "out"))  # appended, with holes
+    assert arrays.read_arrays(spark, str(tmp_path / "out"), ["packets"]).filter("pos >= 3000").orderBy("pos").first()["packets"] == 0
+    arrays.write_arrays(scan.filter("pos >= 100"), str(tmp_path / "out"), mode="overwrite")
+    assert arrays.read_arrays(spark, str(tmp_path / "out"), ["packets"]).count() == 2900
+
+
+def test_runs_that_overlap_are_sorted(spark, tmp_path):
+    rng = random.Random(2)
+    positions = rng.sample(range(5000), 700) + [9000, 9000, 9001]
+    assert written_in_order(spark, flow_rows(spark, positions, 6), str(tmp_path / "a")) == sorted(positions)
+    first, second = flow_rows(spark, range(50), 1), flow_rows(spark, range(100, 150), 4)
+    assert written_in_order(spark, second.unionByName(first), str(tmp_path / "b")) == [*range(50), *range(100, 150)]
+    assert not [n for n in (tmp_path / "b").iterdir() if n.name.startswith("_runs")]
+    empty = flow_rows(spark, [1], 1).filter("pos < 0")
+    assert written_in_order(spark, empty, str(tmp_path / "c")) == []
+
+
+def test_overlaps():
+    r = [arrays.Run("a", 5, 0, 9), arrays.Run("b", 5, 10, 19), arrays.Run("c", 2, 15, 16), arrays.Run("d", 1, 19, 25), arrays.Run("e", 0, None, None), arrays.Run("f", 1, 40, 40)]
+    assert arrays.overlaps(r) == [(10, 25)]
+    assert arrays.overlaps(r[:2]) == arrays.overlaps([]) == []

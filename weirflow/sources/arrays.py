@@ -2,7 +2,7 @@
 
 `packets.Q` holds the packets of all rows as unsigned 64-bit integers, and so on. A directory is either such a set
 of files or what the sink writes: sub-directories of that kind, listed in order in a manifest. The path must be
-mounted on every executor.
+mounted on every executor and on the driver, which keeps the manifest.
 """
 
 from __future__ import annotations
@@ -14,10 +14,12 @@ import uuid
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
@@ -121,14 +123,22 @@ class ArrayReader(DataSourceReader):
 class Written(WriterCommitMessage):
     partition: int
     directory: str
+    rows: int
+    first: int | None  # least and greatest position, if the rows have positions; a partition's rows are in order
+    last: int | None
 
 
 class ArrayWriter(DataSourceArrowWriter):
-    """Every task attempt fills a directory of its own; only committed ones enter the manifest."""
+    """Every task attempt fills a directory of its own; only committed ones enter the manifest.
+
+    With the option `staged`, a name, the committed runs are listed under that name instead, for `write_arrays`, which
+    puts them in order.
+    """
 
     def __init__(self, schema: T.StructType, options: dict[str, str], overwrite: bool):
         self.names = schema.names
         self.path = json.loads(options["paths"])[0]
+        self.staged = options.get("staged")
         self.overwrite = overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -140,8 +150,15 @@ class ArrayWriter(DataSourceArrowWriter):
         os.makedirs(directory)
         fields = [f for f in FIELDS if f in self.names]
         files = {f: open(os.path.join(directory, f"{f}.{FIELD_CODES[f]}"), "wb") for f in fields}
+        rows, first, last = 0, None, None
         try:
             for batch in iterator:
+                if "pos" in self.names and batch.num_rows:
+                    pos = batch.column(self.names.index("pos")).to_numpy(zero_copy_only=False)
+                    if (np.diff(pos) < 0).any() or (last is not None and pos[0] < last):
+                        raise ValueError("rows of a partition must be in the order of pos")
+                    first, last = int(pos[0]) if first is None else first, int(pos[-1])
+                rows += batch.num_rows
                 for f in fields:
                     values = batch.column(self.names.index(f)).to_numpy(zero_copy_only=False)
                     dtype = np.dtype(DTYPES[FIELD_CODES[f]])
@@ -151,20 +168,15 @@ class ArrayWriter(DataSourceArrowWriter):
         finally:
             for f in files.values():
                 f.close()
-        return Written(number, name)
-
-    def _old(self) -> list[str]:
-        manifest = os.path.join(self.path, MANIFEST)
-        return [os.path.basename(p) for p in leaf_directories(self.path)] if os.path.exists(manifest) else []
+        return Written(number, name, rows, first, last)
 
     def commit(self, messages: list[Written | None]) -> None:
-        new = [m.directory for m in sorted((m for m in messages if m), key=lambda m: m.partition)]
-        parts = new if self.overwrite else self._old() + new
+        written = sorted((m for m in messages if m), key=lambda m: m.partition)
         os.makedirs(self.path, exist_ok=True)
-        temporary = os.path.join(self.path, MANIFEST + ".new")
-        with open(temporary, "w") as f:
-            json.dump(parts, f)
-        os.replace(temporary, os.path.join(self.path, MANIFEST))
+        if self.staged:
+            _store(self.path, self.staged, [[m.directory, m.rows, m.first, m.last] for m in written])
+        else:
+            _list_parts(self.path, [m.directory for m in written], self.overwrite)
 
     def abort(self, messages: list[Written | None]) -> None:
         for m in messages:
@@ -172,6 +184,20 @@ class ArrayWriter(DataSourceArrowWriter):
                 shutil.rmtree(os.path.join(self.path, m.directory), ignore_errors=True)
 
 
+def _store(path: str, name: str, value: list) -> None:
+    """Write a JSON file in one step."""
+    temporary = os.path.join(path, name + ".new")
+    with open(temporary, "w") as f:
+        json.dump(value, f)
+    os.replace(temporary, os.path.join(path, name))
+
+
+def _list_parts(path: str, new: list[str], overwrite: bool) -> None:
+    listed = os.path.exists(os.path.join(path, MANIFEST))
+    old = [os.path.basename(p) for p in leaf_directories(path)] if listed and not overwrite else []
+    _store(path, MANIFEST, old + new)
+
+
 class FlowArrays(DataSource):
     """`spark.read.format("flow_arrays")`; the requested schema decides which files are opened."""
 
@@ -214,10 +240,76 @@ def read_arrays(spark: SparkSession, paths: str | Sequence[str], fields: Sequenc
     return reader.load()
 
 
+@dataclass
+class Run:
+    """One written directory: its rows and their least and greatest position."""
+
+    directory: str
+    rows: int
+    first: int | None
+    last: int | None
+
+
+def overlaps(runs: Sequence[Run]) -> list[tuple[int, int]]:
+    """Ranges of positions, ascending and apart, in which runs overlap; the other runs have an order of their own."""
+    out: list[tuple[int, int]] = []
+    low, high, members = 0, -1, 0
+    for r in sorted((r for r in runs if r.rows), key=lambda r: r.first):
+        if members and r.first <= high:
+            high, members = max(high, r.last), members + 1
+            continue
+        if members > 1:
+            out.append((low, high))
+        low, high, members = r.first, r.last, 1
+    return [*out, (low, high)] if members > 1 else out
+
+
+MOST_RANGES = 64
+
+
+def in_order(flows: DataFrame) -> DataFrame:
+    """Rows sorted inside their partitions only: what a scan reads in order stays where it is."""
+    return flows.select(*FIELDS, "pos").sortWithinPartitions("pos")
+
+
 def write_arrays(flows: DataFrame, path: str, mode: str = "append") -> None:
-    """Write a flow table in `pos` order (or as it is partitioned, without `pos`)."""
+    """Write a flow table in `pos` order (or as it is partitioned, without `pos`).
+
+    Each task writes its rows as one run and tells its first and last position; the manifest lists the runs in that
+    order. Only positions that several runs share are written again, from a range exchange over just these rows, so a
+    table in the order of its files is written without an exchange. Rows with equal `pos` stay in one piece of order.
+    """
     spark = flows.sparkSession
     spark.dataSource.register(FlowArrays)
-    rows = flows.orderBy("pos") if "pos" in flows.columns else flows
-    os.makedirs(path, exist_ok=True)
-    rows.select(*FIELDS).write.format("flow_arrays").option("paths", json.dumps([path])).mode(mode).save()
+
+    def save(rows: DataFrame, staged: str | None, how: str) -> None:
+        writer = rows.write.format("flow_arrays").option("paths", json.dumps([path])).mode(how)
+        (writer.option("staged", staged) if staged else writer).save()
+
+    if "pos" not in flows.columns:
+        save(flows.select(*FIELDS), None, mode)
+        return
+
+    def written(rows: DataFrame) -> list[Run]:
+        name = f"_runs-{uuid.uuid4().hex}.json"
+        save(rows, name, "append")
+        with open(os.path.join(path, name)) as f:
+            runs = [Run(*x) for x in json.load(f)]
+        os.remove(os.path.join(path, name))
+        return runs
+
+    runs = written(in_order(flows))
+    shared = overlaps(runs)
+    if len(shared) > MOST_RANGES:
+        shared = [(shared[0][0], shared[-1][1])]
+    if shared:
+        pos = F.col("pos")
+        again = reduce(lambda a, b: a | b, [(pos >= low) & (pos <= high) for low, high in shared])
+        gone = [r for r in runs if r.rows and any(low <= r.first and r.last <= high for low, high in shared)]
+        runs = [r for r in runs if r not in gone] + written(flows.filter(again).select(*FIELDS, "pos").orderBy("pos"))
+        for r in gone:
+            shutil.rmtree(os.path.join(path, r.directory), ignore_errors=True)
+    _list_parts(path, [r.directory for r in sorted((r for r in runs if r.rows), key=lambda r: r.first)], mode == "overwrite")
+    for r in runs:
+        if not r.rows:
+            shutil.rmtree(os.path.join(path, r.directory), ignore_errors=True)
