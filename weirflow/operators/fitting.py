@@ -2,7 +2,8 @@
 
 The whole fit is one barrier stage: every task holds a part of the bins, computes responsibilities under the current
 parameters and a small matrix of weighted moments, and all tasks exchange these matrices, so each has the new parameters.
-Bins never leave the executors.
+Bins never leave the executors. Where barrier stages are refused (dynamic allocation), an iteration is one job that
+returns the same matrices to the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions.special import digamma, trigamma
 from weirflow.operators.mixture import Component, scalar_cdf
+from weirflow.session import freeze
 
 EPS = float(np.finfo(float).eps)
 START_WEIGHT = 0.1
@@ -197,11 +199,14 @@ def _iterate(fits: list[_Fit], total: Total, max_iter: int, keep: bool) -> list[
 
 def fit_many(histogram: DataFrame, starts: dict[str, Sequence[Component] | dict[str, int]], max_iter: int = 100,
              max_pareto: float | None = None,
-             callback: Callable[[str, list[Component], int], None] | None = None) -> dict[str, tuple[int, list[Component]]]:
-    """Fit one mixture per metric (`flows`, `packets`, `octets`) in a single barrier stage.
+             callback: Callable[[str, list[Component], int], None] | None = None,
+             barrier: bool | None = None) -> dict[str, tuple[int, list[Component]]]:
+    """Fit one mixture per metric (`flows`, `packets`, `octets`) in a single stage.
 
     Each task holds its bins in memory and the tasks exchange the moment sums of an iteration, a few numbers per
-    component, so an iteration costs one exchange and no job. If an executor is lost, the stage starts anew.
+    component, so an iteration costs one exchange and no job. If an executor is lost, the stage starts anew. A histogram
+    of up to `BINS_PER_BLOCK` bins is one plain task. `barrier` says whether several tasks may form a barrier stage,
+    which needs a slot for each at once (default: unless executors are allocated dynamically).
     `starts` gives a mixture, or the numbers of uniform, pareto and lognorm components to start from.
     Returns `{metric: (sum, mixture)}`; `callback` gets the mixtures of all iterations in order, at the end.
     """
@@ -219,26 +224,46 @@ def fit_many(histogram: DataFrame, starts: dict[str, Sequence[Component] | dict[
     parts = max(1, min(-(-rows // BINS_PER_BLOCK), histogram.sparkSession.sparkContext.defaultParallelism))
     keep = callback is not None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if barrier is None:
+        barrier = histogram.sparkSession.conf.get("spark.dynamicAllocation.enabled", "false") != "true"
+
+    def block_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         held = [np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns]) for b in batches]
         block = np.concatenate(held, axis=1) if held else np.zeros((len(metrics) + 1, 0))
-        block = np.vstack([block, np.log(block[:1])])
-        context = BarrierTaskContext.get()
+        return np.vstack([block, np.log(block[:1])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = block_of(batches)
+        context = BarrierTaskContext.get() if parts > 1 else None
 
         def total(fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
             own = fn(block)
-            if parts == 1:
+            if context is None:
                 return own
             told = context.allGather(base64.b64encode(own.tobytes()).decode())
             return sum(np.frombuffer(base64.b64decode(t), float).reshape(own.shape) for t in told)
 
         past = _iterate(fits, total, max_iter, keep)
-        if context.partitionId() == 0:
+        if context is None or context.partitionId() == 0:
             yield pa.RecordBatch.from_pydict({"past": pa.array([pickle.dumps(past)], pa.binary())})
 
     columns = [F.col(c).cast("double") for c in ("bin_lo", *[f"{m}_sum" for m in metrics])]
-    done = histogram.select(*columns).repartition(parts).mapInArrow(run, "past binary", barrier=True).collect()[0]  # one row; a limit would not start all tasks
-    past = pickle.loads(done["past"])
+    bins = histogram.select(*columns).repartition(parts)
+    if parts == 1 or barrier:
+        done = bins.mapInArrow(run, "past binary", barrier=parts > 1).collect()[0]  # one row; a limit would not start all tasks
+        past = pickle.loads(done["past"])
+    else:
+        frozen = freeze(bins)
+
+        def by_job(fn: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+            def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                own = fn(block_of(batches))
+                yield pa.RecordBatch.from_pydict({"m": pa.array([own.ravel()], pa.list_(pa.float64())), "n": pa.array([own.shape[1]])})
+
+            told = frozen.mapInArrow(sums, "m array<double>, n long").collect()  # a few numbers per task
+            return sum(np.array(t["m"]).reshape(-1, t["n"]) for t in told)
+
+        past = _iterate(fits, by_job, max_iter, keep)
     if callback:
         for it, mixes in enumerate(past):
             for m, mix in zip(metrics, mixes):

@@ -200,16 +200,52 @@ def mix_average(mixtures: dict[str, tuple[int, Mixture]], x: Column, what: str,
     return F.try_divide(F.lit(scale) * mix_pdf(mixtures[top][1], x, x_value), mix_pdf(mixtures[base][1], x, x_value))
 
 
+TABLE_CELLS = 2048
+POLISH_STEPS = 60
+
+
+def gamma_table(shape: float) -> tuple[np.ndarray, np.ndarray]:
+    """Monotone table of the gamma CDF: abscissas from 0 to where it is 1, and its values there."""
+    top = shape + 40 * math.sqrt(shape) + 800.0
+    middle = max(shape, 1.0)
+    least = 1e-300 if shape < 1 else middle * 1e-12
+    t = np.unique(np.concatenate([
+        [0.0], np.geomspace(least, middle / 8, TABLE_CELLS // 4), np.linspace(middle / 8, middle + 12 * math.sqrt(middle) + 12, TABLE_CELLS),
+        np.geomspace(middle + 1, top, TABLE_CELLS // 4)]))
+    return t, np.maximum.accumulate(gamma_cdf(t, shape, 1.0))
+
+
+def gamma_quantile(q: np.ndarray, shape: float, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Inverse of the gamma CDF at scale 1: a cell of the table, then Newton steps that stay inside what brackets the root."""
+    t, f = table
+    cell = np.clip(np.searchsorted(f, q, side="left"), 1, len(t) - 1)
+    low, high = t[cell - 1], t[cell]
+    rise = f[cell] - f[cell - 1]
+    x = low + (high - low) * np.where(rise > 0, (q - f[cell - 1]) / np.where(rise > 0, rise, 1), 0.5)
+    norm, open_ = math.lgamma(shape), np.arange(len(q))
+    for _ in range(POLISH_STEPS):
+        at = x[open_]
+        error = gamma_cdf(at, shape, 1.0) - q[open_]
+        below = error < 0
+        low[open_], high[open_] = np.where(below, at, low[open_]), np.where(below, high[open_], at)
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            step = error / np.exp((shape - 1) * np.log(at) - at - norm)
+        new = at - step
+        a, b = low[open_], high[open_]
+        new = np.where((new >= a) & (new <= b), new, (a + b) / 2)
+        x[open_] = new
+        open_ = open_[(np.abs(new - at) > 1e-14 * np.abs(new)) & (error != 0)]
+        if not len(open_):
+            break
+    return x
+
+
 def _gamma_inverse(shape: float, scale: float):
+    table = gamma_table(shape)  # a few thousand numbers
+
     @F.pandas_udf("double")
     def inverse(u: pd.Series) -> pd.Series:
-        q = u.to_numpy(float)
-        low, high = np.zeros(len(q)), np.full(len(q), shape + 40 * math.sqrt(shape) + 800.0)
-        for _ in range(80):
-            mid = (low + high) / 2
-            below = gamma_cdf(mid, shape, 1.0) < q
-            low, high = np.where(below, mid, low), np.where(below, high, mid)
-        return pd.Series((low + high) / 2 * scale)
+        return pd.Series(gamma_quantile(u.to_numpy(float), shape, table) * scale)
 
     return inverse
 
