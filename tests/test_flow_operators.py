@@ -8,11 +8,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.operators import coverage as C
+from weirflow.operators import distribution as D
 from weirflow.operators import histogram as H
 from weirflow.operators import labels as L
+from weirflow.operators import positions, sort
 from weirflow.operators import series as S
 from weirflow.operators import slicing as P
-from weirflow.operators.positions import nth_positions, number_rows, prefix_sums, rank_rows
+from weirflow.operators.positions import (
+    nth_positions,
+    nth_positions_by,
+    number_rows,
+    prefix_sums,
+    rank_rows,
+    self_bucketed,
+    with_neighbours,
+)
 
 VALUES = [-1, 0, 1, 17, 101, None]
 
@@ -126,3 +136,53 @@ def test_sampling_curve_in_buckets(spark):
     for a, b in zip(one, two):
         assert a["octets_mean"] == pytest.approx(b["octets_mean"], abs=1e-9)
         assert a["flows_mean"] == pytest.approx(b["flows_mean"], abs=1e-9)
+
+
+def test_many_order_statistics_in_two_passes(spark):
+    rng = random.Random(11)
+    rows = [(p, rng.choice([5, 5, 5, 9, 12])) for p in rng.sample(range(5000), 900)]
+    df = spark.createDataFrame(rows, "pos long, octets long").repartition(7)
+    ranked = {v: sorted(p for p, o in rows if o == v) for v in (5, 9, 12)}
+    wanted = [(5, 0), (5, 100), (5, len(ranked[5]) - 1), (9, 3), (12, 10**6), (77, 0), (9, -1), (5, 100)]
+    got = nth_positions_by(df, "octets", wanted, width=64)
+    assert got == {(v, k): ranked[v][k] for v, k in wanted if v in ranked and 0 <= k < len(ranked[v])}
+    assert nth_positions_by(df, "octets", []) == {}
+
+
+def test_frames_bucket_themselves(spark, monkeypatch):
+    rng = random.Random(12)
+    values = sorted({*range(1, 2000), *(rng.randrange(10**6, 10**6 + 900) for _ in range(500)), *(rng.randrange(10**12) for _ in range(300))})
+    df = spark.createDataFrame([(v, rng.randrange(100)) for v in values], "bin_lo long, flows_sum long").repartition(6)
+    monkeypatch.setattr(positions, "WINDOW_ROWS", 50)
+    bucketed, bucket = self_bucketed(df, "bin_lo")
+    sizes = [r["count"] for r in bucketed.groupBy(bucket.alias("b")).count().collect()]
+    assert sum(sizes) == len(values) and max(sizes) <= 120 and len(sizes) < len(values) / 10
+    rows = bucketed.withColumn("b", bucket).orderBy("bin_lo").collect()
+    assert [r["b"] for r in rows] == sorted(r["b"] for r in rows)
+    near = with_neighbours(bucketed, "bin_lo", bucket).orderBy("bin_lo").collect()
+    assert [r["_previous"] for r in near] == [None, *values[:-1]] and [r["_next"] for r in near] == [*values[1:], None]
+    total, run = sum(r["flows_sum"] for r in rows), 0
+    for r, c in zip(rows, D.cdf(df, ["flows"]).orderBy("bin_lo").collect()):
+        run += r["flows_sum"]
+        assert c["flows_cdf"] == run / total
+    assert self_bucketed(df, "bin_lo", 10**6)[1] is None
+
+
+def test_large_frames_meet_no_single_task(spark, monkeypatch):
+    """Only totals and one row per bucket may go to one task."""
+    df = spark.range(1, 4001).select(F.col("id").alias("bin_lo"), *[F.lit(1).cast("long").alias(f"{m}_sum") for m in ("flows", "packets", "octets")])
+    monkeypatch.setattr(positions, "WINDOW_ROWS", 100)
+    for out in (D.cdf(df), D.pdf_points(df), C.coverage_sampling(df, "size")):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        for line in plan.splitlines():
+            if "Window [" in line and not any(c in line for c in ("_at", "_bucket", "_coarse", "sum(_b_")):
+                raise AssertionError(line)
+
+
+def test_ranks_need_no_copy_of_the_rows(spark):
+    rng = random.Random(13)
+    rows = [(p, rng.randrange(5), "x" * 50) for p in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "pos long, k int, wide string").repartition(5)
+    got = sort.sort_ranked(df, ["k"]).orderBy("rank").collect()
+    assert [(r["pos"], r["k"], r["rank"]) for r in got] == [(p, k, i) for i, (p, k, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))]

@@ -2,6 +2,7 @@
 
 import ipaddress
 import math
+import random
 
 import numpy as np
 import pytest
@@ -101,8 +102,35 @@ def test_fit_over_many_tasks_equals_one(spark, monkeypatch):
     one = FIT.fit(FIT.values_histogram(values, "v"), "flows", start, 6, callback=lambda m, mix, it: seen.append((m, it)))[1]
     monkeypatch.setattr(FIT, "BINS_PER_BLOCK", 40)
     many = FIT.fit(FIT.values_histogram(values, "v"), "flows", start, 6)[1]
+    jobs = FIT.fit_many(FIT.values_histogram(values, "v"), {"flows": start}, 6, barrier=False)["flows"][1]
+    assert [c.params for c in jobs] == [pytest.approx(c.params) for c in many]
     assert seen == [("flows", i) for i in range(7)]
     for a, b in zip(one, many):
         assert a.weight == pytest.approx(b.weight) and a.params == pytest.approx(b.params)
     with pytest.raises(ValueError):
         FIT.fit(FIT.values_histogram(values.limit(0), "v"), "flows", start, 2)
+
+
+def test_prefixes_are_enciphered_once(spark):
+    rng = random.Random(7)
+    values = {rng.randrange(2**32) for _ in range(200)} | {(10 << 24) + rng.randrange(5000) for _ in range(300)} | {0, 1, 2**32 - 1, 2**31}
+    df = spark.createDataFrame([(v,) for v in values], "address long")
+    got = A.pseudonyms(df, KEY).collect()
+    alone = dict(map(tuple, df.select("address", A.pseudonym(spark, F.col("address"), KEY)).collect()))
+    assert {r["address"]: r["pseudonym"] for r in got} == alone
+    assert sum(r["blocks"] for r in got) == sum(len({v >> (32 - p) for v in values}) for p in range(32))
+
+
+@pytest.mark.parametrize("shape", [0.2, 0.9, 1.0, 2.5, 5.0, 300.0])
+def test_gamma_quantile_equals_bisection(shape):
+    rng = np.random.default_rng(3)
+    q = np.concatenate([rng.random(3000), [0.0, 1e-12, 1e-6, 1 - 1e-6, 1 - 1e-12]])
+    got = M.gamma_quantile(q, shape, M.gamma_table(shape))
+    low, high = np.zeros(len(q)), np.full(len(q), shape + 40 * shape**0.5 + 800.0)
+    for _ in range(1100):
+        mid = (low + high) / 2
+        below = gamma_cdf(mid, shape, 1.0) < q
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    assert np.abs(gamma_cdf(got, shape, 1.0) - q).max() < 1e-12
+    middle = (q > 1e-9) & (q < 1 - 1e-9)
+    assert np.allclose(got[middle], low[middle], rtol=1e-9, atol=0)

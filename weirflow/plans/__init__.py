@@ -6,6 +6,7 @@ from weirflow.plans import (  # noqa: F401
     heavy_queries,
     learning_queries,
     model_queries,
+    proof_queries,
     source_queries,
 )
 from weirflow.plans.registry import ORACLES, QUERIES

@@ -239,11 +239,17 @@ def generate_expand(spark, sf):
     return G.expand_histogram(H.hist(flows(spark, sf), "length", 12), "length", 23)
 
 
-@query("generate_flows", with_flows(
-    "select count(*) as flows, cast(0 as bigint) as others from f"))
+def _generated_sql(seed: int) -> str:
+    head, tail = _sample_sql(seed, "length").rsplit("select id,", 1)
+    return f"""{head}, g as (select {tail})
+  select packets, octets, count(*) as flows, cast(0 as bigint) as others from g group by 1, 2"""
+
+
+@query("generate_flows", with_flows(LENGTH + _generated_sql(24)))
 def generate_flows(spark, sf):
-    """Generated flow records: as many as the table has flows, with zeros in all fields but packets and octets."""
+    """Generated flow records by their packets and octets, and what their other fields add up to."""
     h = H.hist(flows(spark, sf), "length", 12)
     rows = G.to_flows(G.sample_histogram(h, h.agg(F.sum("flows_sum")).first()[0], "length", 24))
     rest = [c for c in rows.columns if c not in ("packets", "octets")]
-    return rows.agg(F.count("*").alias("flows"), F.sum(F.greatest(*[F.abs(F.col(c)).cast("long") for c in rest])).alias("others"))
+    return rows.groupBy("packets", "octets").agg(
+        F.count("*").alias("flows"), F.sum(F.greatest(*[F.abs(F.col(c)).cast("long") for c in rest])).alias("others"))
