@@ -17,7 +17,8 @@ HEADLINE = [
     "hist_length_log", "hist_size", "hist_extra", "filter_https", "slice_out", "convert", "merge_flows", "sort_flows",
     "sort_index", "series_packets", "series_rolling", "anonymize", "cdf_unit", "summary_cdf", "kde_grid",
     "label_coverage", "top_sample", "features_bits", "entropy_bits", "reduction_curve", "coverage_sampling_size",
-    "coverage_records_size", "occupancy", "generate_sample", "csv_roundtrip", "array_roundtrip",
+    "coverage_records_size", "occupancy", "generate_sample", "csv_roundtrip", "array_roundtrip", "occupancy_thresholds",
+    "decisions_roundtrip", "anon_prefixes",
 ]
 EM_ITERATIONS = 400
 
@@ -46,6 +47,10 @@ def main() -> None:
         start = time.time()
         fitting.fit_many(h, {m: {"uniform": 6, "lognorm": 4} for m in ("flows", "octets")}, EM_ITERATIONS)
         times["em_fit_flows_and_octets_400"] = round(time.time() - start, 3)
+        sizes = histogram.hist(flows(spark, sf_dir), "size", 12)
+        start = time.time()
+        fitting.fit_many(sizes, {m: {"pareto": 1, "lognorm": 4} for m in ("flows", "octets")}, EM_ITERATIONS)
+        times["em_fit_sizes_400"] = round(time.time() - start, 3)
         extra["em_iterations"] = EM_ITERATIONS
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "flow analytics headline queries", "value": total, "unit": "sec", "queries": times,
