@@ -101,8 +101,7 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op13_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path(rank_bpe.TOKENIZER)
-    both = rank_bpe.decode(rank_bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    both = rank_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(rank_bpe.TOKENIZER))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))
