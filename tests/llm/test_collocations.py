@@ -54,10 +54,13 @@ def got(df):
     return sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in df.collect())
 
 
-@pytest.mark.parametrize("chunk, held, top", [(7, 1 << 21, 2000), (64, 100, 2000), (1 << 19, 1 << 21, 5)])
-def test_collocations_equal_a_plain_count(spark, monkeypatch, chunk, held, top):
+@pytest.mark.parametrize("chunk, flush, held, shared, top", [(7, 1 << 22, 1 << 25, 10**6, 2000), (64, 500, 900, 0, 2000), (1 << 19, 1 << 22, 1 << 25, 10**6, 5)])
+def test_collocations_equal_a_plain_count(spark, monkeypatch, chunk, flush, held, shared, top):
+    monkeypatch.setattr(co, "BROADCAST_WORDS", shared)  # 0: chunks meet their frequent phrases by shuffles
+    monkeypatch.setattr(co, "BROADCAST_PAIRS", shared)
     monkeypatch.setattr(co, "CHUNK", chunk)
-    monkeypatch.setattr(co, "HELD", held)
+    monkeypatch.setattr(co, "FLUSH_BYTES", flush)
+    monkeypatch.setattr(co, "HELD_BYTES", held)
     rows = lines(4)
     want = brute(rows, 12, top)
     assert len(want) > (10 if top == 5 else 60)

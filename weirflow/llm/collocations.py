@@ -3,21 +3,22 @@
 An occurrence relation lies in chunks: rows with one array that holds, by position, the code of the phrase that begins
 there. Pieces stand one behind the other in a chunk with a gap between, so a relation is sorted by piece and position,
 and the merge-join of a relation with itself on adjacent positions compares an array with its own shift. Chunks tell
-their phrases by local codes; only one row per chunk and phrase is shuffled to count groups and to semi-join the
-frequent ones, so no phrase, however common, has more rows than there are chunks.
+their phrases by local codes and count them, so a count shuffles a phrase once per chunk at most, however common it is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import freeze, raw_texts, slices
+from weirflow.operators.positions import number_rows
 
 MOST_WORDS = 4
 LEAST = 30  # occurrences of a candidate
@@ -25,143 +26,182 @@ ABSORBED = 80  # percent of a candidate's occurrences that lie inside one longer
 TOP = 2000
 SCALE = 2_000_000
 CHUNK = 1 << 19  # words
-HELD = 1 << 21  # words that a task holds over all languages before it gives chunks away early
+FLUSH_BYTES = 4 << 20  # of one language, after which a task makes chunks of them
+HELD_BYTES = 16 << 20  # over all languages
+BROADCAST_WORDS, BROADCAST_PAIRS = 1_000_000, 4_000_000  # frequent words or pairs up to which every task gets all of them
 SALTS = 64
 UNKNOWN = "und"
 
 _GAP = b"\xff"  # in no UTF-8 text
-_CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _GAP * 10)
-_CODE_BITS = 20  # codes of a chunk; chunk ids are (partition, number in the partition)
+_CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _GAP * 10 + b" ")
+_BETWEEN = b" " + _GAP + b" "
+_SEQ_BITS = 20  # chunk ids are (partition, number in the partition)
+_ID_BITS = 31  # a pair is one number: the ids of its two phrases, which count from 1
 
-_RELATION = "chunk long, lang string, own int, codes array<int>"
+_RELATION = "chunk long, own int, codes array<int>, counts array<int>"
+_WORDS = _RELATION + ", lang string, size long, words array<binary>"
+_PAIRS = _RELATION + ", pairs array<long>"
 
 
 def _sum(n: Column) -> Column:
     return F.sum(n).cast("long")
 
 
-class _Buffer:
-    """Words of one language, waiting for a chunk."""
+def _list(values, kind: pa.DataType) -> pa.ListArray:
+    """A column of one row, whose value is the list."""
+    inner = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
 
-    def __init__(self):
-        self.codes: list[np.ndarray] = []
-        self.code: dict[bytes, int] = {_GAP: 0}
-        self.size = 0
 
-    def add(self, words: list[bytes]) -> None:
-        code = self.code
-        for w in set(words).difference(code):
-            code[w] = len(code)
-        self.codes.append(np.fromiter(map(code.__getitem__, words), np.int32, len(words)))
-        self.size += len(words)
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
+    """Prepared texts as chunks: own positions, codes by position (0: a gap), the words of codes 1, 2 … and their counts.
 
-
-def _words(text: bytes) -> list[bytes]:
-    """Lower-case words with a gap mark between pieces. Without white space but blank and tab, split() cuts at these."""
-    return text.lower().translate(_CUT).replace(_GAP, b" \xff ").split()
+    Positions from `own` on are the first of the next chunk: they extend phrases that begin before, and count there.
+    """
+    coded = pc.split_pattern(pa.array([_BETWEEN.join(texts)], pa.binary()), b" ").flatten().dictionary_encode()
+    codes, dictionary = coded.indices.to_numpy(), coded.dictionary
+    empty, gap = (pc.index(dictionary, pa.scalar(x, pa.binary())).as_py() for x in (b"", _GAP))
+    codes = codes[codes != empty]
+    for start in range(0, len(codes), CHUNK):
+        part = codes[start:start + CHUNK + MOST_WORDS - 1]
+        own = min(CHUNK, len(codes) - start)
+        known, local = np.unique(part, return_inverse=True)
+        word = known != gap
+        place = np.where(word, np.cumsum(word), 0)[local].astype(np.int32)
+        counts = np.bincount(place[:own], minlength=int(word.sum()) + 1)[1:]
+        if len(counts):
+            yield own, place, dictionary.take(pa.array(known[word])), counts
 
 
 def words(docs: DataFrame) -> DataFrame:
-    """The relation of single words: per chunk the codes by position, the local words and their counts.
+    """The relation of single words: chunks of one language each, with their words (of codes 1, 2 …) and counts.
 
-    Positions from `own` on are the first words of what follows in the same piece: they extend phrases that begin
-    before, and are counted in the next chunk.
+    Pieces are kept apart by gaps. A text's bytes are lower-cased, and delimiters turned into gaps, at once.
     """
-    halo = MOST_WORDS - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, seq = TaskContext.get().partitionId(), 0
-        held: dict[str, _Buffer] = {}
+        held: dict[str, list[bytes]] = {}
+        size: dict[str, int] = {}
 
-        def chunk(lang: str, own: int | None = None) -> pa.RecordBatch:
+        def given(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal seq
-            b = held.pop(lang)
-            codes = np.concatenate(b.codes)
-            own = len(codes) if own is None else own
-            counts = np.bincount(codes[:own], minlength=len(b.code))[1:]
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([(pid << _CODE_BITS) + seq], pa.int64()), pa.array([lang]), pa.array([own], pa.int32()),
-                 pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pa.array(codes)),
-                 pa.array([list(b.code)[1:]], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int32()))],
-                ["chunk", "lang", "own", "codes", "words", "counts"])
-            seq += 1
-            return out
-
-        for part in slices(batches):
+            del size[lang]
+            for own, codes, known, counts in _chunks(held.pop(lang)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([(pid << _SEQ_BITS) + seq], pa.int64()), pa.array([own], pa.int32()), _list(codes, pa.int32()), _list(counts, pa.int32()),
+                     pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), _list(known, pa.binary())],
+                    ["chunk", "own", "codes", "counts", "lang", "size", "words"])
+                seq += 1
+
+        for part in slices(batches, FLUSH_BYTES):
             for lang, text in zip(part.column("lang").to_pylist(), raw_texts(part.column("text"))):
-                found = _words(text)
-                if not found:
-                    continue
-                for start in range(0, len(found), CHUNK):  # a longer text leaves in parts
-                    b = held.setdefault(lang, _Buffer())
-                    own = found[start:start + CHUNK]
-                    b.add(own)
-                    behind = found[start + CHUNK:start + CHUNK + halo]
-                    if behind:
-                        size = b.size
-                        b.add(behind)
-                        yield chunk(lang, size)
-                    elif b.size >= CHUNK - 1:
-                        yield chunk(lang)
-                    else:
-                        b.add([_GAP])
-                if sum(b.size for b in held.values()) > HELD:
-                    yield chunk(max(held, key=lambda x: held[x].size))
+                held.setdefault(lang, []).append(text.lower().translate(_CUT).replace(_GAP, _BETWEEN))
+                size[lang] = size.get(lang, 0) + len(text)
+                if size[lang] > FLUSH_BYTES:
+                    yield from given(lang)
+                elif sum(size.values()) > HELD_BYTES:
+                    yield from given(max(size, key=size.get))
         for lang in list(held):
-            yield chunk(lang)
+            yield from given(lang)
 
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang")
     rows = docs.select(lang, F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, _RELATION + ", words array<binary>, counts array<int>")
+    return rows.mapInArrow(run, _WORDS)
 
 
-def _extended(relation: DataFrame, back: DataFrame) -> DataFrame:
-    """The relation of phrases one word longer, of what `back` says is frequent: merge-join on adjacent positions.
+def _longer(chunk: int, own: int, codes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch | None:
+    """A chunk of the relation of phrases one word longer: merge-join on adjacent positions.
 
-    Two phrases of k words at adjacent positions make one of k + 1; it can only be frequent if both are. A group holds
-    one chunk's array and its frequent phrases as (code, id), so both are bounded by the chunk.
+    `ids` gives the id of each code's phrase, 0 for those not frequent. Two phrases of k words at adjacent positions make
+    one of k + 1, which can only be frequent if both are.
     """
-    schema = _RELATION + ", lefts array<long>, rights array<long>, counts array<int>"
+    place = ids[codes]
+    first, second = place[:-1], place[1:]
+    spots = np.nonzero((first > 0) & (second > 0))[0]
+    known, inverse = np.unique((first[spots] << _ID_BITS) + second[spots], return_inverse=True)
+    if not len(known):
+        return None
+    out = np.zeros(len(codes), np.int32)
+    out[spots] = inverse + 1
+    counts = np.bincount(inverse[spots < own], minlength=len(known))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([chunk], pa.int64()), pa.array([own], pa.int32()), _list(out, pa.int32()), _list(counts, pa.int32()), _list(known, pa.int64())],
+        ["chunk", "own", "codes", "counts", "pairs"])
+
+
+def _extended_here(relation: DataFrame, frequent: DataFrame, phrase: str) -> DataFrame:
+    """Semi-join and extension where every task gets all frequent phrases: no row is shuffled."""
+    spark = relation.sparkSession
+    if phrase == "words":
+        table = frequent.select("lang", "word", "id").toArrow()  # at most BROADCAST_WORDS rows
+        langs = [x.as_py() for x in table.column("lang").unique()]
+        parts = [table.filter(pc.equal(table.column("lang"), lang)) for lang in langs]
+        shared = spark.sparkContext.broadcast({
+            lang: (part.column("word").combine_chunks(), part.column("id").to_numpy()) for lang, part in zip(langs, parts)})
+    else:
+        table = frequent.select("pair", "id").toArrow()  # at most BROADCAST_PAIRS rows
+        pair, number = (table.column(c).to_numpy() for c in ("pair", "id"))
+        order = np.argsort(pair)
+        shared = spark.sparkContext.broadcast((pair[order], number[order]))
+
+    def found(batch: pa.RecordBatch, i: int) -> np.ndarray:
+        own = batch.column(phrase).slice(i, 1).flatten()
+        if phrase == "words":
+            known = shared.value.get(batch.column("lang")[i].as_py())
+            if known is None:
+                return np.zeros(len(own), np.int64)
+            at = pc.index_in(own, value_set=known[0]).fill_null(-1).to_numpy()
+            return np.where(at >= 0, known[1][at], 0)
+        keys, numbers = shared.value
+        at = np.minimum(np.searchsorted(keys, own.to_numpy()), max(len(keys) - 1, 0))
+        return np.where(keys[at] == own.to_numpy(), numbers[at], 0) if len(keys) else np.zeros(len(own), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                codes = batch.column("codes").slice(i, 1).flatten().to_numpy()
+                out = _longer(batch.column("chunk")[i].as_py(), batch.column("own")[i].as_py(), codes, np.concatenate([[0], found(batch, i)]))
+                if out is not None:
+                    yield out
+
+    return relation.select("chunk", "own", "codes", phrase, *(["lang"] if phrase == "words" else [])).mapInArrow(run, _PAIRS)
+
+
+def _extended_by_join(relation: DataFrame, frequent: DataFrame, phrase: str) -> DataFrame:
+    """The same for any number of frequent phrases: chunks meet theirs by two shuffles, each phrase once per chunk."""
+    key = ["lang", "word"] if phrase == "words" else ["pair"]
+    local = _local(relation, phrase).select("chunk", "code", *key)
+    back = local.join(frequent.select(*key, "id").hint("shuffle_hash"), key).select(F.col("chunk").alias("of"), "code", "id")
 
     def join(row: pa.Table, names: pa.Table) -> pa.Table:
-        if not row.num_rows or not names.num_rows:
-            return empty
-        codes = row.column("codes").combine_chunks().flatten().to_numpy()
-        code, ids = names.column("code").to_numpy(), names.column("id").to_numpy()
-        number = np.zeros(max(int(codes.max()), int(code.max())) + 1, np.int64)
-        number[code] = np.arange(1, len(code) + 1)
-        place = number[codes]  # frequent phrases by their number in `names`, 0: none begins here
-        first, second = place[:-1], place[1:]
-        spots = np.nonzero((first > 0) & (second > 0))[0]
-        known, inverse = np.unique(first[spots] * (len(code) + 1) + second[spots], return_inverse=True)
-        if not len(known):
-            return empty
-        out = np.zeros(len(codes), np.int32)
-        out[spots] = inverse + 1
-        own = spots < row.column("own")[0].as_py()
-        counts = np.bincount(inverse[own], minlength=len(known)).astype(np.int32)
-        left, right = ids[known // (len(code) + 1) - 1], ids[known % (len(code) + 1) - 1]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x)) for x in (out, left, right, counts)]
-        kept = [row.column(c).combine_chunks() for c in ("chunk", "lang", "own")]
-        return pa.Table.from_arrays([*kept, *lists], names=empty.column_names)
-
-    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    empty = pa.schema({"chunk": pa.int64(), "lang": pa.string(), "own": pa.int32(), "codes": ints, "lefts": longs, "rights": longs,
-                       "counts": ints}).empty_table()
-    rows = relation.select("chunk", "lang", "own", "codes").groupBy("chunk")
-    return rows.cogroup(back.select("chunk", "code", "id").groupBy("chunk")).applyInArrow(join, schema)
-
-
-def _frequent(local: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Group-count and semi-join: of the rows (chunk, code, key, n) those whose key is frequent, with `f` and `id`.
-
-    The id of a phrase is the least (chunk, code) that stands for it: unique among phrases of one length.
-    """
-    at = F.shiftleft("chunk", _CODE_BITS) + F.col("code")
-    dealt = local.withColumn("at", at).drop("chunk", "code").repartition(*key)  # the count and the join share this exchange
-    groups = dealt.groupBy(*key).agg(_sum(F.col("n")).alias("f"), F.min("at").alias("id")).filter(F.col("f") >= least)
-    kept = dealt.join(groups, key)
-    return kept.withColumn("chunk", F.shiftright("at", _CODE_BITS)).withColumn("code", F.col("at").bitwiseAND((1 << _CODE_BITS) - 1).cast("int"))
+        if row.num_rows and names.num_rows:
+            codes, code = row.column("codes").combine_chunks().flatten().to_numpy(), names.column("code").to_numpy()
+            ids = np.zeros(max(int(codes.max()), int(code.max())) + 1, np.int64)
+            ids[code] = names.column("id").to_numpy()
+            out = _longer(row.column("chunk")[0].as_py(), row.column("own")[0].as_py(), codes, ids)
+            if out is not None:
+                return pa.Table.from_batches([out])
+        return empty
+
+    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
+    empty = pa.schema({"chunk": pa.int64(), "own": pa.int32(), "codes": ints, "counts": ints, "pairs": longs}).empty_table()
+    rows = relation.select("chunk", "own", "codes").groupBy("chunk")
+    return rows.cogroup(back.groupBy("of")).applyInArrow(join, _PAIRS)
+
+
+def _local(relation: DataFrame, phrase: str) -> DataFrame:
+    """One row per chunk and phrase: `chunk, code, n` and the phrase."""
+    own = ["lang"] if phrase == "words" else []
+    rows = relation.select("chunk", *own, F.posexplode(F.arrays_zip(phrase, "counts")).alias("code", "x"))
+    return rows.select("chunk", *own, (F.col("code") + 1).alias("code"), F.col(f"x.{phrase}").alias(phrase[:-1]), F.col("x.counts").alias("n"))
+
+
+def _frequent(relation: DataFrame, phrase: str, least: int) -> DataFrame:
+    """Group-count: the frequent phrases with their number `f` and an `id` from 1 on, written once."""
+    key = ["lang", "word"] if phrase == "words" else ["pair"]
+    groups = _local(relation, phrase).groupBy(*key).agg(_sum(F.col("n")).alias("f")).filter(F.col("f") >= least)
+    return freeze(number_rows(groups, "id").withColumn("id", F.col("id") + 1))
 
 
 def mine(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -171,24 +211,21 @@ def mine(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     first word, and `heads` and `tails`: the counts of what begins and of what ends the phrase, by number of words.
     """
     relation = freeze(words(docs))
-    single = relation.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x"))
-    single = single.select("chunk", "lang", (F.col("code") + 1).alias("code"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    totals = single.groupBy("lang").agg(_sum(F.col("n")).alias("total"))
-    back = freeze(_frequent(single, ["lang", "word"], least))
+    totals = relation.groupBy("lang").agg(_sum(F.col("size")).alias("total"))
+    frequent = _frequent(relation, "words", least)
     none = F.array().cast("array<long>")
-    firsts = back.filter("at = id").select(
-        "lang", "id", F.col("word").cast("string").alias("phrase"), "f", none.alias("heads"), none.alias("tails"))
-    phrases = None
+    firsts = frequent.select("lang", "id", F.col("word").cast("string").alias("phrase"), "f", none.alias("heads"), none.alias("tails"))
+    phrases, kind, limit = None, "words", BROADCAST_WORDS
     for length in range(2, MOST_WORDS + 1):
-        relation = freeze(_extended(relation, back))
-        pairs = relation.select("chunk", "lang", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("code", "x"))
-        pairs = pairs.select("chunk", "lang", (F.col("code") + 1).alias("code"), F.col("x.lefts").alias("left"),
-                             F.col("x.rights").alias("right"), F.col("x.counts").alias("n"))
-        back = freeze(_frequent(pairs, ["lang", "left", "right"], least))
-        begin = firsts.select(F.col("id").alias("left"), F.col("phrase").alias("p"), F.concat("heads", F.array("f")).alias("heads"))
+        extend: Callable = _extended_here if frequent.count() <= limit else _extended_by_join
+        relation = freeze(extend(relation, frequent, kind))
+        kind, limit = "pairs", BROADCAST_PAIRS
+        frequent = _frequent(relation, kind, least)
+        begin = firsts.select("lang", F.col("id").alias("left"), F.col("phrase").alias("p"), F.concat("heads", F.array("f")).alias("heads"))
         end = firsts.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("q"), F.concat("tails", F.array("f")).alias("tails"))
+        split = frequent.select("id", "f", F.shiftright("pair", _ID_BITS).alias("left"), F.col("pair").bitwiseAND((1 << _ID_BITS) - 1).alias("right"))
         firsts = freeze(
-            back.filter("at = id").join(begin, "left").join(end, "right")
+            split.join(begin, "left").join(end, "right")
             .select("lang", "id", "left", "right", F.concat_ws(" ", "p", "q").alias("phrase"), "f", "heads", "tails"))
         here = firsts.select("lang", "id", "left", "right", F.lit(length).alias("length"), "phrase", "f", "heads", "tails")
         phrases = here if phrases is None else phrases.unionByName(here)
