@@ -25,9 +25,9 @@ LEAST = 30  # occurrences of a candidate
 ABSORBED = 80  # percent of a candidate's occurrences that lie inside one longer candidate, from which on it is dropped
 TOP = 2000
 SCALE = 2_000_000
-CHUNK = 1 << 19  # words
-FLUSH_BYTES = 4 << 20  # of one language, after which a task makes chunks of them
-HELD_BYTES = 16 << 20  # over all languages
+CHUNK = 1 << 18  # words
+FLUSH_BYTES = 2 << 20  # of one language, after which a task makes chunks of them
+HELD_BYTES = 8 << 20  # over all languages
 BROADCAST_WORDS, BROADCAST_PAIRS = 1_000_000, 4_000_000  # frequent words or pairs up to which every task gets all of them
 SALTS = 64
 UNKNOWN = "und"
@@ -93,6 +93,7 @@ def words(docs: DataFrame) -> DataFrame:
                      pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), _list(known, pa.binary())],
                     ["chunk", "own", "codes", "counts", "lang", "size", "words"])
                 seq += 1
+            pa.default_memory_pool().release_unused()
 
         for part in slices(batches, FLUSH_BYTES):
             for lang, text in zip(part.column("lang").to_pylist(), raw_texts(part.column("text"))):
@@ -164,6 +165,7 @@ def _extended_here(relation: DataFrame, frequent: DataFrame, phrase: str) -> Dat
                 out = _longer(batch.column("chunk")[i].as_py(), batch.column("own")[i].as_py(), codes, np.concatenate([[0], found(batch, i)]))
                 if out is not None:
                     yield out
+                pa.default_memory_pool().release_unused()
 
     return relation.select("chunk", "own", "codes", phrase, *(["lang"] if phrase == "words" else [])).mapInArrow(run, _PAIRS)
 
