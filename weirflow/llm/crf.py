@@ -23,22 +23,40 @@ class Chain:
         return out
 
     def decode(self, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Viterbi labels of sequences laid end to end; sequences are decoded together, longest first."""
-        labels = np.zeros(len(features), np.int64)
-        if not len(features):
-            return labels
-        scores, begin = self.emissions(features), np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        """Viterbi labels of sequences of tokens laid end to end."""
+        return self.viterbi(self.emissions(features), lengths) if len(features) else np.zeros(0, np.int64)
+
+    def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Labels for emission scores of sequences laid end to end; sequences are decoded together, longest first."""
+        labels = np.zeros(len(scores), np.int64)
+        begin = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
         order = np.argsort(-lengths, kind="stable")
         order = order[lengths[order] > 0]
         begin, lengths = begin[order], lengths[order]
+        if not len(lengths):
+            return labels
         best, back = self.start + scores[begin], []
-        for t in range(1, int(lengths[0])):
+        together = int(lengths[1]) if len(lengths) > 1 else 1  # from here on the longest sequence is alone
+        for t in range(1, together):
             live = int(np.searchsorted(-lengths, -t, "left"))  # sequences longer than t
             options = best[:live, :, None] + self.step
             back.append(options.argmax(axis=1))
             best = np.concatenate([options.max(axis=1) + scores[begin[:live] + t], best[live:]])
+        alone, lone = [], best[0].tolist()
+        states, moves = range(len(lone)), self.step.T.tolist()
+        for row in scores[begin[0] + together:begin[0] + lengths[0]].tolist():  # plain numbers: arrays of one are slower
+            options = [[lone[a] + m[a] for a in states] for m in moves]
+            lone = [max(o) for o in options]
+            alone.append([o.index(x) for o, x in zip(options, lone)])
+            lone = [x + y for x, y in zip(lone, row)]
+        best[0] = lone
         state = (best + self.end).argmax(axis=1)
-        for t in range(int(lengths[0]) - 1, -1, -1):
+        own = int(state[0])
+        for t in range(int(lengths[0]) - 1, together - 1, -1):
+            labels[begin[0] + t] = own
+            own = alone[t - together][own]
+        state[0] = own
+        for t in range(together - 1, -1, -1):
             live = int(np.searchsorted(-lengths, -t, "left"))
             labels[begin[:live] + t] = state[:live]
             if t:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,11 +35,14 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"),
     "option": ("option",), "tbody": ("td", "th", "tr", "thead", "tbody"), "body": ("head",),
 }
+_CLOSED = {tag: ("p", *names) for tag, names in CLOSES.items()}
+_PLAIN = {tag: ("in=" + tag,) for tag in BLOCK}
 SCOPES = frozenset("table ul ol dl select body div section article".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
+_UNENDED = re.compile(r"<!--.*\Z|<[!?].*\Z", re.S)  # all that can be behind the last `>`: a comment or declaration without end
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -74,39 +78,93 @@ def _marks(tag: str, attributes: str) -> tuple[str, ...]:
     return ("in=" + tag, *sorted("cat=" + c for c in {_CATEGORY.get(p) for p in parts} if c), *sorted("name=" + p for p in parts))
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks of text in page order, of what a browser would show; linear in the page."""
+class Open:
+    """The open elements. What a block asks of them (ancestors' marks, nearest block, places of a name) is kept with each
+    element, so that no question walks the stack."""
+
+    def __init__(self, known: Container[str] | None):
+        self.known = known  # marks that count; None: all
+        self.names: list[str] = []
+        self.paths: list[frozenset[str]] = [frozenset()]  # by depth: marks of the blocks around and of this one
+        self.blocks: list[int] = [-1]  # by depth: place of the nearest block
+        self.kinds: list[str] = [""]  # by depth: nearest block or foreign element
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, attributes: str) -> None:
+        at, path = len(self.names), self.paths[-1]
+        block = tag in BLOCK
+        if block:
+            marks = _marks(tag, attributes) if "=" in attributes else _PLAIN[tag]
+            if not path.issuperset(marks):
+                path = path.union(marks if self.known is None else [m for m in marks if m in self.known])
+        self.names.append(tag)
+        self.paths.append(path)
+        self.blocks.append(at if block else self.blocks[-1])
+        self.kinds.append(tag if block or tag in FOREIGN else self.kinds[-1])
+        self.places.setdefault(tag, []).append(at)
+
+    def cut(self, depth: int) -> None:
+        """Close the element at a place and all inside it."""
+        while len(self.names) > depth:
+            self.places[self.names.pop()].pop()
+            self.paths.pop()
+            self.blocks.pop()
+            self.kinds.pop()
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost element of a name, or -1."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def imply(self, tag: str) -> None:
+        """End tags that a block's start implies: of open paragraphs and what it closes, up to the nearest scope."""
+        closed = [found for name in _CLOSED.get(tag, ("p",)) if (found := self.places.get(name))]
+        if not closed:
+            return
+        scope, outer = max(self.last(t) for t in SCOPES), len(self.names)
+        for found in closed:
+            i = bisect.bisect_right(found, scope)
+            if i < len(found):
+                outer = min(outer, found[i])
+        self.cut(outer)
+
+
+def blocks(page: str, known: Container[str] | None = None) -> list[Block]:
+    """Leaf blocks of text in page order, of what a browser would show; linear in the page.
+
+    Of the ancestors' marks only the `known` ones are kept, if given, so that a block's path is bounded.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Open(known)
     held: list[str] = []
     linked = at = links = 0
+    final = page.rfind(">")  # no tag ends behind it
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(held).split())
         if text:
-            tag = next((t for t, _ in reversed(stack) if t in BLOCK), "body")
-            path = frozenset(m for t, marks in stack if t in BLOCK for m in marks)
-            out.append(Block(tag, path, text, linked))
+            nearest = stack.blocks[-1]
+            out.append(Block(stack.names[nearest] if nearest >= 0 else "body", stack.paths[-1], text, linked))
         held.clear()
         linked = 0
 
     def leave_head() -> None:
-        for i, (t, _) in enumerate(stack[:3]):
+        for i, t in enumerate(stack.names[:3]):
             if t == "head":
-                del stack[i:]
+                stack.cut(i)
                 break
 
     def foreign(tag: str) -> bool:
         if tag in FOREIGN or tag in BLOCK and tag != "title":
             return tag in FOREIGN
-        return next((t in FOREIGN for t, _ in reversed(stack) if t in FOREIGN or t in BLOCK), False)
+        return stack.kinds[-1] in FOREIGN
 
     def say(raw: str) -> None:
         nonlocal linked
         if raw and not raw.isspace():
             leave_head()
-        if raw and not any(t == "head" for t, _ in stack[:3]):
+        if raw and "head" not in stack.names[:3]:
             text = html.unescape(raw) if "&" in raw else raw
             held.append(text)
             if links:
@@ -114,21 +172,24 @@ def blocks(page: str) -> list[Block]:
 
     lowered = None
     while True:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, final + 1) if at <= final else None
         if not m:
-            say(page[at:])
+            unended = _UNENDED.search(page, max(at, final + 1))
+            say(page[at:unended.start() if unended else len(page)])
             break
         say(page[at:m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->"):  # a comment without end
+            break
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:  # an end tag closes what it names and all inside; one that names nothing open does nothing
             if tag in BLOCK:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and (tag in BLOCK or all(t not in BLOCK for t, _ in stack[depth:])):
-                del stack[depth:]
+            depth = stack.last(tag)
+            if depth >= 0 and (tag in BLOCK or stack.blocks[-1] < depth):
+                stack.cut(depth)
             if tag == "a":
                 links = 0
             elif tag == "p" and depth < 0:
@@ -151,18 +212,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, -1, -1):  # implied end tags
-                name = stack[i][0]
-                if name == "p" or name in CLOSES.get(tag, ()):
-                    del stack[i:]
-                elif name in SCOPES:
-                    break
+            stack.imply(tag)
         elif tag == "br":
             held.append("\n")
         if tag == "a":
             links = 1
         if tag not in VOID:
-            stack.append((tag, _marks(tag, m[3] or m[6] or "") if tag in BLOCK else ()))
+            stack.push(tag, m[3] or m[6] or "")
     flush()
     return out
 
@@ -172,21 +228,21 @@ def blocks(page: str) -> list[Block]:
 _SAYS = re.compile(r"©|\(c\)|copyright|all rights|cookie|subscribe|newsletter|advert|sponsored|sign up|log in|share", re.I)
 
 
-def block_features(b: Block) -> list[str]:
+def block_features(b: Block, path: bool = True) -> list[str]:
     words = b.text.count(" ") + 1
     share = b.linked / len(b.text)
     size = next(n for n in (2, 5, 10, 20, 40, 1 << 60) if words <= n)
-    out = ["tag=" + b.tag, *b.path, f"words={size if size < 100 else 'more'}", f"links={0 if not share else 1 if share < 0.3 else 2 if share < 0.8 else 3}"]
+    out = ["tag=" + b.tag, *(b.path if path else ()), f"words={size if size < 100 else 'more'}", f"links={0 if not share else 1 if share < 0.3 else 2 if share < 0.8 else 3}"]
     if b.text[-1] in ".!?…\"”":
         out.append("sentence")
-    if _SAYS.search(b.text[:400]):
+    if _SAYS.search(b.text):
         out.append("says")
     return out
 
 
-def context_features(items: list[Block]) -> list[list[str]]:
-    """Features of each block, and the size and tag of its neighbours."""
-    own = [block_features(b) for b in items]
+def context_features(items: list[Block], path: bool = True) -> list[list[str]]:
+    """Features of each block, with its ancestors' unless told not, and the size and tag of its neighbours."""
+    own = [block_features(b, path) for b in items]
     short = [[x for x in f if x.startswith(("tag=", "words="))] for f in own]
     out = []
     for i, f in enumerate(own):
@@ -197,13 +253,31 @@ def context_features(items: list[Block]) -> list[list[str]]:
 
 
 def _ids(features: list[list[str]], known: dict[str, int], width: int) -> np.ndarray:
+    """Rows of feature ids, padded; for training, whose widest row gives the width."""
     out = np.full((len(features), width), len(known), np.int64)
     for i, f in enumerate(features):
-        at = sorted({known[x] for x in f if x in known})[:width]
+        at = sorted({known[x] for x in f if x in known})
         out[i, : len(at)] = at
     return out
 
 
+def _scores(items: list[Block], known: dict[str, int], chain: crf.Chain, paths: dict[frozenset[str], np.ndarray]) -> np.ndarray:
+    """Emission scores of a page's blocks: all their features, whatever their number. Sums over equal paths are remembered."""
+    features, none = context_features(items, False), np.zeros(chain.weights.shape[1])
+    out = np.empty((len(items), chain.weights.shape[1]))
+    small: dict[tuple[str, ...], np.ndarray] = {}
+    for i, (b, f) in enumerate(zip(items, features)):
+        around = paths.get(b.path)
+        if around is None:
+            around = paths[b.path] = sum((chain.weights[known[x]] for x in b.path if x in known), none)
+        key = tuple(f)
+        own = small.get(key)
+        if own is None:
+            own = small[key] = sum((chain.weights[known[x]] for x in set(f) if x in known), none)
+        out[i] = around + own
+    return out
+
+
 # ---- labelled pages
 
 
@@ -290,7 +364,7 @@ def labelled_pages(n: int, seed: int) -> list[tuple[str, dict[str, int]]]:
     return out
 
 
-def fit(pages: list[tuple[str, dict[str, int]]]) -> tuple[dict[str, int], crf.Chain, int]:
+def fit(pages: list[tuple[str, dict[str, int]]]) -> tuple[dict[str, int], crf.Chain]:
     sequences, targets = [], []
     for page, labels in pages:
         found = [b for b in blocks(page) if b.text in labels]
@@ -304,17 +378,17 @@ def fit(pages: list[tuple[str, dict[str, int]]]) -> tuple[dict[str, int], crf.Ch
                 seen[x] = seen.get(x, 0) + 1
     known = {x: i for i, x in enumerate(sorted(x for x, k in seen.items() if k >= 8))}
     width = max(len(set(f)) for s in sequences for f in s)
-    return known, crf.fit([_ids(s, known, width) for s in sequences], targets, len(known), 2, epochs=100), width
+    return known, crf.fit([_ids(s, known, width) for s in sequences], targets, len(known), 2, epochs=100)
 
 
-def main_texts(pages: list[str], model: tuple[dict[str, int], crf.Chain, int]) -> list[str]:
-    known, chain, width = model
-    found = [blocks(p) for p in pages]
+def main_texts(pages: list[str], model: tuple[dict[str, int], crf.Chain]) -> list[str]:
+    known, chain = model
+    found = [blocks(p, known) for p in pages]
     lengths = np.array([len(b) for b in found], np.int64)
     if not lengths.sum():
         return [""] * len(pages)
-    ids = _ids([f for b in found for f in context_features(b)], known, 2 * width)
-    labels = chain.decode(ids, lengths)
+    paths: dict[frozenset[str], np.ndarray] = {}
+    labels = chain.viterbi(np.concatenate([_scores(b, known, chain, paths) for b in found if b]), lengths)
     out, at = [], 0
     for own in found:
         out.append("\n\n".join(b.text for b, y in zip(own, labels[at:at + len(own)]) if y == CONTENT))
