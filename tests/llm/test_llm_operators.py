@@ -203,7 +203,7 @@ def test_simhash_groups_equal_brute_force(spark, monkeypatch, chunk):
 def test_simhash_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c", None, None, None), (None, "a b c", None, None, None), (4, "a b c", None, None, None)], DOCS)
     assert {(x.doc_id, x.component_id) for x in simhash_pivots.near_duplicates(docs).collect()} == {(None, 4), (4, 4)}
-    assert simhash_pivots.deduplicate(docs).count() == 2
+    assert [x.doc_id for x in simhash_pivots.deduplicate(docs).collect()] == [4]
     assert simhash_pivots.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -561,4 +561,5 @@ def test_quality_on_held_out_documents(spark):
     assert {x.score for x in quality_ri.classify(docs.limit(5), marks.limit(0)).collect()} == {0.5}
     assert quality_ri.classify(docs.limit(0), marks).count() == 0
     kept = quality_ri.keep_good(docs, marks)
-    assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == 1
+    without_id = [x.predicted for x in got if x.doc_id is None]
+    assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == sum(without_id)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import freeze, id_and_text, raw_texts, slices
+from weirflow.llm.rows import numbered, without
 
 WINDOW = 8  # template tokens of a window; a shorter item is one window
 MIN_LITERALS = 4  # literal words of a window that matches with any values (3 in items of fewer than eight tokens); others match with the same
@@ -362,6 +363,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that hold a benchmark item; rows without an id always stay."""
-    leaked = leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs["doc_id"] == F.col("leaked_id"), "left_anti")
+    """`docs` without the rows that hold a benchmark item, by their own texts, whatever their ids; all columns stay."""
+    rows, row = numbered(docs)
+    own = rows.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return without(rows, row, leaks(own, benchmark))

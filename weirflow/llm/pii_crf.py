@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import crf
 from weirflow.llm.common import id_and_text, slices
+from weirflow.llm.rows import unused
 
 # base kinds in their listed order, then the kind that only the model adds
 KINDS = ["email", "ip", "card", "phone", "id"]
@@ -299,7 +300,7 @@ def _listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
 
-def _each(docs: DataFrame, schema: str, make) -> DataFrame:
+def _each(docs: DataFrame, schema: str, make, column: str) -> DataFrame:
     known, chain = fit(labelled_sentences(TRAIN_SENTENCES, SEED))
     shared = docs.sparkSession.sparkContext.broadcast((known, chain))
 
@@ -307,7 +308,7 @@ def _each(docs: DataFrame, schema: str, make) -> DataFrame:
         names, model = shared.value
         at = Features(names)
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text__")).to_pylist()]
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
             base = [base_spans(t) for t in texts]
             added = _decoded(texts, base, at, model)
             spans = [sorted(b + a, key=lambda s: (s[0], ORDER[s[2]], s[1])) for b, a in zip(base, added)]
@@ -337,7 +338,7 @@ def find(docs: DataFrame) -> DataFrame:
         )
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return _each(id_and_text(docs).withColumnRenamed("text", "text__"), schema, make)
+    return _each(id_and_text(docs), schema, make, "text")
 
 
 def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -360,18 +361,19 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs`, all columns, with the personal data in `text` replaced; null stays null. `n_chars`, if there, follows."""
-    names = docs.columns
+    names, read = docs.columns, unused(docs, "text_read")
+    written = unused(docs, "text_redacted")
 
     def make(batch, texts, base, spans):
-        old = batch.column(batch.schema.get_field_index("text__"))
+        old = batch.column(batch.schema.get_field_index(read))
         new = pa.array([redacted(t, s) for t, s in zip(texts, spans)], old.type)
-        whole = pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, "redacted__"])
+        whole = pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, written])
         return whole
 
-    from_ = docs.withColumn("text__", F.col(text).cast("string"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in from_.schema.fields) + ", redacted__ string"
-    out = _each(from_, schema, make)
-    changed = {text: F.when(F.col("text__").isNotNull(), F.col("redacted__"))}
+    from_ = docs.withColumn(read, F.col(f"`{text}`").cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in from_.schema.fields) + f", {written} string"
+    out = _each(from_, schema, make, read)
+    changed = {text: F.when(F.col(read).isNotNull(), F.col(written))}
     if "n_chars" in names:
-        changed["n_chars"] = F.when(F.col("text__").isNull(), F.col("n_chars")).otherwise(F.length("redacted__").cast("long"))
+        changed["n_chars"] = F.when(F.col(read).isNull(), F.col("n_chars")).otherwise(F.length(written).cast("long"))
     return out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in names))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import id_and_text, raw_texts, slices
+from weirflow.llm.rows import numbered, without
 
 TRAIN_ROWS = 6000  # labelled documents that the model is fitted on, at most
 TRAIN_CHARS = 20_000  # longer labelled documents are not taken for fitting, so that the sample's size is bounded
@@ -227,6 +228,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without the documents that the classifier rejects; an id goes if any of its rows is rejected."""
-    rejected = classify(docs, labels).filter("predicted = 0").select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, docs["doc_id"] == F.col("rejected_id"), "left_anti")
+    """`docs` without the rows that the classifier rejects; all columns stay, whatever their names.
+
+    A row is judged by its own text: rows with a null id or one that others share neither escape nor fall with them.
+    """
+    model = fit(*training_sample(docs, labels))
+    rows, row = numbered(docs)
+    own = rows.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return without(rows, row, scores(own, model).filter(F.col("score") < REJECT_BELOW))

@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import forest, freeze, id_and_text, raw_texts, slices
+from weirflow.llm.rows import numbered, without
 from weirflow.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -173,13 +174,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """`docs` with one document of each near-duplicate group: the one with the group's smallest id.
+    """`docs` with one row of each near-duplicate group: the one with the least id, ties and null ids by row number.
 
-    Rows that are equal in id and text (or both without id and equal in text) are copies of one document and one stays.
-    An id is dropped if any of its rows is in a group with a smaller id; rows without an id are never dropped for others.
+    Groups are those of the rows, so rows with a null id or one that others share take part like any other; all columns
+    stay, whatever their names.
     """
-    groups = near_duplicates(docs, text, key)
-    dropped = groups.filter("component_id < doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    kept = docs.join(dropped, docs[key] == F.col("dropped_id"), "left_anti")
-    copies = Window.partitionBy(key, F.xxhash64(text), text).orderBy(F.lit(0))
-    return kept.withColumn("copy_number__", F.row_number().over(copies)).filter("copy_number__ = 1").drop("copy_number__")
+    rows, row = numbered(docs)
+    own = rows.select(F.col(row).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("id"))
+    groups = near_duplicates(own).select("doc_id", "component_id")
+    place = F.struct(F.col("id").isNull().alias("nil"), "id", "doc_id")
+    first = groups.join(own.select("doc_id", "id"), "doc_id").groupBy("component_id").agg(F.min(place)["doc_id"].alias("first"))
+    gone = groups.join(first, "component_id").filter(F.col("doc_id") != F.col("first"))
+    return without(rows, row, gone)
