@@ -141,7 +141,7 @@ def test_stored_decisions_and_ratios_of_regressors(spark, table, tmp_path):
         assert r["mean_coverage"] is not None and (r["coverage"] > 0 or r["mean_reduction"] is None)
     octets = {r["pos"]: r["octets"] for r in table.collect()}
     stored = read_decisions(spark, str(tmp_path / "d")).collect()
-    assert len(stored) == 2 * 2 * 3 * 300
+    assert len(stored) == 2 * 2 * 2 * 3 * 300  # algorithms, kinds, folds, levels, flows
     for r in stored:
         if r["kind"] == "true" or r["algo"] == "Data":
             assert r["decision"] == (octets[r["pos"]] > cuts[r["level"]])
