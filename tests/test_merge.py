@@ -123,3 +123,18 @@ def test_one_hot_key_waits_in_small_parts_and_late_buckets(spark, tmp_path, monk
         merged = ST.merge_stream(ST.with_end(stream, folder), ["k"], INACTIVE, ACTIVE, f"{span + 200_000} milliseconds", bucket)
         got = ST.run_available(merged, folder, stream.schema, {"start_ms": ST.END_MS, "end_ms": ST.END_MS})
         assert collected(got) == want
+
+
+def test_timers_follow_buckets_and_shares_not_keys(spark, tmp_path):
+    day, schema = 86_400_000, SCHEMA.replace("k int", "k long")
+    rows = [(k + 2**60 if k % 50 else None, pos, s + day, e + day, *rest) for k, pos, s, e, *rest in random_rows(3000, 400, 3)]  # not exact in a float
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    want = sorted(map(str, M.merge_records(spark.createDataFrame(rows, schema), ["k"], INACTIVE, ACTIVE).select(*schema.replace(" long", "").split(", ")).collect()))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    merged = ST.merge_stream(ST.with_end(stream, str(tmp_path)), ["k"], INACTIVE, ACTIVE, bucket_s=600.0)
+    got = ST.run_available(merged, str(tmp_path), stream.schema, {"start_ms": ST.END_MS, "end_ms": ST.END_MS})
+    assert sorted(map(str, got.collect())) == want
+    again = merged.writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "noop")).trigger(availableNow=True).start()
+    again.awaitTermination()
+    timers = sum(int(o["customMetrics"].get("numRegisteredTimers", 0)) for p in again.recentProgress for o in p["stateOperators"])
+    assert 0 < timers <= 2 * ST.SHARES < len({r[0] for r in rows})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,16 +20,29 @@ VALUES = ["pos", "start_ms", "end_ms", "packets", "octets", "aggs"]
 END_MS = 7_258_118_400_000  # the year 2200, later than any record: the time of an end mark (pandas ends in 2262)
 PART_ROWS = 1024  # records of one state value
 OUT_ROWS = 16_384
+HELD_ROWS = 1 << 17  # of one share, after which input goes to the state
+SHARES = 64
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _same(value):
+    """Equal for equal key values, with a hash: NaN is itself, and nested values are tuples."""
+    if isinstance(value, np.ndarray):
+        value = value.tolist()
+    if isinstance(value, dict):
+        value = list(value.items())
+    if isinstance(value, (list, tuple)):
+        return tuple(map(_same, value))
+    return value if value == value else "nan"
+
+
 class MergeProcessor(StatefulProcessor):
-    """State of one key: its records by time bucket, in parts of `PART_ROWS`, and the flow that later ones may continue.
+    """State of one share of the keys: records by time bucket, in parts of `PART_ROWS`, and the flows that later ones may continue.
 
-    A bucket has a timer at its end. By then no earlier record can come, so the bucket is read, merged in time order and
-    dropped; nothing else of the key is touched. The flow has a timer at the end of the bucket in which it can no longer
-    be continued. Timers fire in the order of time.
+    Calls to the state are what costs, so a share has a timer only at the end of its first bucket, or where the first of
+    its flows can no longer be continued. It goes through all buckets that the watermark has passed: as no earlier record
+    can come, each is read, merged in time order and dropped, one at a time.
     """
 
     def __init__(self, keys: Sequence[str], inactive_ms: int, candidate_s: float, width_ms: int, part_rows: int):
@@ -36,70 +50,93 @@ class MergeProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.flow = handle.getValueState("flow", ", ".join(f"{v} long" for v in VALUES))
-        self.parts = handle.getMapState("parts", "bucket long", "parts long")
-        self.rows = handle.getMapState("rows", "bucket long, part long", "flat binary")
+        self.flows = handle.getValueState("flows", "flows binary")
+        self.index = handle.getValueState("index", "parts binary")  # parts by bucket
+        self.rows = handle.getMapState("rows", "bucket long, part long", "rows binary")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
         for batch in rows:
-            values = batch[VALUES].fillna(0).to_numpy("int64")
-            values = values[values[:, 1] < END_MS]
-            bucket = values[:, 1] // self.width
-            order = np.argsort(bucket, kind="stable")
-            values, bucket = values[order], bucket[order]
-            edges = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), len(bucket)]
-            for low, high in zip(edges, edges[1:]):
-                if low == high:
-                    continue
-                b = int(bucket[low])
-                n = self.parts.getValue((b,)) if self.parts.containsKey((b,)) else None
-                part = int(n[0]) if n else 0
-                if not part:
-                    self.handle.registerTimer((b + 1) * self.width)
-                for at in range(low, high, self.part_rows):
-                    self.rows.updateValue((b, part), (values[at:min(at + self.part_rows, high)].tobytes(),))
-                    part += 1
-                self.parts.updateValue((b,), (part,))
-        yield self._frame(key, [])
+            held.append(batch[[*self.keys, *VALUES]])
+            n += len(batch)
+            if n >= HELD_ROWS:
+                self._keep(int(key[1]), held)
+                held, n = [], 0
+        if n:
+            self._keep(int(key[1]), held)
+        yield self._frame([])
+
+    def _keep(self, nulls: int, held: list[pd.DataFrame]) -> None:
+        """Add records to the parts of their buckets. In a share, a key column is null in all rows or in none."""
+        values = np.concatenate([batch[VALUES].to_numpy("int64") for batch in held])
+        names = [[None] * len(values) if nulls >> i & 1 else [v for batch in held for v in batch[k].tolist()] for i, k in enumerate(self.keys)]
+        bucket = values[:, 1] // self.width
+        order = np.argsort(bucket, kind="stable")
+        order = order[values[order, 1] < END_MS]
+        index = self._state(self.index)
+        edges = [0, *(np.nonzero(np.diff(bucket[order]))[0] + 1).tolist(), len(order)]
+        for low, high in zip(edges, edges[1:]):
+            if low == high:
+                continue
+            b = int(bucket[order[low]])
+            part = index.get(b, 0)
+            for at in range(low, high, self.part_rows):
+                own = order[at:min(at + self.part_rows, high)]
+                self.rows.updateValue((b, part), (pickle.dumps(([[name[i] for i in own.tolist()] for name in names], values[own])),))
+                part += 1
+            index[b] = part
+        if index:
+            self.index.update((pickle.dumps(index),))
+            self.handle.registerTimer((min(index) + 1) * self.width)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        flow = self.flow.get() if self.flow.exists() else None
-        flow = tuple(int(v) for v in flow) if flow is not None else None
-        before, out = flow, []
-        for row in self._due(now // self.width - 1):
-            done, flow = self._follow(flow, row)
-            out += done
-            if len(out) >= OUT_ROWS:
-                yield self._frame(key, out)
-                out = []
-        if flow is not None and flow[2] + self.inactive <= now:
-            out.append(flow)
-            flow = None
-        if flow is None and before is not None:
-            self.flow.clear()
-        elif flow is not None and flow != before:
-            self.flow.update(flow)
-            due = (-(-(flow[2] + self.inactive) // self.width)) * self.width
-            self.handle.registerTimer(max(due, now + 1))
-        yield self._frame(key, out)
-
-    def _due(self, bucket: int) -> Iterator[tuple[int, ...]]:
-        """Records of a bucket in time order; they leave the state."""
-        if not self.parts.containsKey((bucket,)):
-            return
-        read = []
-        for part in range(int(self.parts.getValue((bucket,))[0])):
-            read.append(np.frombuffer(self.rows.getValue((bucket, part))[0], "int64").reshape(-1, len(VALUES)))
+        passed = timerValues.getCurrentWatermarkInMs() // self.width  # buckets before have all their records
+        index, flows = self._state(self.index), self._state(self.flows)
+        merged, out = sorted(b for b in index if b < passed), []
+        for bucket in merged:
+            for name, row in self._due(bucket, index.pop(bucket)):
+                same = _same(name)
+                done, flow = self._follow(flows.pop(same, (name, None))[1], row)
+                out += [(*name, *x) for x in done]
+                if flow is not None:
+                    flows[same] = name, flow
+                if len(out) >= OUT_ROWS:
+                    yield self._frame(out)
+                    out = []
+        ended = [same for same, (_, flow) in flows.items() if flow[2] + self.inactive <= passed * self.width]
+        for name, flow in map(flows.pop, ended):
+            out.append((*name, *flow))
+        if merged or ended:
+            for state, left in ((self.index, index), (self.flows, flows)):
+                if left:
+                    state.update((pickle.dumps(left),))
+                else:
+                    state.clear()
+            waits = [b + 1 for b in index] + [-(-(flow[2] + self.inactive) // self.width) for _, flow in flows.values()]
+            if waits:
+                self.handle.registerTimer(min(waits) * self.width)
+        yield self._frame(out)
+
+    def _state(self, state) -> dict:
+        return pickle.loads(state.get()[0]) if state.exists() else {}
+
+    def _due(self, bucket: int, parts: int) -> Iterator[tuple[tuple, tuple[int, ...]]]:
+        """Keys and records of a bucket in time order; they leave the state."""
+        names, read = [[] for _ in self.keys], []
+        for part in range(parts):
+            own, rows = pickle.loads(self.rows.getValue((bucket, part))[0])
+            for name, more in zip(names, own):
+                name += more
+            read.append(rows)
             self.rows.removeKey((bucket, part))
-        self.parts.removeKey((bucket,))
-        rows = np.concatenate(read)
+        rows, names = np.concatenate(read), list(zip(*names))
         order = np.lexsort((rows[:, 0], rows[:, 2], rows[:, 1]))
         for low in range(0, len(order), OUT_ROWS):
-            yield from map(tuple, rows[order[low:low + OUT_ROWS]].tolist())
+            at = order[low:low + OUT_ROWS]
+            yield from zip(map(names.__getitem__, at.tolist()), map(tuple, rows[at].tolist()))
 
     def _follow(self, flow: tuple | None, row: tuple) -> tuple[list[tuple], tuple | None]:
         """What is finished and what waits after the next record in time order."""
@@ -116,18 +153,20 @@ class MergeProcessor(StatefulProcessor):
             return done, new
         return [*done, new], None
 
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *row) for row in rows], columns=[*self.keys, *VALUES])
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self.keys, *VALUES])
 
 
 def merge_stream(records: DataFrame, keys: Sequence[str], inactive_s: float = 15.0, active_s: float = 300.0,
-                 lateness: str = "10 minutes", bucket_s: float | None = None) -> DataFrame:
+                 lateness: str = "10 minutes", bucket_s: float | None = None, shares: int = SHARES) -> DataFrame:
     """Streaming form of `merge_records`, with the same result for records that are late by `lateness` at most.
 
     Records wait in state by time buckets of `bucket_s` seconds (the inactive timeout by default) until the watermark has
-    passed the bucket; a flow is emitted once nothing could continue it. What a task holds at a time is one bucket of one
-    key, so choose a width whose records fit, and bound micro-batches at the source (`maxFilesPerTrigger`,
-    `maxBytesPerTrigger`) so that the watermark moves. The end mark of `with_end` flushes what is left at the end of an
+    passed the bucket; a flow is emitted once nothing could continue it. Keys are dealt by hash into `shares`, which have
+    the state and the timers, so their number follows buckets and shares and not records. What a task holds at a time is
+    one bucket of one share and its unfinished flows, so choose a width and a number of shares whose records fit, keep
+    both for the life of a checkpoint, and bound micro-batches at the source (`maxFilesPerTrigger`, `maxBytesPerTrigger`)
+    so that the watermark moves. The end mark of `with_end` flushes what is left at the end of an
     input. Needs the RocksDB state store, which is chosen unless the session names a store.
     """
     spark = records.sparkSession
@@ -135,9 +174,15 @@ def merge_stream(records: DataFrame, keys: Sequence[str], inactive_s: float = 15
         spark.conf.set(STORE, ROCKS)
     fields = [*[records.schema[k] for k in keys], *[T.StructField(v, T.LongType()) for v in VALUES]]
     width = max(1, round((inactive_s if bucket_s is None else bucket_s) * 1000))
-    timed = records.select(*keys, *[F.col(v).cast("long").alias(v) for v in VALUES], F.timestamp_millis("start_ms").alias("ts"))
+    values = [F.coalesce(F.col(v).cast("long"), F.lit(0)).alias(v) for v in VALUES]
+    # pandas would turn integers beside a null to floats: which keys are null goes with the share
+    names = [F.coalesce(f.name, F.lit(0).cast(f.dataType)).alias(f.name) if isinstance(f.dataType, T.IntegralType) else f.name for f in fields[:len(keys)]]
+    nulls = sum((F.isnull(k).cast("long") * (1 << i) for i, k in enumerate(keys)), F.lit(0).cast("long"))
+    share = F.pmod(F.xxhash64(*keys), F.lit(shares))
+    timed = records.select(*names, *values, F.timestamp_millis("start_ms").alias("ts"), share.alias("_share"), nulls.alias("_nulls"))
     processor = MergeProcessor(keys, round(inactive_s * 1000), active_s - inactive_s, width, PART_ROWS)
-    return timed.withWatermark("ts", lateness).groupBy(*keys).transformWithStateInPandas(processor, T.StructType(fields), "append", "eventTime")
+    shared = timed.withWatermark("ts", lateness).groupBy("_share", "_nulls")
+    return shared.transformWithStateInPandas(processor, T.StructType(fields), "append", "eventTime")
 
 
 def arrival_stream(flows: DataFrame, lateness: str = "10 minutes") -> DataFrame:
