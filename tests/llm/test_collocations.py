@@ -83,3 +83,13 @@ def test_products_past_64_bits(spark):
 def test_no_rows_and_no_frequent_phrases(spark):
     assert co.collocations(spark.createDataFrame([], LINES)).count() == 0
     assert co.collocations(spark.createDataFrame([(1, "a b c", "en", "", 0)], LINES)).count() == 0
+
+
+def test_relations_hold_bytes_and_no_arrays(spark):
+    docs = spark.createDataFrame([(i, "a b c d, a b", "en", "", 0) for i in range(40)], LINES)
+    relation = co.words(docs)
+    frequent = co._frequent(relation, "words", 30)
+    for extended in (co._extended_here(relation, frequent, "words"), co._extended_by_join(relation, frequent, "words")):
+        for df in (relation, extended):
+            assert not [c for c, kind in df.dtypes if kind.startswith("array")]
+        assert sorted(r["n"] for r in co._local(extended, "pairs").groupBy("pair").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()) == [40, 40, 80]

@@ -1,7 +1,8 @@
 """Collocations by set-oriented mining: occurrence relations joined with themselves, length by length.
 
 An occurrence relation lies in chunks: rows with one array that holds, by position, the code of the phrase that begins
-there. Pieces stand one behind the other in a chunk with a gap between, so a relation is sorted by piece and position,
+there. Arrays are kept as bytes, as only Python tasks look into them: the executors' JVM would hold levels and boxes for
+every number of them. Pieces stand one behind the other in a chunk with a gap between, so a relation is sorted by piece and position,
 and the merge-join of a relation with itself on adjacent positions compares an array with its own shift. Chunks tell
 their phrases by local codes and count them, so a count shuffles a phrase once per chunk at most, however common it is.
 """
@@ -28,6 +29,7 @@ SCALE = 2_000_000
 CHUNK = 1 << 18  # words
 FLUSH_BYTES = 2 << 20  # of one language, after which a task makes chunks of them
 HELD_BYTES = 8 << 20  # over all languages
+ROWS_OUT = 1 << 15  # phrases that a task hands on at a time
 BROADCAST_WORDS, BROADCAST_PAIRS = 1_000_000, 4_000_000  # frequent words or pairs up to which every task gets all of them
 SALTS = 64
 UNKNOWN = "und"
@@ -38,19 +40,30 @@ _BETWEEN = b" " + _GAP + b" "
 _SEQ_BITS = 20  # chunk ids are (partition, number in the partition)
 _ID_BITS = 31  # a pair is one number: the ids of its two phrases, which count from 1
 
-_RELATION = "chunk long, own int, codes array<int>, counts array<int>"
-_WORDS = _RELATION + ", lang string, size long, words array<binary>"
-_PAIRS = _RELATION + ", pairs array<long>"
+_CODES, _COUNTS, _PAIR = "<i4", "<i4", "<i8"  # what the bytes are; words are joined by spaces
+_RELATION = "chunk long, own int, codes binary, counts binary"
+_WORDS = _RELATION + ", lang string, size long, words binary"
+_PAIRS = _RELATION + ", pairs binary"
 
 
 def _sum(n: Column) -> Column:
     return F.sum(n).cast("long")
 
 
-def _list(values, kind: pa.DataType) -> pa.ListArray:
-    """A column of one row, whose value is the list."""
-    inner = values if isinstance(values, pa.Array) else pa.array(values, kind)
-    return pa.ListArray.from_arrays(pa.array([0, len(inner)], pa.int32()), inner)
+def _bytes(values: np.ndarray, kind: str) -> pa.Array:
+    """A column of one row, whose value is the array."""
+    return pa.array([values.astype(kind).tobytes()], pa.binary())
+
+
+def _array(batch: pa.RecordBatch | pa.Table, name: str, kind: str, i: int = 0) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
+
+
+def _phrases(batch: pa.RecordBatch, phrase: str, i: int) -> pa.Array:
+    """The phrases of codes 1, 2 … of a chunk."""
+    if phrase == "words":
+        return pc.split_pattern(batch.column(phrase).slice(i, 1), b" ").flatten()
+    return pa.array(_array(batch, phrase, _PAIR, i))
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
@@ -89,8 +102,8 @@ def words(docs: DataFrame) -> DataFrame:
             del size[lang]
             for own, codes, known, counts in _chunks(held.pop(lang)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(pid << _SEQ_BITS) + seq], pa.int64()), pa.array([own], pa.int32()), _list(codes, pa.int32()), _list(counts, pa.int32()),
-                     pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), _list(known, pa.binary())],
+                    [pa.array([(pid << _SEQ_BITS) + seq], pa.int64()), pa.array([own], pa.int32()), _bytes(codes, _CODES), _bytes(counts, _COUNTS),
+                     pa.array([lang]), pa.array([int(counts.sum())], pa.int64()), pa.array([b" ".join(known.to_pylist())], pa.binary())],
                     ["chunk", "own", "codes", "counts", "lang", "size", "words"])
                 seq += 1
             pa.default_memory_pool().release_unused()
@@ -127,7 +140,7 @@ def _longer(chunk: int, own: int, codes: np.ndarray, ids: np.ndarray) -> pa.Reco
     out[spots] = inverse + 1
     counts = np.bincount(inverse[spots < own], minlength=len(known))
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), pa.array([own], pa.int32()), _list(out, pa.int32()), _list(counts, pa.int32()), _list(known, pa.int64())],
+        [pa.array([chunk], pa.int64()), pa.array([own], pa.int32()), _bytes(out, _CODES), _bytes(counts, _COUNTS), _bytes(known, _PAIR)],
         ["chunk", "own", "codes", "counts", "pairs"])
 
 
@@ -147,7 +160,7 @@ def _extended_here(relation: DataFrame, frequent: DataFrame, phrase: str) -> Dat
         shared = spark.sparkContext.broadcast((pair[order], number[order]))
 
     def found(batch: pa.RecordBatch, i: int) -> np.ndarray:
-        own = batch.column(phrase).slice(i, 1).flatten()
+        own = _phrases(batch, phrase, i)
         if phrase == "words":
             known = shared.value.get(batch.column("lang")[i].as_py())
             if known is None:
@@ -161,7 +174,7 @@ def _extended_here(relation: DataFrame, frequent: DataFrame, phrase: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes = batch.column("codes").slice(i, 1).flatten().to_numpy()
+                codes = _array(batch, "codes", _CODES, i)
                 out = _longer(batch.column("chunk")[i].as_py(), batch.column("own")[i].as_py(), codes, np.concatenate([[0], found(batch, i)]))
                 if out is not None:
                     yield out
@@ -178,7 +191,7 @@ def _extended_by_join(relation: DataFrame, frequent: DataFrame, phrase: str) ->
 
     def join(row: pa.Table, names: pa.Table) -> pa.Table:
         if row.num_rows and names.num_rows:
-            codes, code = row.column("codes").combine_chunks().flatten().to_numpy(), names.column("code").to_numpy()
+            codes, code = _array(row, "codes", _CODES), names.column("code").to_numpy()
             ids = np.zeros(max(int(codes.max()), int(code.max())) + 1, np.int64)
             ids[code] = names.column("id").to_numpy()
             out = _longer(row.column("chunk")[0].as_py(), row.column("own")[0].as_py(), codes, ids)
@@ -186,8 +199,7 @@ def _extended_by_join(relation: DataFrame, frequent: DataFrame, phrase: str) ->
                 return pa.Table.from_batches([out])
         return empty
 
-    longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-    empty = pa.schema({"chunk": pa.int64(), "own": pa.int32(), "codes": ints, "counts": ints, "pairs": longs}).empty_table()
+    empty = pa.schema({"chunk": pa.int64(), "own": pa.int32(), "codes": pa.binary(), "counts": pa.binary(), "pairs": pa.binary()}).empty_table()
     rows = relation.select("chunk", "own", "codes").groupBy("chunk")
     return rows.cogroup(back.groupBy("of")).applyInArrow(join, _PAIRS)
 
@@ -195,8 +207,21 @@ def _extended_by_join(relation: DataFrame, frequent: DataFrame, phrase: str) ->
 def _local(relation: DataFrame, phrase: str) -> DataFrame:
     """One row per chunk and phrase: `chunk, code, n` and the phrase."""
     own = ["lang"] if phrase == "words" else []
-    rows = relation.select("chunk", *own, F.posexplode(F.arrays_zip(phrase, "counts")).alias("code", "x"))
-    return rows.select("chunk", *own, (F.col("code") + 1).alias("code"), F.col(f"x.{phrase}").alias(phrase[:-1]), F.col("x.counts").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                phrases, n = _phrases(batch, phrase, i), _array(batch, "counts", _COUNTS, i)
+                for at in range(0, len(n), ROWS_OUT):
+                    part = n[at:at + ROWS_OUT]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.repeat(batch.column(c)[i], len(part)) for c in ("chunk", *own)),
+                         pa.array(np.arange(at + 1, at + len(part) + 1, dtype=np.int32)), phrases.slice(at, len(part)), pa.array(part.astype(np.int64))],
+                        ["chunk", *own, "code", phrase[:-1], "n"])
+                pa.default_memory_pool().release_unused()
+
+    kinds = "chunk long, lang string, code int, word binary, n long" if own else "chunk long, code int, pair long, n long"
+    return relation.select("chunk", *own, phrase, "counts").mapInArrow(run, kinds)
 
 
 def _frequent(relation: DataFrame, phrase: str, least: int) -> DataFrame:
