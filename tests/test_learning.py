@@ -12,7 +12,8 @@ from weirflow.operators import learning as L
 from weirflow.operators import occupancy as O
 from weirflow.operators import reduction as R
 from weirflow.operators.distribution import gap_index
-from weirflow.operators.features import with_features
+from weirflow.operators.features import feature_array, with_features
+from weirflow.operators.labels import draw_column, fold_sizes, size_profile, top_sample, with_folds
 from weirflow.sources.decisions import pack_decisions, read_decisions, unpack_decisions
 
 
@@ -168,3 +169,54 @@ def test_scores_of_a_grid_equal_single_scores(spark):
     got = {r["model"]: r["score"] for r in L.tune_scores(df).collect()}
     for i in range(3):
         assert got[i] == pytest.approx(R.reduction_score(df.withColumn("predicted", F.col("predictions")[i])).first()["score"])
+
+
+def test_a_grid_reads_its_predictions_once(spark):
+    rows = [(64 + 1000 * i, [float(1000 * i), 500.0]) for i in range(200)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "octets long, predictions array<double>").mapInArrow(seen, "octets long, predictions array<double>")
+    assert L.tune_scores(df).count() == 2
+    assert read.value == 200
+
+
+def test_levels_beyond_one_long(spark, table):
+    cuts = [i * 400 for i in range(40)]
+    labels, decisions = [F.col("octets") > c for c in cuts], [F.col("packets") * 50 > c for c in cuts]
+    got = {r["level"]: r for r in L.level_scores(table, labels, decisions).collect()}
+    rows = table.collect()
+    assert sorted(got) == list(range(40))
+    for i, c in enumerate(cuts):
+        assert got[i]["tp"] == sum(r["octets"] > c and r["packets"] * 50 > c for r in rows)
+        assert got[i]["fn"] == sum(r["octets"] > c and r["packets"] * 50 <= c for r in rows)
+        assert got[i]["fp"] == 0 and got[i]["tn"] + got[i]["fn"] + got[i]["tp"] == 600
+
+
+def test_one_pass_of_sizes_serves_all_folds(spark, table):
+    tagged = with_folds(table, 3)
+    sizes = fold_sizes(tagged)
+    for k in range(3):
+        for part in (F.col("fold") == k, F.col("fold") != k):
+            assert {tuple(r) for r in sizes(part).collect()} == {tuple(r) for r in size_profile(tagged.filter(part)).collect()}
+        plain = top_sample(tagged.filter(F.col("fold") != k), 0.3, 5)
+        drawn = top_sample(tagged.filter(F.col("fold") != k).withColumn("d", draw_column(5)), 0.3, 5, draw="d", sizes=sizes(F.col("fold") != k))
+        assert sorted(r["pos"] for r in plain.collect()) == sorted(r["pos"] for r in drawn.collect())
+
+
+def test_bits_and_short_windows_cost_no_more_than_they_need(spark, table):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    vectors = with_features(table, "bits")
+    assert "lambda" not in plan(vectors)  # lambdas are interpreted value by value
+    for r in vectors.withColumn("bits", feature_array("bits")).limit(50).collect():
+        assert list(r["features"]) == r["bits"] and len(r["bits"]) == 104
+    placed, origin, _ = O._placed(table, None, None, 15, 10)
+    lines = plan(O._steps(placed, origin, 10, 15, [])).splitlines()
+    spread = next(i for i, line in enumerate(lines) if "Generate" in line)
+    assert any("Filter" in line and "least" in line for line in lines[spread:])
