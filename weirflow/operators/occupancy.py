@@ -36,6 +36,8 @@ def _placed(flows: DataFrame, pps: int | None, fps: int | None, timeout: int, se
 def _steps(placed: DataFrame, origin: int, span: int, timeout: int, keep: Sequence[Column]) -> DataFrame:
     """What a flow adds at its start, its end and its timeout, as differences `second, df, do` beside `keep`."""
     start = F.col("_s") - F.lit(origin)
+    # only flows with a step inside the span are spread: few of them where a short window of a day is asked for
+    placed = placed.filter(F.least(start, start + F.col("_e"), start + F.col("_e") + timeout) < span)
     rate = idiv(F.col("octets") * MICRO, F.col("_e"))
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     return placed.select(*keep, F.explode(F.array(
