@@ -563,3 +563,21 @@ def test_quality_on_held_out_documents(spark):
     kept = quality_ri.keep_good(docs, marks)
     without_id = [x.predicted for x in got if x.doc_id is None]
     assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == sum(without_id)
+
+
+def test_short_texts_are_read_together_as_alone():
+    rng = random.Random(6)
+    words = ["Anna", "Berg", "runs", "5km", "12", "kg", "a", "the", "river.", "Then", "3.5", "miles", "said", "Tom:", "x"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 30))).encode() for _ in range(500)] + [b"", b" "]
+    groups = list(decontaminate._groups(texts, decontaminate.GROUP_WORDS))
+    assert len(groups) == 1 and groups[0][0] == [i for i, t in enumerate(texts) if t.split()]
+    known = decontaminate.Words()
+    together = {}
+    for reading, own, token, slot in decontaminate.templates(groups[0][1], known):
+        for i in set(own.tolist()):
+            together[i, int(reading[i])] = (token[own == i].tolist(), slot[own == i].tolist())
+    alone = {}
+    for i, text in enumerate(groups[0][1]):
+        for reading, _, token, slot in decontaminate.templates([text], known):
+            alone[i, int(reading[0])] = (token.tolist(), slot.tolist())
+    assert together == alone and {r for _, r in alone} == {1, 2, 3}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ COVERED = 0.8  # share of an item's coverable tokens that one document must hold
 DRIFT = 5  # parts of an alignment may be shifted against each other by a fifth of the item's tokens and a window
 BROADCAST_WINDOWS = 4_000_000  # up to so many benchmark windows (32 MB of hashes) documents are probed before a shuffle
 CACHE_WORDS = 300_000
+GROUP_WORDS = 1 << 16  # short texts are read together up to so many words, for arrays that are long but stay in cache
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 STRICT = np.uint64(0x5851F42D4C957F2D)
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
@@ -82,44 +84,67 @@ class Words(dict):
             self.__init__()
 
 
-def templates(words: list[bytes], known: Words) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Template tokens of a text and the value in each slot (0 for a literal word), by reading of sentence starts.
+def templates(texts: list[list[bytes]], known: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Template tokens of texts, one after another, and the value in each slot (0 for a literal word), by reading of sentence starts.
 
-    A number, a unit after a number and a capitalised word inside a sentence become placeholders; a run of name words is
-    one slot. A capitalised word that begins a sentence may be a name or not: in reading 1 it is a literal, lower-cased,
-    in reading 2 a name. A text without such words has one template for both, as reading 3.
+    Gives the reading of each text, and of each token its text, the token and the slot. A number, a unit after a number and
+    a capitalised word inside a sentence become placeholders; a run of name words is one slot. A capitalised word that
+    begins a sentence may be a name or not: in reading 1 it is a literal, lower-cased, in reading 2 a name. A text without
+    such words has one template for both, as reading 3.
     """
     known.renew()
-    at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    n = np.fromiter(map(len, texts), np.int64, len(texts))
+    at = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int64, n.sum())
+    own = np.repeat(np.arange(len(texts)), n)
     unit = np.frombuffer(known.unit, np.int64)[at]
     glued = np.nonzero(unit >= 0)[0]
     if len(glued):
-        at = np.insert(at, glued + 1, unit[glued])
+        at, own = np.insert(at, glued + 1, unit[glued]), np.insert(own, glued + 1, own[glued])
     kind = np.frombuffer(known.kind, np.int8)[at]
     token = np.frombuffer(known.template, np.uint64)[at]
     value = np.frombuffer(known.value, np.uint64)[at]
     ends = np.frombuffer(known.ends, np.int8)[at]
     first = np.ones(len(at), bool)
-    first[1:] = ends[:-1] == 1
-    after_number = np.zeros(len(at), bool)
-    after_number[1:] = kind[:-1] == NUMBER
+    first[1:] = own[1:] != own[:-1]
+    after_number = ~first
+    after_number[1:] &= kind[:-1] == NUMBER
+    first[1:] |= ends[:-1] == 1
     kind = np.where((kind == UNIT) & ~after_number, LITERAL, kind)
     start = (kind == NAME) & first
-    if not start.any():
-        return [(3, *_slots(kind, token, value, first))]
-    return [(1, *_slots(np.where(start, LITERAL, kind), token, value, first)), (2, *_slots(kind, token, value, first))]
+    two = np.zeros(len(texts), bool)
+    two[own[start]] = True
+    yield np.where(two, 1, 3), *_slots(np.where(start, LITERAL, kind), token, value, first, own)
+    if two.any():
+        both = two[own]
+        yield np.full(len(texts), 2), *_slots(kind[both], token[both], value[both], first[both], own[both])
 
 
-def _slots(kind: np.ndarray, token: np.ndarray, value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slots(kind: np.ndarray, token: np.ndarray, value: np.ndarray, first: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     name = kind == NAME
     joined = np.zeros(len(kind), bool)
     joined[1:] = name[1:] & name[:-1] & ~first[1:]
     start = np.nonzero(~joined)[0]
     if len(start) < len(kind):
         value = np.add.reduceat(value, start)
-    kind, token = kind[start], token[start]
+        kind, token, own = kind[start], token[start], own[start]
     slot = kind != LITERAL
-    return np.where(slot, kind.astype(np.uint64), token), np.where(slot, value, np.uint64(0))
+    return own, np.where(slot, kind.astype(np.uint64), token), np.where(slot, value, np.uint64(0))
+
+
+def _groups(texts: list[bytes], most: int) -> Iterator[tuple[list[int], list[list[bytes]]]]:
+    """Places and words of the texts that have any, in groups that reach at least `most` words, but for the last."""
+    places, held, n = [], [], 0
+    for place, text in enumerate(texts):
+        words = text.split()
+        if words:
+            places.append(place)
+            held.append(words)
+            n += len(words)
+        if n >= most:
+            yield places, held
+            places, held, n = [], [], 0
+    if held:
+        yield places, held
 
 
 def _mixed(out: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -164,15 +189,15 @@ def _rows(docs: DataFrame, probe: np.ndarray | None, sizes: list[int] | None) ->
         if wanted is not None:
             near = np.zeros(1 << 20, bool)
             near[(wanted >> np.uint64(44)).astype(np.int64)] = True
-        row = TaskContext.get().partitionId() << 36
+        row = (TaskContext.get().partitionId() << 36) + 1
         for part in slices(batches):
-            ids, out = part.column("doc_id").to_pylist(), []
-            for doc_id, text in zip(ids, raw_texts(part.column("text"))):
-                row += 1
-                words = text.split()
-                if not words:
-                    continue
-                for reading, token, slot in templates(words, known):
+            out = []
+            # an item is a group of its own, as its size is
+            for places, texts in _groups(raw_texts(part.column("text")), GROUP_WORDS if sizes is not None else 1):
+                places = np.array(places)
+                for reading, own, token, slot in templates(texts, known):
+                    whole = np.bincount(own, minlength=len(texts))
+                    end = np.cumsum(whole)
                     for size in sizes if sizes is not None else [min(WINDOW, len(token))]:
                         code, loose = windows(token, slot, size)
                         at = np.arange(len(code))
@@ -180,27 +205,31 @@ def _rows(docs: DataFrame, probe: np.ndarray | None, sizes: list[int] | None) ->
                             at = at[near[(code >> np.uint64(44)).astype(np.int64)]]
                             place = np.minimum(np.searchsorted(wanted, code[at]), len(wanted) - 1)
                             at = at[wanted[place] == code[at]]
+                        at = at[at + size <= end[own[at]]]  # a window ends in the text that it begins in
                         if len(at):
+                            of = own[at]
                             held = slot[at[:, None] + np.arange(size)]
-                            out.append((doc_id, row, size, len(token), at, code[at], held, loose[at], reading))
+                            out.append((places[of], size, whole[of], at - (end - whole)[of], code[at], held, loose[at], reading[of]))
             if out:
-                n = [len(x[4]) for x in out]
-                held = np.concatenate([x[6].ravel() for x in out]).view(np.int64)
-                each = np.repeat([x[2] for x in out], n)
+                n = [len(x[0]) for x in out]
+                held = np.concatenate([x[5].ravel() for x in out]).view(np.int64)
+                each = np.repeat([x[1] for x in out], n)
+                place, tokens, pos, code, loose, reading = (np.concatenate([x[i] for x in out]) for i in (0, 2, 3, 4, 6, 7))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([x[0] for x in out], pa.int64()).take(pa.array(np.repeat(np.arange(len(out)), n))),
-                        pa.array(np.repeat([x[1] for x in out], n)),
-                        pa.array(np.concatenate([x[4] for x in out]).astype(np.int64)),
+                        part.column("doc_id").take(pa.array(place)),
+                        pa.array(row + place),
+                        pa.array(pos),
                         pa.array(each.astype(np.int32)),
-                        pa.array(np.repeat([x[3] for x in out], n)),
-                        pa.array(np.repeat(np.array([x[8] for x in out], np.int32), n)),
-                        pa.array(np.concatenate([x[5] for x in out]).view(np.int64)),
-                        pa.array(np.concatenate([x[7] for x in out])),
+                        pa.array(tokens),
+                        pa.array(reading.astype(np.int32)),
+                        pa.array(code.view(np.int64)),
+                        pa.array(loose),
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(held)),
                     ],
                     ["doc_id", "row_id", "pos", "size", "tokens", "reading", "hash", "loose", "slots"],
                 )
+            row += part.num_rows
 
     schema = "doc_id long, row_id long, pos long, size int, tokens long, reading int, hash long, loose boolean, slots array<long>"
     return docs.mapInArrow(run, schema)
