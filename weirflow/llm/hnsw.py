@@ -8,6 +8,7 @@ DEGREE = 12  # links of a vector in the upper layers; twice as many in the lowes
 BUILD_BEAM = 48
 EXPAND = 4  # beam members expanded at once
 AT_ONCE = 256
+SCAN = 8  # a beam wider than this part of the graph costs more than a plain scan
 TOP = 32  # the highest layer has at most so many vectors and is searched whole
 
 
@@ -169,12 +170,12 @@ class Hnsw:
     def within(self, q: np.ndarray, at_least: float, ef: int) -> np.ndarray:
         """(query, row of the original order) met at similarity `at_least` or more by a beam of `ef`.
 
-        For a query with hits in half of its beam the beam is widened to all rows, which is a plain scan.
+        For a query with hits in half of its beam, and for a beam of an eighth of all rows, all rows are scanned.
         """
         out = []
         for start in range(0, len(q), AT_ONCE):
             todo, own = np.arange(start, min(start + AT_ONCE, len(q))), q[start:start + AT_ONCE]
-            if ef < len(self.vectors):
+            if ef * SCAN < len(self.vectors):
                 hits = self.layers[-1].beam(own, self._entry(own, self.layers[:-1]), ef, at_least)[2]
                 many = np.bincount(hits[:, 0], minlength=len(todo)) * 2 > ef
                 hits = hits[~many[hits[:, 0]]]
